@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import simhash
+from . import matrices, packing, simhash
 
 QUERIES = {
+    "op3_token_id_output": matrices.op3_token_id_output,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
