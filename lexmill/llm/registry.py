@@ -1,11 +1,16 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import matrices, packing, simhash
+from . import matrices, packing, simhash, topk, warc
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1_exact_top_k,
+    "op5_warc": warc.op5_warc,
     "op3_token_id_output": matrices.op3_token_id_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_top_k": topk.SQL,
+    "op5_warc": warc.SQL,
+}
