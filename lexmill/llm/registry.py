@@ -1,12 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import matrices, packing, simhash, topk, warc
+from . import matrices, packing, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op5_warc": warc.op5_warc,
     "op3_token_id_output": matrices.op3_token_id_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 
