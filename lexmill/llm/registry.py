@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import matrices, packing, simhash, topk, toxicity, warc
+from . import chat, matrices, packing, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op5_warc": warc.op5_warc,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_token_id_output": matrices.op3_token_id_output,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": chat.SQL,
     "op1_exact_top_k": topk.SQL,
     "op5_warc": warc.SQL,
 }
