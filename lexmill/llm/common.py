@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,15 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+#: Most ids that are broadcast to filter a table (about 64 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is not in ids, a written table of one column; rows with a null id stay."""
+    drop_ids = ids.select(ids[0].alias("_dropped")).where("_dropped is not null").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        drop_ids = F.broadcast(drop_ids)
+    return docs.join(drop_ids, docs[column] == F.col("_dropped"), "left_anti")

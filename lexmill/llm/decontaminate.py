@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, without
 from .words import NUMBER, PLAIN, UNIT, Vocabulary, window_hashes
 
 WINDOW = 5
@@ -177,5 +177,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.changed")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """Documents that hold no item of the benchmark, with all their columns; those with a null id stay."""
+    return without(docs, saved(leaks(docs, benchmark, share).select("doc_id").distinct(), "leaks"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,15 +1,17 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, matrices, packing, simhash, topk, toxicity, warc
+from . import chat, decontaminate, licenses, matrices, packing, pii, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_warc": warc.op5_warc,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_token_id_output": matrices.op3_token_id_output,
     "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_pii": pii.op10_pii,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
 }
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, saved
+from .common import drop, saved, without
 from .components import components
 
 STEP = 1 << 18
@@ -121,6 +121,29 @@ def near_duplicates(docs: DataFrame, bits: int = 2, blocks: int = 5, most: int =
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
+    """One document of each class, with all its columns: that with the smallest doc_id (of rows with one id, any one).
+
+    Of classes whose ids are all null one document for each fingerprint stays.
+    """
+    fps = saved(fingerprints(docs), "fingerprints")
+    found = classes(fps, bits)
+    rest = saved(fps.join(found, "fp").where("doc_id <> component_id").select("doc_id"), "duplicates")
+    again = saved(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    nulls = fps.where("doc_id is null").limit(1).count()
+    drop(fps)
+    kept = without(docs, rest) if not nulls else without(docs.where("doc_id is not null"), rest)
+    if again.limit(1).count():
+        one = docs.join(again.withColumnRenamed("doc_id", "_again"), docs["doc_id"] == F.col("_again"), "left_semi")
+        kept = without(kept, again).unionByName(without(one, rest).dropDuplicates(["doc_id"]))
+    if nulls:
+        own = docs.where("doc_id is null")
+        fp = F.pandas_udf(lambda s: s.map(lambda t: int(np.array([fingerprint((t or "").encode())], dtype=np.uint64).view(np.int64)[0])), "long")
+        nameless = found.where("component_id is null").select(F.col("fp").alias("_fp"))
+        kept = kept.unionByName(own.withColumn("_own", fp(F.col("text").cast("string"))).join(nameless, F.col("_own") == F.col("_fp")).dropDuplicates(["_own"]).drop("_own", "_fp"))
+    return kept
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     from .common import table
 

@@ -30,8 +30,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame, Window
@@ -225,9 +227,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # one pass: the text is scored where it is, and nothing is joined
     @F.pandas_udf("double")
-    def score(parts):
-        import pandas as pd
-
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         distance = Distance(*model.contents) if model.weights is not None else None
         for s in parts:
             yield pd.Series([0.0 if distance is None else model.score(distance(windows(t))) for t in s], dtype="float64")
