@@ -58,9 +58,15 @@ def filesystem(uri: str):
 BROADCAST_IDS = 2_000_000
 
 
+def fresh() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is not in ids, a written table of one column; rows with a null id stay."""
-    drop_ids = ids.select(ids[0].alias("_dropped")).where("_dropped is not null").distinct()
+    name = fresh()
+    dropped = ids.select(ids[0].alias(name)).where(F.col(name).isNotNull()).distinct()
     if ids.count() <= BROADCAST_IDS:
-        drop_ids = F.broadcast(drop_ids)
-    return docs.join(drop_ids, docs[column] == F.col("_dropped"), "left_anti")
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, docs[column] == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ def _mark(df: DataFrame) -> tuple:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links (a, b) in any order, repeats and self-links allowed, nulls ignored -> (node, root), root the smallest node.
 
-    Nodes without a link to another node are not listed. An empty table gives an empty table.
+    Roots are listed with themselves, nodes without a link to another not at all. An empty table gives an empty table.
     """
     edges = saved(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
@@ -50,4 +50,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components: no fixed point; raise the number of rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    own = edges.select("b").distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(own.select(F.col("b").alias("node"), F.col("b").alias("root")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, saved, without
+from .common import drop, fresh, saved, without
 from .components import components
 
 STEP = 1 << 18
@@ -134,13 +134,15 @@ def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
     drop(fps)
     kept = without(docs, rest) if not nulls else without(docs.where("doc_id is not null"), rest)
     if again.limit(1).count():
-        one = docs.join(again.withColumnRenamed("doc_id", "_again"), docs["doc_id"] == F.col("_again"), "left_semi")
+        name = fresh()
+        one = docs.join(again.withColumnRenamed("doc_id", name), docs["doc_id"] == F.col(name), "left_semi")
         kept = without(kept, again).unionByName(without(one, rest).dropDuplicates(["doc_id"]))
     if nulls:
-        own = docs.where("doc_id is null")
+        name, other = fresh(), fresh()
         fp = F.pandas_udf(lambda s: s.map(lambda t: int(np.array([fingerprint((t or "").encode())], dtype=np.uint64).view(np.int64)[0])), "long")
-        nameless = found.where("component_id is null").select(F.col("fp").alias("_fp"))
-        kept = kept.unionByName(own.withColumn("_own", fp(F.col("text").cast("string"))).join(nameless, F.col("_own") == F.col("_fp")).dropDuplicates(["_own"]).drop("_own", "_fp"))
+        own = docs.where("doc_id is null").withColumn(name, fp(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        nameless = found.where("component_id is null").select(F.col("fp").alias(other))
+        kept = kept.unionByName(own.join(nameless, F.col(name) == F.col(other)).dropDuplicates([name]).drop(name, other))
     return kept
 
 
