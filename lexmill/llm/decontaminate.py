@@ -62,14 +62,14 @@ class Canonical:
         self.fixed = ~number & ~unit
 
     def channels(self):
-        """(channel, hashes, literal, slots) with and without names; the second only if there are names."""
-        yield 0, self.plain, self.fixed, self.slot
-        if self.name.any():
-            named = self.plain.copy()
-            named[self.name] = MARK["name"]
-            yield 1, named, self.fixed & ~self.name, self.slot | self.name
-        else:
-            yield 1, self.plain, self.fixed, self.slot
+        """(channels, hashes, literal, slots): names kept for channel 0 and replaced for 1, together where there are none."""
+        if not self.name.any():
+            yield (0, 1), self.plain, self.fixed, self.slot
+            return
+        yield (0,), self.plain, self.fixed, self.slot
+        named = self.plain.copy()
+        named[self.name] = MARK["name"]
+        yield (1,), named, self.fixed & ~self.name, self.slot | self.name
 
     def slots(self, slot: np.ndarray, at: int, n: int) -> str:
         return SEPARATOR.join(self.words[self.kept[k]].strip(".,;:!?()[]{}\"'").lower() for k in range(at, at + n) if slot[k])
@@ -83,6 +83,28 @@ def _windows(hashes: np.ndarray, literal: np.ndarray, n: int) -> tuple[np.ndarra
     return out[enough], enough
 
 
+class Known:
+    """Membership in a sorted array of hashes, most misses told by a table of bits."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = np.zeros(1 << self.BITS, dtype=bool)
+        self.bits[self._slot(hashes)] = True
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are known."""
+        maybe = np.nonzero(self.bits[self._slot(hashes)])[0]
+        if not len(maybe):
+            return maybe
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        return maybe[self.hashes[at] == hashes[maybe]]
+
+
 SCHEMA = "id long, channel int, hash long, pos int, slots string"
 
 
@@ -91,34 +113,22 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
 
     def run(batches):
         vocabulary = Vocabulary()
-        filter_ = known.value if known is not None else None
-        if filter_ is not None:
-            bits = np.zeros(1 << 20, dtype=bool)
-            bits[(filter_ & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        keep = Known(known.value).places if known is not None else lambda hashes: np.arange(len(hashes))
         for b in batches:
             out = [[] for _ in range(5)]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = Canonical(vocabulary, text or "")
-                for channel, hashes, literal, slot in c.channels():
-                    if channel and filter_ is not None and hashes is c.plain and not len(found_plain):
-                        continue  # the same windows as before, none of them known
-                    found_plain = []
+                for channels, hashes, literal, slot in c.channels():
                     for n in lengths or [min(WINDOW, len(hashes))]:
                         if not n:
                             continue
                         h, at = _windows(hashes, literal, n)
-                        if filter_ is not None and len(h):
-                            maybe = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                            h, at = h[maybe], at[maybe]
-                            k = np.minimum(np.searchsorted(filter_, h), len(filter_) - 1)
-                            hit = filter_[k] == h if len(filter_) else np.zeros(len(h), bool)
-                            h, at = h[hit], at[hit]
-                        found_plain.append(len(h))
-                        any_slot = slot.any() if len(h) else False
-                        for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
-                            for column, value in zip(out, (id_, channel, x, p, c.slots(slot, p, n) if any_slot else "")):
-                                column.append(value)
-                    found_plain = [x for x in found_plain if x]
+                        kept = keep(h)
+                        for x, p in zip(h[kept].view(np.int64).tolist(), at[kept].tolist()):
+                            filled = c.slots(slot, p, n)
+                            for channel in channels:
+                                for column, value in zip(out, (id_, channel, x, p, filled)):
+                                    column.append(value)
                 if len(out[0]) > 100_000:
                     yield batch(out)
                     out = [[] for _ in range(5)]

@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data.
 
 Values are found by pattern and taken only if they are valid: card numbers by their check
-digit, IBANs by theirs, US social security and phone numbers by their numbering rules, dates
-by the calendar, IPv4 addresses by their octets; mail addresses, access keys and the values of
+digit, IBANs by theirs, US social security and phone numbers by their numbering rules or, with a plus sign, their length, dates
+by the calendar, IPv4 addresses by their octets (those of the own host and of everyone stay); mail addresses, access keys and the values of
 password/token assignments by their form. Each is mapped by a keyed Feistel permutation on its
 own set of values: digits stay digits, separators and check digits stay right, a valid value
 maps to a valid one of the same format, equal values map to equal pseudonyms in every
@@ -159,6 +159,20 @@ class Phone(Kind):
         return filled(text, head + f"{self.network(10**10).walk(body, self.valid, back):010d}")
 
 
+class International(Kind):
+    """A number with a plus sign and 8 to 15 digits in all; the first two digits, which hold the country, stay."""
+
+    name = "phone_int"
+    pattern = r"(?<![\w.+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,6}(?![\w]|[.-]\d)"
+
+    def change(self, text, back=False):
+        digits = only_digits(text)
+        if not 8 <= len(digits) <= 15:
+            return None
+        head, body = digits[:2], digits[2:]
+        return filled(text, head + str(self.network(10 ** len(body), head).walk(int(body), back=back)).zfill(len(body)))
+
+
 class Ssn(Kind):
     name = "ssn"
     pattern = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -179,8 +193,7 @@ class Address(Kind):
 
     @staticmethod
     def valid(n: int) -> bool:
-        first = n >> 24
-        return 0 < first < 224 and first not in (10, 127)
+        return n not in (0, 0x7F000001, 0xFFFFFFFF)  # no host, this host, every host
 
     def change(self, text, back=False):
         parts = text.split(".")
@@ -272,7 +285,7 @@ class Secret(Kind):
         return head + mixed(self, value, "", back) if any(c.isdigit() for c in value) else None
 
 
-KINDS = (Mail, Secret, AccessKey, Iban, Card, Phone, Ssn, Date, Address)
+KINDS = (Mail, Secret, AccessKey, Iban, Card, Phone, International, Ssn, Date, Address)
 ALL = re.compile("|".join(f"(?P<{k.name}>{k.pattern})" for k in KINDS))
 QUICK = re.compile(r"[0-9@]")
 

@@ -90,11 +90,10 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
         hit &= qid[live][:, None] != cid[part][None, :]
         if exact and hit.mean() > 0.05:  # so many are left that whole products are cheaper together
             scores = np.where(hit, q[live] @ c[part].T, -np.inf)
-            if np.isneginf(floor).any() or True:
-                width = scores.shape[1]
-                if width > 4 * k:
-                    cut = np.partition(scores, width - k, axis=1)[:, width - k]
-                    hit &= scores >= np.maximum(cut, floor)[:, None]
+            width = scores.shape[1]
+            if width > 4 * k:  # of these products no more than the k best and their ties can stay
+                cut = np.partition(scores, width - k, axis=1)[:, width - k]
+                hit &= scores >= np.maximum(cut, floor)[:, None]
             rows, cols = np.nonzero(hit)
             got = scores[rows, cols].astype(np.int64)
         else:
