@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,6 +70,52 @@ def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 32, cache: Data
     return keyed.join(known, "text_hash", "left").drop("text_hash")
 
 
+def retrying(embedder: Embedder, tries: int = 3, base_seconds: float = 1.0, pause_seconds: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Embedder:
+    """An embedder that is asked again after base, 2 * base, ... seconds, with a pause before every batch but the first."""
+    state = {"called": False}
+
+    def run(texts: list[str]) -> list[list[float]]:
+        if state["called"] and pause_seconds:
+            sleep(pause_seconds)
+        state["called"] = True
+        for attempt in range(tries):
+            try:
+                return embedder(texts)
+            except Exception:  # a service may fail in any way
+                if attempt == tries - 1:
+                    raise
+                sleep(base_seconds * 2**attempt)
+        raise AssertionError("unreachable")
+
+    return run
+
+
+def halving(embedder: Embedder) -> Embedder:
+    """An embedder that is given half a batch at a time when memory runs out."""
+
+    def run(texts: list[str]) -> list[list[float]]:
+        try:
+            return embedder(texts)
+        except MemoryError:
+            if len(texts) < 2:
+                raise
+            half = len(texts) // 2
+            return run(texts[:half]) + run(texts[half:])
+
+    return run
+
+
+EMBEDDERS: dict[str, Callable[[], Embedder]] = {}
+
+
+def registered(name: str, fallback: str | None = None) -> Embedder:
+    """An embedder by name, or the fallback's if there is none."""
+    make = EMBEDDERS.get(name) or (EMBEDDERS.get(fallback) if fallback else None)
+    if make is None:
+        raise KeyError(f"no embedder {name!r}")
+    return make()
+
+
 def with_vectors(chunks: DataFrame) -> DataFrame:
     """Chunks that have an embedding; the others are not stored."""
     return chunks.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import ids
 from ..functions import metadata as M
 from ..operators import chunking, embedding, markdown, search, sync, textindex
@@ -29,41 +30,47 @@ def identified(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return c.join(documents.select("document_id", F.col("metadata").alias("document_metadata")), "document_id")
 
 
-def chunks_of(documents: DataFrame, strategy: str = "header", least: int = 0) -> DataFrame:
+def chunks_of(documents: DataFrame, config: Config | None = None) -> DataFrame:
     """Chunks of documents (document_id, body) by pages, or by a splitter over the pages joined under their numbers."""
+    c = config or Config()
     pages = markdown.pages(documents, "body")
-    if strategy == "page":
-        return chunking.page_chunks(pages, global_least=least)
-    if strategy == "semantic":
-        return chunking.large_enough(chunking.semantic_chunks(chunking.with_page_headers(pages), embedding.hashed_terms), least)
+    if c.chunker == "page":
+        return chunking.page_chunks(pages, c.page_min_chunk_size, c.page_max_chunk_size, c.page_merge_small, c.min_chunk_size)
     joined = chunking.with_page_headers(pages)
-    out = chunking.chunked(joined, chunking.chunker(strategy))
-    under = F.regexp_extract(F.coalesce(F.try_element_at("headings", F.lit("Header 1")), F.lit("")), r"^Page (\d+)$", 1)
-    page = F.coalesce(chunking.recovered_page(F.col("text")), F.nullif(under, F.lit("")).cast("int"))
+    if c.chunker == "semantic":
+        out = chunking.semantic_chunks(joined, embedding.hashed_terms, c.semantic_threshold, c.semantic_amount, c.semantic_buffer, c.semantic_min_chars)
+        return chunking.large_enough(out, c.min_chunk_size)
+    size, overlap, split = c.chunk_size, c.chunk_overlap, chunking.chunker(c.chunker)
+    if c.chunker != "by_title":
+        headers = () if c.chunker == "recursive" else chunking.HEADERS
+        split = lambda text: chunking.header_chunks(text, size, overlap, headers=headers)
+    out = chunking.chunked(joined, split)
+    page = F.coalesce(chunking.recovered_page(F.col("text")), F.try_element_at("headings", F.lit("page")).cast("int"))
     within = Window.partitionBy("document_id").orderBy("chunk_index")  # of one document
     out = out.withColumn("page_number", F.last(page, ignorenulls=True).over(within))
-    return chunking.large_enough(out, least)
+    return chunking.large_enough(out, c.min_chunk_size)
 
 
-def ingest(spark: SparkSession, root: str, store: str, strategy: str = "header", embed: Callable[[DataFrame], DataFrame] = embedding.hashed_terms) -> search.Collection:
+def ingest(spark: SparkSession, root: str, store: str, config: Config | None = None, embed: Callable[[DataFrame], DataFrame] = embedding.hashed_terms, anew: bool = False) -> search.Collection:
     """Scans root, brings the tables in store up to date, and opens them.
 
     Changed and deleted files' rows go and new ones come in one new version of each table. Unchanged files are neither parsed nor
-    embedded again.
+    embedded again, unless all is to be made anew.
     """
-    scan = files.scan(spark, root)
-    index = tables.read(spark, f"{store}/documents")
+    scan = files.scan(spark, root, (config or Config()).supported_extensions)
+    index = None if anew else tables.read(spark, f"{store}/documents")
     seen = index.select("path", "checksum", "last_modified", "file_size") if index is not None else spark.createDataFrame([], "path string, checksum string, last_modified double, file_size long")
     changed = sync.changes(scan.drop("content"), seen)
     fresh = scan.join(changed.where("change in ('new', 'modified')").select("path"), "path", "left_semi")
     rows = fresh.where(files.route(F.col("path")) == "markdown").withColumn("text", files.markdown_text(F.col("content")))
     docs = documents_from_markdown(rows.select("path", "text", "checksum", "file_size"))
     docs = docs.join(rows.select("path", "last_modified"), "path")
-    parts = identified(chunks_of(docs, strategy), docs)
+    parts = identified(chunks_of(docs, config), docs)
     vectors = embed(parts.select("chunk_id", "text"))
     parts = parts.join(vectors, "chunk_id", "left")
-    old_docs, old_chunks = index, tables.read(spark, f"{store}/chunks")
+    old_docs = index
     if old_docs is not None:
+        old_chunks = tables.read(spark, f"{store}/chunks")
         gone = old_docs.join(changed.where("change in ('deleted', 'modified')").select("path"), "path", "left_semi").select("document_id")
         docs = sync.without_documents(old_docs, gone).unionByName(docs)
         parts = sync.without_documents(old_chunks, gone).unionByName(parts)

@@ -11,7 +11,7 @@ from ..functions import ids
 from ..functions import metadata as M
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cache, catalog, chunking, embedding, fusion, markdown, search, sync, textindex, vectorsearch
+from ..operators import cache, catalog, chunking, embedding, fusion, jobs, markdown, search, sync, textindex, vectorsearch
 from ..sources import files
 from ..streaming import events as E
 from . import views
@@ -897,3 +897,34 @@ def flattened_metadata(spark, sf_dir):
     page = M.stored_page(F.when(F.col("doc_id") % 2 == 1, F.col("doc_id")))
     f = d.select("doc_id", flat.alias("m"), page.alias("stored_page"))
     return f.select("doc_id", F.element_at("m", F.lit("doc_lang")).alias("doc_lang"), F.element_at("m", F.lit("doc_source")).alias("doc_source"), "stored_page", M.loaded_page(F.col("stored_page")).alias("page"), F.element_at(M.unflattened(F.col("m"), "doc_"), F.lit("lang")).alias("lang"))
+
+
+# --- jobs -----------------------------------------------------------------------------------------
+
+
+def _queue(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return e.select(F.col("event_id").alias("job_id"), F.col("event_id").alias("sequence"), of("HIGH", "NORMAL", "LOW").alias("priority"), of("queued", "running", "completed", "queued", "failed").alias("status"), (F.col("event_id") % 3).cast("int").alias("attempts"))
+
+
+_QUEUE = """q AS (SELECT event_id AS job_id, event_id AS sequence, event_id % 3 AS p, CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' WHEN 3 THEN 'queued' ELSE 'failed' END AS status, (event_id % 3)::INT AS attempts FROM events)"""
+
+
+@query(f"WITH {_QUEUE} SELECT job_id FROM q WHERE status = 'queued' ORDER BY p, sequence LIMIT 50")
+def x1_next_jobs(spark, sf_dir):
+    return jobs.next_jobs(_queue(spark, sf_dir), 50).select("job_id")
+
+
+@query(
+    f"""WITH {_QUEUE} SELECT job_id, CASE WHEN status <> 'running' THEN status WHEN job_id % 2 = 0 THEN 'completed' WHEN attempts + 1 < 3 THEN 'queued' ELSE 'failed' END AS status,
+  attempts + CASE WHEN status = 'running' THEN 1 ELSE 0 END AS attempts FROM q"""
+)
+def x1_after_run(spark, sf_dir):
+    q = _queue(spark, sf_dir)
+    return jobs.after_run(q, q.where("status = 'running'").select("job_id", (F.col("job_id") % 2 == 0).alias("success"))).select("job_id", "status", "attempts")
+
+
+@query("SELECT doc_id, path, added_at FROM (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.md' AS path, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS added_at FROM documents) WHERE doc_id < 50")
+def x4_document_rows(spark, sf_dir):
+    return views.documents(spark, sf_dir).where("doc_id < 50").select("doc_id", "path", "added_at")
