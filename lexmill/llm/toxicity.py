@@ -12,7 +12,7 @@ test (``ALPHA``, divided by the number tested) for the toxic side and plain docu
 frequency for the ordinary side; the strongest come last, where they are cheapest to refer to.
 Near copies are left out of the training rows by the share of long words that
 were seen before. The score is a logistic function of the numbers of different windows at
-or above each of ``STEPS`` and of the largest distance, calibrated on labelled rows that
+or above each of ``STEPS`` and of the sum of what exceeds 1, calibrated on labelled rows that
 trained neither dictionary.
 
 The fit reads at most ``ROWS`` labelled rows of each class, those of the smallest hash of
@@ -142,8 +142,7 @@ class Distance:
 
 
 def features(distances: list[int]) -> list[float]:
-    top = max(distances, default=0)
-    return [1.0, *(min(5.0, float(sum(d >= s for d in distances))) for s in STEPS), float(max(0, min(8, top)))]
+    return [1.0, *(min(5.0, float(sum(d >= s for d in distances))) for s in STEPS), min(12.0, float(sum(d - 1 for d in distances if d > 1)))]
 
 
 class Model:
