@@ -32,3 +32,13 @@ def reciprocal_rank_fusion(
 def expanded_limit(limit: int, factor: float = 2.0, most: int = 30) -> int:
     """How many rows each arm gives before fusion."""
     return min(int(limit * factor), most)
+
+
+def fused_batch(vector_arm: DataFrame, text_arm: DataFrame, limit: int, vector_weight: float = 0.6, text_weight: float = 0.4, k: int = 60) -> DataFrame:
+    """(query_id, rank, chunk_id, score) of many queries: arms (query_id, rank, chunk_id), fused and ranked within each query."""
+    v = vector_arm.select("query_id", "chunk_id", F.col("rank").alias("v"))
+    t = text_arm.select("query_id", "chunk_id", F.col("rank").alias("t"))
+    part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(k) + F.col(r)), F.lit(0.0))
+    fused = v.join(t, ["query_id", "chunk_id"], "full_outer").withColumn("score", F.round(part(vector_weight, "v") + part(text_weight, "t"), DECIMALS))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -211,3 +211,25 @@ def _all(parts: list[Column]) -> Column:
     for p in parts:
         out = out & p
     return out
+
+
+def search_batch(index: TextIndex, queries: DataFrame, limit: int = 10, every: bool = True) -> DataFrame:
+    """(query_id, rank, chunk_id, document_id, score) for each of queries (query_id, text), all in one job.
+
+    A query asks for all its different tokens (any of them if not ``every``). Scores are summed before ranking, so the rows that
+    meet in one task are those of one query's matches, sorted in the window, never gathered.
+    """
+    terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text"), index.analyzer))).alias("term"))
+    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    asked = terms.select("term").distinct()
+    hits = index.postings.join(asked, "term", "left_semi")
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+    statistics = F.broadcast(index.statistics.select("n", "mean_length"))
+    idf = F.log(F.col("n") / (F.col("df") + 1)) + 1
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    weighed = hits.join(frequency, "term").join(statistics).select("term", "chunk_id", "document_id", (idf * weight).alias("w"))
+    scored = weighed.join(terms, "term").groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("w"), DECIMALS).alias("score"), F.count("*").alias("n"))
+    if every:
+        scored = scored.join(wanted, "query_id").where("n = wanted")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "document_id", "score")

@@ -465,6 +465,44 @@ def q4_wildcard_query(spark, sf_dir):
     return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), "thing*", None).select("chunk_id")
 
 
+_ASKED = f"""a AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens("array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 4), ' ')")})) AS term FROM benchmark),
+wn AS (SELECT query_id, count(*) AS wanted FROM a GROUP BY 1)"""
+
+
+def _bm25_batch_sql(cut: int) -> str:
+    return f"""{_ASKED}, tok AS (SELECT *, {sql_tokens('text')} AS terms FROM c), st AS (SELECT count(*) AS n, avg(len(terms)) AS ml FROM tok),
+  p AS (SELECT chunk_id, document_id, len(terms) AS length, unnest(terms) AS term FROM tok), h AS (SELECT term, chunk_id, document_id, length, count(*) AS tf FROM p WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+  w AS (SELECT query_id, chunk_id, document_id, round(sum((ln(st.n / (df + 1)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / ml))), 6) AS score, count(*) AS n FROM h JOIN df USING (term) JOIN a USING (term), st GROUP BY ALL),
+  tb AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, chunk_id, document_id, score FROM w JOIN wn USING (query_id) WHERE w.n = wanted QUALIFY rank <= {cut})"""
+
+
+def _asked(spark, sf_dir):
+    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words).alias("text"))
+
+
+@query(f"WITH {SQL_COLLECTION}, {_bm25_batch_sql(10)} SELECT * FROM tb")
+def q2_text_search_batch(spark, sf_dir):
+    return textindex.search_batch(views.collection(spark, sf_dir).index, _asked(spark, sf_dir), 10)
+
+
+@query(
+    f"""WITH {SQL_COLLECTION}, {_bm25_batch_sql(20)},
+  vd AS (SELECT q.vec_id AS query_id, x.chunk_id, round(list_sum(list_transform(list_zip(x.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d
+    FROM embeddings q, c x WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND x.embedding IS NOT NULL),
+  vb AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM vd QUALIFY rank <= 20),
+  f AS (SELECT query_id, chunk_id, round(coalesce(0.6 / (60 + vb.rank), 0) + coalesce(0.4 / (60 + tb.rank), 0), 6) AS score FROM vb FULL JOIN tb USING (query_id, chunk_id))
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank, chunk_id, score FROM f QUALIFY rank <= 10"""
+)
+def q6_hybrid_search_batch(spark, sf_dir):
+    c = views.collection(spark, sf_dir)
+    asked = _asked(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding").join(asked.select("query_id"), "query_id", "left_semi")
+    near = vectorsearch.search_batch(c.chunks, vectors, 20).withColumnRenamed("id", "chunk_id")
+    return fusion.fused_batch(near, textindex.search_batch(c.index, asked, 20), 10)
+
+
 _HIT = "chunk_id, document_id, path, title, score"
 
 
