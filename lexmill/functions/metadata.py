@@ -45,18 +45,23 @@ def loaded_page(page: Column) -> Column:
     return F.nullif(page.try_cast("int"), F.lit(NO_PAGE))
 
 
-def _compare(value: Column, operator: str, operand) -> Column:
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _compare(value: Column, operator: str, operand, kind: str = "string") -> Column:
     if operator in ("$in", "$nin"):
         if not isinstance(operand, (list, tuple)):
             raise ValueError(f"{operator} needs a list")
+        if operand and operator == "$in" and all(isinstance(x, str) for x in operand):
+            return value.isin(list(operand))
         hit = F.lit(False)
         for x in operand:
-            hit = hit | _compare(value, "$eq", x)
+            hit = hit | _compare(value, "$eq", x, kind)
         return hit if operator == "$in" else value.isNotNull() & ~hit
     if isinstance(operand, bool):
         left, right = F.lower(value.cast("string")), F.lit(str(operand).lower())
     elif isinstance(operand, (int, float)):
-        left, right = value.try_cast("double"), F.lit(float(operand))
+        left, right = (value, F.lit(operand)) if kind in NUMERIC else (value.try_cast("double"), F.lit(float(operand)))
     else:
         left, right = value.cast("string"), F.lit(operand)
     compared = {
@@ -69,15 +74,17 @@ def _compare(value: Column, operator: str, operand) -> Column:
     }
     if operator not in compared:
         raise ValueError(f"unknown operator {operator}")
-    return F.coalesce(compared[operator](), F.lit(False))
+    return compared[operator]()
 
 
-def predicate(where: dict | str | None, columns: list[str], *maps: Column) -> Column:
+def predicate(where: dict | str | None, columns: list[str] | dict[str, str], *maps: Column) -> Column:
     """A filter as a condition: scalar = equality, list = IN, dict = operators; $and and $or nest.
 
     A key is a column if there is one of the name (so that it reaches the scan), else it is looked up in the maps in
-    order, also without a doc_ or chunk_ prefix. A missing key satisfies nothing, $ne and $nin included.
+    order, also without a doc_ or chunk_ prefix. A missing key satisfies nothing, $ne and $nin included (the
+    condition is then null, which a filter takes for false). Give the columns' types, so that numbers are compared without a cast.
     """
+    kinds = columns if isinstance(columns, dict) else {}
     if isinstance(where, str):
         where = json.loads(where)
     if not where:
@@ -100,7 +107,7 @@ def predicate(where: dict | str | None, columns: list[str], *maps: Column) -> Co
             out = out & both
         elif isinstance(wanted, dict):
             for operator, operand in wanted.items():
-                out = out & _compare(value(key), operator, operand)
+                out = out & _compare(value(key), operator, operand, kinds.get(key, "string"))
         else:
-            out = out & _compare(value(key), "$in" if isinstance(wanted, (list, tuple)) else "$eq", wanted)
+            out = out & _compare(value(key), "$in" if isinstance(wanted, (list, tuple)) else "$eq", wanted, kinds.get(key, "string"))
     return out

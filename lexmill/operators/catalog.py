@@ -69,7 +69,7 @@ def with_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def filtered(documents: DataFrame, where: dict | None) -> DataFrame:
     """Documents whose metadata equals the filter; a missing key fails."""
     maps = [F.col("metadata")] if "metadata" in documents.columns else []
-    return documents.where(M.predicate(where, [c for c in documents.columns if c != "metadata"], *maps))
+    return documents.where(M.predicate(where, {c: t for c, t in documents.dtypes if c != "metadata"}, *maps))
 
 
 def matching(documents: DataFrame, term: str) -> DataFrame:

@@ -49,7 +49,7 @@ def allowed(c: Collection, where: dict | None) -> Column | None:
     """The filter as a condition on chunks; document metadata is looked up first, then the chunk's."""
     if not where:
         return None
-    return M.predicate(where, [x for x in c.chunks.columns if x not in ("metadata", "embedding", "document_metadata")], *[F.col(x) for x in ("document_metadata", "metadata") if x in c.chunks.columns])
+    return M.predicate(where, {x: t for x, t in c.chunks.dtypes if x not in ("metadata", "embedding", "document_metadata")}, *[F.col(x) for x in ("document_metadata", "metadata") if x in c.chunks.columns])
 
 
 def _enriched(c: Collection, hits: DataFrame, search_type: str, score: str = "score") -> DataFrame:

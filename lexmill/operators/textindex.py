@@ -36,11 +36,30 @@ def analysed(text: Column, analyzer: str = "standard") -> Column:
 
 @dataclass
 class TextIndex:
-    """postings (term, chunk_id, document_id, tf, length, positions) and one row of statistics (n, mean_length)."""
+    """postings (term, chunk_id, document_id, tf, length, positions[, df]) and one row of statistics (n, mean_length).
+
+    A written index also has the frequency of each term in its postings, and its statistics as numbers, so that
+    a query is one scan of its terms, one aggregation and the best rows.
+    """
 
     postings: DataFrame
     statistics: DataFrame
     analyzer: str = "standard"
+    buckets: int = 0
+    numbers: tuple[int, float] | None = None
+
+    def weighed(self, hits: DataFrame, wild: bool = False) -> DataFrame:
+        """Postings with their BM25 weight; ``hits`` are all postings of their terms."""
+        if "df" not in hits.columns:
+            frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
+            hits = hits.join(frequency if wild else F.broadcast(frequency), "term")
+        if self.numbers:
+            n, mean = F.lit(self.numbers[0]), F.lit(self.numbers[1])
+        else:
+            hits = hits.join(F.broadcast(self.statistics.select("n", "mean_length")))
+            n, mean = F.col("n"), F.col("mean_length")
+        idf = F.log(n / (F.col("df") + 1)) + 1
+        return hits.withColumn("weight", idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))))
 
     @staticmethod
     def build(chunks: DataFrame, analyzer: str = "standard") -> TextIndex:
@@ -56,16 +75,23 @@ class TextIndex:
     def write(self, path: str, buckets: int = 64) -> None:
         """Postings by a bucket of the term, sorted, so that a query reads the row groups of its terms."""
         bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        frequency = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        self.postings.join(frequency, "term").withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.statistics.withColumn("analyzer", F.lit(self.analyzer)).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TextIndex:
         statistics = spark.read.parquet(f"{path}/statistics")
         row = statistics.first()
-        index = TextIndex(spark.read.parquet(f"{path}/postings"), statistics, row.analyzer)
-        index.buckets = row.buckets
-        return index
+        return TextIndex(spark.read.parquet(f"{path}/postings"), statistics, row.analyzer, row.buckets, (row.n, row.mean_length or 1.0))
+
+
+def _bucket(term: str, buckets: int) -> int:
+    """pmod(xxhash64(term), buckets) without a job."""
+    import xxhash
+
+    signed = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (signed - (1 << 64) if signed >> 63 else signed) % buckets
 
 
 class Query:
@@ -168,21 +194,15 @@ def search(index: TextIndex, query: str, limit: int | None = 10, where: Column |
         condition = condition | F.col("term").startswith(prefix)
     if not _positive(parsed.tree):
         condition = F.lit(False)
-    if named and not parsed.wild and "bucket" in index.postings.columns:  # prune partitions of a written index
-        buckets = [r.b for r in spark.createDataFrame([(w,) for w in named], "term string").select(F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int").alias("b")).distinct().collect()]
-        condition = condition & F.col("bucket").isin(buckets)
+    if named and not parsed.wild and index.buckets:  # prune partitions of a written index
+        condition = condition & F.col("bucket").isin(sorted({_bucket(w, index.buckets) for w in named}))
     hits = index.postings.where(condition)
-    frequency = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df"))) if not parsed.wild else hits.groupBy("term").agg(F.count("*").alias("df"))
-    statistics = F.broadcast(index.statistics.select("n", "mean_length"))
-    idf = F.log(F.col("n") / (F.col("df") + 1)) + 1
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    kept = hits if where is None else hits.where(where)
+    kept = index.weighed(hits, bool(parsed.wild))
+    kept = kept if where is None else kept.where(where)
     phrases = "phrase" in str(parsed.tree)
     found = F.collect_set("term").alias("terms")
     extra = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")] if phrases else []
-    scored = (
-        kept.join(frequency, "term").join(statistics).groupBy("chunk_id", "document_id").agg(F.round(F.sum(idf * weight), DECIMALS).alias("score"), found, *extra)
-    )
+    scored = kept.groupBy("chunk_id", "document_id").agg(F.round(F.sum("weight"), DECIMALS).alias("score"), found, *extra)
 
     def holds(tree) -> Column:
         kind = tree[0]
@@ -223,11 +243,7 @@ def search_batch(index: TextIndex, queries: DataFrame, limit: int = 10, every: b
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     asked = terms.select("term").distinct()
     hits = index.postings.join(asked, "term", "left_semi")
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    statistics = F.broadcast(index.statistics.select("n", "mean_length"))
-    idf = F.log(F.col("n") / (F.col("df") + 1)) + 1
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    weighed = hits.join(frequency, "term").join(statistics).select("term", "chunk_id", "document_id", (idf * weight).alias("w"))
+    weighed = index.weighed(hits, wild=True).select("term", "chunk_id", "document_id", F.col("weight").alias("w"))
     scored = weighed.join(terms, "term").groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("w"), DECIMALS).alias("score"), F.count("*").alias("n"))
     if every:
         scored = scored.join(wanted, "query_id").where("n = wanted")

@@ -55,7 +55,7 @@ def rate_windows(events: DataFrame, client: str, window: str = "1 minute", limit
 
 def subscribed(events: DataFrame, subscription: dict | None) -> DataFrame:
     """Events that a subscription wants: all if it is empty; lists are IN, scalars equality."""
-    return events.where(M.predicate(subscription, events.columns))
+    return events.where(M.predicate(subscription, dict(events.dtypes)))
 
 
 def active_scopes(scopes: DataFrame, now: Column) -> DataFrame:

@@ -106,4 +106,13 @@ def test_written_index(spark, tmp_path):
     again = textindex.TextIndex.read(spark, f"{tmp_path}/i")
     rows = lambda i: [tuple(r) for r in textindex.search(i, "chunk learning").collect()]
     assert rows(again) == rows(index) and rows(index)
-    assert "PartitionFilters: [isnotnull(bucket" in textindex.search(again, "python")._jdf.queryExecution().toString() or "bucket" in textindex.search(again, "python")._jdf.queryExecution().toString()
+    plan = textindex.search(again, "python")._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and plan.split("== Physical Plan ==")[1].count("FileScan") == 1
+    assert textindex._bucket("python", 8) == spark.range(1).select(F.pmod(F.xxhash64(F.lit("python")), F.lit(8))).first()[0]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(5).select("id", F.col("id").cast("string").alias("s")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = df.where(M.predicate({"id": {"$gt": 2}, "s": ["3", "4"]}, dict(df.dtypes)))._jdf.queryExecution().toString()
+    assert "GreaterThan(id,2)" in plan and "In(s, [3,4])" in plan
