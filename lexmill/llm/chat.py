@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
 MARKED = re.compile(r"<(\\*)\|")
 ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -478,7 +478,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
 
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     ordered = conversations.select(*cols, F.col("turn").cast("long").alias("turn")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, formatted string, spans array<struct<start:long,end:long>>")
+    return bounded(ordered).mapInArrow(run, "conv_id long, formatted string, spans array<struct<start:long,end:long>>")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -499,7 +499,7 @@ def digests(rows: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return bounded(rows).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: Fixed value: the text of both turns of conversation -1.

@@ -47,6 +47,19 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+#: Most rows that go to a Python worker at once: texts can be long, and a worker holds a batch more than once.
+BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on the session sends Python workers at most BATCH_ROWS rows at once."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder that executors share."""
     from pyarrow import fs

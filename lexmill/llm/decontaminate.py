@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table, without
+from .common import bounded, saved, table, without
 from .words import NUMBER, PLAIN, UNIT, Vocabulary, window_hashes
 
 WINDOW = 5
@@ -140,7 +140,7 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "channel", "hash", "pos", "slots"])
 
-    return rows.where("id is not null").mapInArrow(run, SCHEMA)
+    return bounded(rows.where("id is not null")).mapInArrow(run, SCHEMA)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

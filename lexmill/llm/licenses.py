@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 from .words import Vocabulary, window_hashes
 
 RUN = 3
@@ -210,7 +210,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: fl
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "license", "matched", "words", "coverage", "start", "end"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(
         run, "doc_id long, license string, matched long, words long, coverage double, start long, end long"
     )
 

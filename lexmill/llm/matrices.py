@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import filesystem, saved, table
+from .common import bounded, filesystem, saved, table
 from .packing import placed
 
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
@@ -70,7 +70,7 @@ def write_matrices(rows: DataFrame, folder: str) -> DataFrame:
             out.close()
 
     return saved(
-        rows.select("sequence_id", "n_tokens", "cu_seqlens", "input_ids").mapInArrow(run, "file string, sequence_id long, row long, n_tokens int, cu_seqlens array<int>"), "manifest"
+        bounded(rows.select("sequence_id", "n_tokens", "cu_seqlens", "input_ids")).mapInArrow(run, "file string, sequence_id long, row long, n_tokens int, cu_seqlens array<int>"), "manifest"
     )
 
 

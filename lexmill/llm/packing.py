@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import saved, table
+from .common import bounded, saved, table
 
 #: A layout: the lengths in a sequence, in order, and the number of sequences so filled.
 Layout = tuple[tuple[int, ...], int]
@@ -181,7 +181,7 @@ def placed(cut: DataFrame, capacity: int, planner: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in kept)
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return bounded(ranked).mapInArrow(run, schema + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded, table
 
 #: The key of queries and tests; a production run brings its own.
 KEY = b"lexmill public demonstration key"
@@ -343,7 +343,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "n_values", "kinds"])
 
     schema = T.StructType([*given.schema.fields, T.StructField("n_values", T.LongType()), T.StructField("kinds", T.StringType())])
-    return given.mapInArrow(run, schema)
+    return bounded(given).mapInArrow(run, schema)
 
 
 def op10_pii(spark, sf_dir):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, fresh, saved, without
+from .common import bounded, drop, fresh, saved, table, without
 from .components import components
 
 STEP = 1 << 18
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))).mapInArrow(
         run, "doc_id long, fp long"
     )
 
@@ -147,6 +147,4 @@ def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark, sf_dir):
-    from .common import table
-
     return near_duplicates(table(spark, sf_dir, "documents"))

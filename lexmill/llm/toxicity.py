@@ -39,7 +39,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded, table
 
 ROWS = 2000
 LONGEST = 100_000
@@ -130,7 +130,7 @@ class Distance:
 
     def __call__(self, words: set[str]) -> list[int]:
         seen, out = self.seen, []
-        if len(seen) > 400_000:
+        if len(seen) > 200_000:
             seen.clear()
         for w in words:
             d = seen.get(w)
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(memo[key])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def op8_toxicity(spark, sf_dir):
@@ -245,4 +245,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for s in parts:
             yield pd.Series([0.0 if distance is None else model.score(distance(windows(t))) for t in s], dtype="float64")
 
-    return docs.where(score(F.col("text").cast("string")) < 0.5)
+    return bounded(docs).where(score(F.col("text").cast("string")) < 0.5)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, saved, table
+from .common import bounded, filesystem, new_path, saved, table
 
 MAGIC = b"\x1f\x8b\x08"
 #: WARC header names and profiles.
@@ -96,7 +96,7 @@ def write(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
         if out is not None:
             yield done()
 
-    return saved(rows.mapInArrow(run, "file string, bytes long, records long"), "manifest")
+    return saved(bounded(rows).mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
 def header(data: bytes) -> tuple[dict[str, str], int] | None:
@@ -216,7 +216,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, split: int = 4 <
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
-    return ranges.mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return bounded(ranges).mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def op5_warc(spark, sf_dir):

@@ -17,7 +17,7 @@ UNITS = frozenset(
 NUMERIC = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 MIXED = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-MOST = 400_000
+MOST = 200_000
 
 
 class Vocabulary:
