@@ -40,27 +40,35 @@ class Vocabulary:
             for name in ("hash", "kind", "ends", "title"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        core = EDGES.sub("", word)
+        core = word if word.isalpha() else word[:-1] if word[:-1].isalpha() and word[-1] in ".,;:!?" else EDGES.sub("", word)
         kind = -1
         if core:
             low = core.lower()
-            kind = NUMBER if NUMERIC.fullmatch(word.strip("()[]{}\"'.,;:!?")) or MIXED.fullmatch(core) and MIXED.fullmatch(core)[2].lower() in UNITS else UNIT if low in UNITS else PLAIN
+            kind = UNIT if low in UNITS else NUMBER if not core.isalpha() and self._number(word, core) else PLAIN
             self.hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
-            self.title[at] = core[0].isupper() and not any(c.isupper() for c in core[1:])
+            self.title[at] = core[0].isupper() and (core[1:].islower() or not any(c.isupper() for c in core[1:]))
         self.kind[at] = kind
         self.ends[at] = word.rstrip("\"')]}")[-1:] in tuple(".!?:")
         self.code[word] = at
         self.size += 1
         return at
 
+    @staticmethod
+    def _number(word: str, core: str) -> bool:
+        if NUMERIC.fullmatch(word.strip("()[]{}\"'.,;:!?")):
+            return True
+        mixed = MIXED.fullmatch(core)
+        return bool(mixed) and mixed[2].lower() in UNITS
+
     def codes(self, words: list[str]) -> np.ndarray:
         if self.size > MOST:
             self.clear()
         get, add = self.code.get, self.add
         out = list(map(get, words))
         if None in out:
-            out = [get(w) if c is None else c for c, w in zip(out, words)]  # repeats of a new word
-            out = [add(w) if c is None and get(w) is None else (get(w) if c is None else c) for c, w in zip(out, words)]
+            for i in [i for i, c in enumerate(out) if c is None]:
+                c = get(words[i])  # a new word may stand there twice
+                out[i] = add(words[i]) if c is None else c
         return np.array(out, dtype=np.int64)
 
 
