@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..functions import vector as V
@@ -29,18 +33,39 @@ def hashed(text: Column, dimensions: int = 64) -> Column:
     return F.when(F.size(T.tokens(text)) > 0, V.normalised(raw))
 
 
-def hashed_terms(chunks: DataFrame, dimensions: int = 64) -> DataFrame:
-    """(chunk_id, embedding) like hashed(), by grouping: for long texts, where a filter a dimension costs more than a shuffle."""
-    terms = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("t"))
-    digest = F.md5(F.col("t").cast("binary"))
-    signed = terms.select(
-        "chunk_id",
-        (F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % dimensions).cast("int").alias("i"),
-        F.when(F.conv(F.substring(digest, 7, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"),
-    )
-    sums = signed.groupBy("chunk_id", "i").agg(F.sum("s").alias("s")).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(F.try_element_at(F.col("m"), d), F.lit(0.0)))
-    return sums.select("chunk_id", V.normalised(raw).alias("embedding"))
+def with_hashed(rows: DataFrame, dimensions: int = 64) -> DataFrame:
+    """rows (text, ...) with an embedding like hashed()'s: tokens are made in the JVM, hashed in Arrow batches, and nothing is shuffled."""
+    given = rows.withColumn("_tokens", T.tokens(F.col("text")))
+    names = rows.columns
+
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            if len(known) > 200_000:
+                known.clear()
+            digest = hashlib.md5(token.encode()).hexdigest()
+            out = known[token] = int(digest[:6], 16) % dimensions, 1.0 if int(digest[6], 16) % 2 == 0 else -1.0
+            return out
+
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            lengths = np.array([len(x) if x.is_valid else 0 for x in lists], dtype=np.int64)
+            flat = [known.get(t) or place(t) for t in lists.flatten().to_pylist()]
+            at = np.repeat(np.arange(b.num_rows), lengths) * dimensions
+            if flat:
+                i, s = np.array([x[0] for x in flat], dtype=np.int64), np.array([x[1] for x in flat])
+                raw = np.bincount(at + i, weights=s, minlength=b.num_rows * dimensions).reshape(b.num_rows, dimensions)
+            else:
+                raw = np.zeros((b.num_rows, dimensions))
+            n = np.sqrt((raw * raw).sum(axis=1))
+            unit = (raw / np.where(n > 0, n, 1.0)[:, None]).astype(np.float32)
+            offsets = np.arange(b.num_rows + 1, dtype=np.int32) * dimensions
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.ravel()), mask=pa.array(lengths == 0))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], [*names, "embedding"])
+
+    schema = T_.StructType([*rows.schema.fields, T_.StructField("embedding", T_.ArrayType(T_.FloatType()))])
+    return given.mapInArrow(run, schema)
 
 
 def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 32, cache: DataFrame | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def chunks_of(documents: DataFrame, config: Config | None = None) -> DataFrame:
         return chunking.page_chunks(pages, c.page_min_chunk_size, c.page_max_chunk_size, c.page_merge_small, c.min_chunk_size)
     joined = chunking.with_page_headers(pages)
     if c.chunker == "semantic":
-        out = chunking.semantic_chunks(joined, embedding.hashed_terms, c.semantic_threshold, c.semantic_amount, c.semantic_buffer, c.semantic_min_chars)
+        out = chunking.semantic_chunks(joined, embedding.with_hashed, c.semantic_threshold, c.semantic_amount, c.semantic_buffer, c.semantic_min_chars)
         return chunking.large_enough(out, c.min_chunk_size)
     size, overlap, split = c.chunk_size, c.chunk_overlap, chunking.chunker(c.chunker)
     if c.chunker != "by_title":
@@ -51,7 +51,7 @@ def chunks_of(documents: DataFrame, config: Config | None = None) -> DataFrame:
     return chunking.large_enough(out, c.min_chunk_size)
 
 
-def ingest(spark: SparkSession, root: str, store: str, config: Config | None = None, embed: Callable[[DataFrame], DataFrame] = embedding.hashed_terms, anew: bool = False) -> search.Collection:
+def ingest(spark: SparkSession, root: str, store: str, config: Config | None = None, embed: Callable[[DataFrame], DataFrame] = embedding.with_hashed, anew: bool = False) -> search.Collection:
     """Scans root, brings the tables in store up to date, and opens them.
 
     Changed and deleted files' rows go and new ones come in one new version of each table. Unchanged files are neither parsed nor
@@ -66,8 +66,7 @@ def ingest(spark: SparkSession, root: str, store: str, config: Config | None = N
     docs = documents_from_markdown(rows.select("path", "text", "checksum", "file_size"))
     docs = docs.join(rows.select("path", "last_modified"), "path")
     parts = identified(chunks_of(docs, config), docs)
-    vectors = embed(parts.select("chunk_id", "text"))
-    parts = parts.join(vectors, "chunk_id", "left")
+    parts = embed(parts)
     old_docs = index
     if old_docs is not None:
         old_chunks = tables.read(spark, f"{store}/chunks")

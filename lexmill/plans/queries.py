@@ -326,7 +326,7 @@ def c8_whole_text(spark, sf_dir):
 
 @query()
 def c9_semantic_chunks(spark, sf_dir):
-    return chunking.semantic_chunks(table(spark, sf_dir, "documents"), embedding.hashed_terms, key="doc_id")
+    return chunking.semantic_chunks(table(spark, sf_dir, "documents"), embedding.with_hashed, key="doc_id")
 
 
 @query()
@@ -355,8 +355,8 @@ _HASHED = f"""tk AS (SELECT id, unnest({sql_tokens('text')}) AS t FROM src),
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {_HASHED} SELECT id AS doc_id, i AS dimension, round((s::DOUBLE / nullif(n, 0)::DOUBLE)::FLOAT::DOUBLE, 5) AS value FROM hs JOIN nm USING (id) WHERE s <> 0")
 def e1_hashed_embedding(spark, sf_dir):
-    v = embedding.hashed_terms(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    return v.select(F.col("chunk_id").alias("doc_id"), F.posexplode("embedding").alias("dimension", "v")).where("v <> 0").select("doc_id", F.col("dimension").cast("long").alias("dimension"), F.round(F.col("v").cast("double"), 5).alias("value"))
+    v = embedding.with_hashed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return v.select("doc_id", F.posexplode("embedding").alias("dimension", "v")).where("v <> 0").select("doc_id", F.col("dimension").cast("long").alias("dimension"), F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm FROM embeddings")

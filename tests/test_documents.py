@@ -80,7 +80,7 @@ def test_by_title():
 @pytest.mark.parametrize("threshold", chunking.BREAKS)
 def test_semantic(spark, threshold):
     cats, ships = "Cats purr and cats sleep all day long. ", "Ships sail over oceans towards distant harbours. "
-    vectors = lambda c: c.select("chunk_id", F.when(F.contains("text", F.lit("purr")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).alias("embedding"))
+    vectors = lambda c: c.withColumn("embedding", F.when(F.contains("text", F.lit("purr")), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
     rows = chunking.semantic_chunks(spark.createDataFrame([("d", cats * 8 + ships * 8), ("e", None), ("f", "")], "document_id string, text string"), vectors, threshold, {"percentile": 90.0, "gradient": 90.0}.get(threshold, 1.0), 0, 10)
     texts = [r.text for r in rows.orderBy("chunk_index").collect()]
     assert "".join(texts).replace(" ", "") == (cats * 8 + ships * 8).replace(" ", "")

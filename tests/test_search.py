@@ -138,8 +138,8 @@ def test_embedding(spark):
     small = embedding.halving(lambda t: (_ for _ in ()).throw(MemoryError) if len(t) > 1 else [[0.0]])
     assert small(["a", "b", "c"]) == [[0.0]] * 3
     a = chunks.select("chunk_id", embedding.hashed(F.col("text")).alias("v")).collect()
-    b = {r.chunk_id: r.embedding for r in embedding.hashed_terms(chunks).collect()}
-    assert {r.chunk_id: r.v for r in a} == b
+    b = {r.chunk_id: r.embedding for r in embedding.with_hashed(chunks).collect()}
+    assert {r.chunk_id: r.v for r in a} == b and embedding.with_hashed(spark.createDataFrame([(1, ""), (2, None)], "i int, text string")).where("embedding is null").count() == 2
 
 
 def test_catalog(collection):
