@@ -23,8 +23,8 @@ def search(vectors: DataFrame, query: list[float], limit: int = 5, where: Column
     fit = F.col("embedding").isNotNull() & (F.size("embedding") == len(query))
     rows = vectors.where(fit if where is None else fit & where)
     literal = F.array(*[F.lit(float(x)) for x in query])
-    distance = F.round(V.squared_l2(F.col("embedding"), literal), DECIMALS)
-    scored = rows.withColumn("distance", distance).withColumn("score", F.round(V.similarity(F.col("distance")), DECIMALS))
+    exact = rows.withColumn("distance", V.squared_l2(F.col("embedding"), literal))
+    scored = exact.withColumns({"score": F.round(V.similarity(F.col("distance")), DECIMALS), "distance": F.round("distance", DECIMALS)})
     return scored.orderBy("distance", id_column).limit(limit).where(F.col("score") >= min_score)
 
 
@@ -57,14 +57,15 @@ def search_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5, id_colu
                 if not ids:
                     continue
                 c = flat.reshape(len(ids), -1)
-                d = np.round(square[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T), DECIMALS)
+                raw = np.maximum(0.0, square[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T))
+                d = np.round(raw, DECIMALS)  # ranks by rounded distances, so that equal vectors tie
                 for k in range(len(names)):
                     n = min(limit, len(ids))
                     cut = np.partition(d[k], n - 1)[n - 1]
                     at = np.nonzero(d[k] <= cut)[0]
-                    dist = np.concatenate([best[k][0], d[k][at]])
+                    dist = np.concatenate([best[k][0], raw[k][at]])
                     named = best[k][1] + [ids[i] for i in at]
-                    order = sorted(range(len(named)), key=lambda i: (dist[i], named[i]))[:limit]
+                    order = sorted(range(len(named)), key=lambda i: (round(dist[i], DECIMALS), named[i]))[:limit]
                     best[k] = (dist[order], [named[i] for i in order])
             rows = [(names[k], i, float(x)) for k, (dist, named) in enumerate(best) for x, i in zip(dist, named)]
             if rows:
@@ -74,6 +75,6 @@ def search_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5, id_colu
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), "id", F.lit(0.0).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", DECIMALS), "id"))
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "id", F.round(V.similarity(F.col("distance")), DECIMALS).alias("score"))

@@ -416,9 +416,9 @@ def q1_vector_search(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS d
+    """WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d
   FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0),
-  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM r) SELECT query_id, rank::INT AS rank, id, round(greatest(0, 1 - d / 2), 6) AS score FROM k WHERE rank <= 5"""
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), id) AS rank FROM r) SELECT query_id, rank::INT AS rank, id, round(greatest(0, 1 - d / 2), 6) AS score FROM k WHERE rank <= 5"""
 )
 def q1_vector_search_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

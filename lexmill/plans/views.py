@@ -81,6 +81,6 @@ def sql_bm25(terms: list[str], name: str = "t", every: bool = True, condition: s
 
 
 def sql_vector(vec_id: int, name: str = "v", condition: str = "true") -> str:
-    return f"""{name} AS (SELECT chunk_id, document_id, round(greatest(0, 1 - distance / 2), 6) AS score, distance FROM (
-  SELECT c.chunk_id, c.document_id, round(list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS distance
+    return f"""{name} AS (SELECT chunk_id, document_id, round(greatest(0, 1 - raw / 2), 6) AS score, round(raw, 6) AS distance FROM (
+  SELECT c.chunk_id, c.document_id, list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS raw
   FROM c, (SELECT embedding FROM embeddings WHERE vec_id = {vec_id}) q WHERE c.embedding IS NOT NULL AND {condition}))"""
