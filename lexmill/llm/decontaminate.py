@@ -105,7 +105,7 @@ class Known:
         return maybe[self.hashes[at] == hashes[maybe]]
 
 
-SCHEMA = "id long, channel int, hash long, pos int, slots string"
+SCHEMA = "id long, channel int, n int, hash long, pos int, slots string"
 
 
 def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
@@ -115,7 +115,7 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
         vocabulary = Vocabulary()
         keep = Known(known.value).places if known is not None else lambda hashes: np.arange(len(hashes))
         for b in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in range(6)]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = Canonical(vocabulary, text or "")
                 for channels, hashes, literal, slot in c.channels():
@@ -127,18 +127,18 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
                         for x, p in zip(h[kept].view(np.int64).tolist(), at[kept].tolist()):
                             filled = c.slots(slot, p, n)
                             for channel in channels:
-                                for column, value in zip(out, (id_, channel, x, p, filled)):
+                                for column, value in zip(out, (id_, channel, n, x, p, filled)):
                                     column.append(value)
                 if len(out[0]) > 100_000:
                     yield batch(out)
-                    out = [[] for _ in range(5)]
+                    out = [[] for _ in range(6)]
             if out[0]:
                 yield batch(out)
 
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
 
     def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "channel", "hash", "pos", "slots"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "channel", "n", "hash", "pos", "slots"])
 
     return bounded(rows.where("id is not null")).mapInArrow(run, SCHEMA)
 
@@ -152,8 +152,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     of_items = saved(windows(items, []), "item-windows")
-    lengths = [r[0] for r in items.select(F.least(F.size(F.split(F.trim("text"), "\\s+")), F.lit(WINDOW)).alias("n")).distinct().collect() if r[0]]  # at most five
-    lengths = sorted({*lengths, *range(min(lengths, default=WINDOW), WINDOW + 1)} - {0}) if lengths else [WINDOW]
+    lengths = sorted(r.n for r in of_items.select("n").distinct().collect()) or [WINDOW]  # at most five
     hashes = of_items.select("hash").distinct()
     known, n = None, hashes.count()
     if n <= FILTER:
