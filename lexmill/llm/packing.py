@@ -27,18 +27,31 @@ BROADCAST_ROWS = 1_000_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:
-    """The lengths of a fullest bin that holds the longest piece: subset sums as bits of an integer."""
+    """The lengths of a fullest bin that holds the longest piece: one or two more pieces if they fill it, else by subset sums.
+
+    Subset sums are the bits of an integer; the long pieces go in first, so that short ones stay for bins that need them.
+    """
     longest = max(counts)
     room = capacity - longest
+    left = {k: n - (k == longest) for k, n in counts.items() if k <= room}
+    if not room:
+        return [longest]
+    if left.get(room):
+        return [longest, room]
+    lengths = sorted((k for k, n in left.items() if n), reverse=True)
+    for a in lengths:
+        if 2 * a < room:
+            break
+        if left.get(room - a, 0) > (2 * a == room):
+            return [longest, a, room - a]
     reach, steps, mask = 1, [], (1 << (room + 1)) - 1
-    for length in sorted((k for k in counts if k <= room), reverse=True):
-        left = min(counts[length] - (length == longest), room // length)
-        take = 1
-        while left > 0:
-            take = min(take, left)
+    for length in lengths:
+        n, take = min(left[length], room // length), 1
+        while n > 0:
+            take = min(take, n)
             steps.append((reach, length, take))
             reach |= (reach << (length * take)) & mask
-            left -= take
+            n -= take
             take *= 2
         if reach >> room & 1:
             break
@@ -50,13 +63,14 @@ def fullest(counts: dict[int, int], capacity: int) -> list[int]:
     return chosen
 
 
-def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Layout]:
-    """Takes the fullest combination of what is left, as often as counts allow, until nothing is left."""
-    counts, plan = {k: v for k, v in counts.items() if v}, []
-    if counts and max(counts) > capacity:
-        raise ValueError("a piece is longer than a sequence")
+def _taken(counts: dict[int, int], capacity: int, most_pieces: int | None = None) -> tuple[list[Layout], dict[int, int]]:
+    """Bins taken one kind after the other, and what is left: with most_pieces, pieces that so few cannot fill up a bin with."""
+    counts, plan, rest = {k: v for k, v in counts.items() if v}, [], {}
     while counts:
         chosen = fullest(counts, capacity)
+        if most_pieces and (len(chosen) > most_pieces or sum(chosen) < capacity):
+            rest[chosen[0]] = counts.pop(chosen[0])
+            continue
         uses = {k: chosen.count(k) for k in set(chosen)}
         times = min(counts[k] // n for k, n in uses.items())
         plan.append((tuple(chosen), times))
@@ -64,6 +78,24 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Layout]:
             counts[k] -= n * times
             if not counts[k]:
                 del counts[k]
+    return plan, rest
+
+
+def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Layout]:
+    """Takes the fullest combination of what is left, as often as counts allow, until nothing is left.
+
+    Few pieces of a small corpus may leave bins at the end that nothing fills. If more bins are used than the tokens need, the
+    same is tried with bins of at most two pieces, the rest placed best fit decreasing, and the better plan is kept.
+    """
+    if counts and max(counts) > capacity:
+        raise ValueError("a piece is longer than a sequence")
+    plan, _ = _taken(counts, capacity)
+    bins = sum(times for _, times in plan)
+    if bins > -(-sum(k * n for k, n in counts.items()) // capacity):
+        pairs, rest = _taken(counts, capacity, 2)
+        other = pairs + best_fit_decreasing(rest, capacity)
+        if sum(times for _, times in other) < bins:
+            return other
     return plan
 
 
