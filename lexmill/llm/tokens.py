@@ -2,7 +2,7 @@
 
 Ids are those of the byte-level BPE in a ``tokenizers`` JSON file, special tokens
 included, none added. They are computed by the byte-pair encoder of ``tiktoken`` over
-the JSON's own vocabulary and merges, which gives the same ids in a third of the time;
+the JSON's own vocabulary and merges, which gives the same ids in a quarter of the time;
 the tests compare the two on whole tables. A vocabulary whose ids do not follow its merge
 order, or that has another normaliser or pre-tokeniser, is encoded by ``tokenizers``.
 """
