@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import bounded, drop, fresh, saved, table, without
 from .components import components
 
@@ -100,10 +101,13 @@ def links(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16) -> Dat
     return near.unionByName(dense)
 
 
-def classes(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16) -> DataFrame:
-    """(fp, component_id) of the different fingerprints in fps (doc_id, fp), component_id the smallest doc_id reachable."""
+def classes(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16, linked: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) of the different fingerprints in fps (doc_id, fp), component_id the smallest doc_id reachable.
+
+    Reachable over the links given in linked (a, b), or else over those of at most ``bits``.
+    """
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(first, bits, blocks, most))
+    roots = components(links(first, bits, blocks, most) if linked is None else linked)
     rooted = saved(first.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id"), "rooted")
     smallest = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     joined = rooted.join(smallest, "root").select(F.col("fp").alias("linked"), "component_id")
@@ -121,13 +125,14 @@ def near_duplicates(docs: DataFrame, bits: int = 2, blocks: int = 5, most: int =
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, share: float = similar.SHARE) -> DataFrame:
     """One document of each class, with all its columns: that with the smallest doc_id (of rows with one id, any one).
 
-    Of classes whose ids are all null one document for each fingerprint stays.
+    Classes are those of ``similar``: five-word shingles with a Jaccard similarity of at least ``share``.
+    Of classes whose ids are all null one document for each signature stays.
     """
-    fps = saved(fingerprints(docs), "fingerprints")
-    found = classes(fps, bits)
+    fps = saved(similar.signatures(docs), "signatures")
+    found = classes(fps, linked=similar.links(docs, share))
     rest = saved(fps.join(found, "fp").where("doc_id <> component_id").select("doc_id"), "duplicates")
     again = saved(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     nulls = fps.where("doc_id is null").limit(1).count()
@@ -139,7 +144,7 @@ def deduplicated(docs: DataFrame, bits: int = 2) -> DataFrame:
         kept = without(kept, again).unionByName(without(one, rest).dropDuplicates(["doc_id"]))
     if nulls:
         name, other = fresh(), fresh()
-        fp = F.pandas_udf(lambda s: s.map(lambda t: int(np.array([fingerprint((t or "").encode())], dtype=np.uint64).view(np.int64)[0])), "long")
+        fp = F.pandas_udf(lambda s: s.map(lambda t: similar.signature(similar.Shingles()(t.encode()))), "long")
         own = docs.where("doc_id is null").withColumn(name, fp(F.coalesce(F.col("text").cast("string"), F.lit(""))))
         nameless = found.where("component_id is null").select(F.col("fp").alias(other))
         kept = kept.unionByName(own.join(nameless, F.col(name) == F.col(other)).dropDuplicates([name]).drop(name, other))
