@@ -4,9 +4,10 @@ Words are case-folded and stripped of punctuation; numbers (with a unit written
 them or not), units after a number, and names (capitalised words inside a sentence)
 become typed placeholders. Windows of five words with at least three literal ones are hashed,
 with and without names replaced, and joined by hash to the windows of the benchmark.
-Windows of a document and an item at one distance from each other must fill the
-slots consistently: equal numbers and names of the item are equal in the document, different
-ones different; those that do not are not counted. A document holds an item if at least 0.8
+Windows of a document and an item at one distance from each other should fill the
+slots consistently: equal numbers and names of the item are equal in the document (different
+ones may become equal). What most of the windows fill in for a value is its filling; a window
+that has another is not counted. A document holds an item if at least 0.8
 of the item's windows are found in it, so a question with its numbers and names
 exchanged is found, and a text that only shares phrases is not.
 
@@ -165,21 +166,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         sides, total = F.broadcast(sides), F.broadcast(total)
     pairs = saved(
         found.join(sides, ["channel", "hash"]).select(
-            F.col("id").alias("doc_id"), "item_id", "channel", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", F.col("slots").alias("doc_slots")
+            F.col("id").alias("doc_id"), "item_id", "channel", "hash", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", F.col("slots").alias("doc_slots")
         ),
         "window-pairs",
     )
     # what fills the slots, by document, item and distance between their places: at most the item's words each
-    fills = (
+    keys = ["doc_id", "item_id", "channel", "shift"]
+    slots = (
         pairs.where("item_slots <> ''")
-        .select("doc_id", "item_id", "channel", "shift", F.explode(F.arrays_zip(F.split("item_slots", SEPARATOR).alias("a"), F.split("doc_slots", SEPARATOR).alias("b"))).alias("s"))
-        .select("doc_id", "item_id", "channel", "shift", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
-        .distinct()
-        .groupBy("doc_id", "item_id", "channel", "shift")
-        .agg(F.count("*").alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"), F.count_if(F.col("a") != F.col("b")).alias("changed"))
+        .select(*keys, "item_pos", "doc_slots", F.explode(F.arrays_zip(F.split("item_slots", SEPARATOR).alias("a"), F.split("doc_slots", SEPARATOR).alias("b"))).alias("s"))
+        .select(*keys, "item_pos", "doc_slots", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     )
-    keys = ["doc_id", "item_id", "channel", "shift"]
-    by_shift = pairs.groupBy(*keys, "hash").agg(F.lit(1).alias("one")).join(fills, keys, "left").where("n is null or (n = na and n = nb)")
+    fills = saved(
+        slots.groupBy(*keys, "a", "b")
+        .agg(F.count("*").alias("n"))
+        .groupBy(*keys, "a")
+        .agg(F.max_by("b", F.struct("n", F.col("a") == F.col("b"), "b")).alias("most"), F.count("*").alias("n")),
+        "slot-fills",
+    )
+    against = slots.join(fills.where("n > 1").drop("n"), [*keys, "a"]).where("b <> most").select(*keys, "item_pos", "doc_slots").distinct()
+    changed = fills.groupBy(*keys).agg(F.count_if(F.col("a") != F.col("most")).alias("changed"))
+    by_shift = pairs.join(against, [*keys, "item_pos", "doc_slots"], "left_anti").select(*keys, "hash").distinct().join(changed, keys, "left")
     matched = by_shift.groupBy("doc_id", "item_id", "channel").agg(F.countDistinct("hash").alias("matched"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
     scored = matched.join(total.withColumnRenamed("id", "item_id"), ["item_id", "channel"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= share)
     best = F.max_by(F.struct("matched", "windows", "coverage", "changed"), F.struct("coverage", F.lit(1) - F.col("channel"))).alias("best")
