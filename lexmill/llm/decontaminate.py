@@ -15,8 +15,11 @@ Before the join, document windows that are in no benchmark window are left out b
 array of the benchmark's hashes, if there are at most ``FILTER`` of them (32 MB); beyond
 that all windows are joined.
 
-Items and texts shorter than five words are one window (items without three literal words
-have none and are never found). Null texts are empty; rows with a null id are left out, of
+An item without such a window (mostly numbers, units and signs) has instead, in a channel of
+its own, all windows of its words as they stand, signs and numbers included, so that verbatim
+copies of it are found.
+
+Items and texts shorter than five words are one window. Null texts are empty; rows with a null id are left out, of
 documents as of items; rows with one id count together; other columns are ignored;
 empty tables give an empty table.
 """
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, saved, table, without
-from .words import NUMBER, PLAIN, UNIT, Vocabulary, window_hashes
+from .words import NUMBER, PLAIN, PUNCTUATION, UNIT, Vocabulary, window_hashes
 
 WINDOW = 5
 LITERAL = 3
@@ -38,6 +41,7 @@ FILTER = 4_000_000
 BROADCAST_ROWS = 1_000_000
 MARK = {NUMBER: np.uint64(0x9D5F3A7C11E2B4D1), UNIT: np.uint64(0x5A8E6B2FC07D3911), "name": np.uint64(0x7C3B90E45D16A82F)}
 SEPARATOR = "\x1f"
+EXACT = 2  # the channel of words as they stand
 
 
 class Canonical:
@@ -45,7 +49,7 @@ class Canonical:
 
     def __init__(self, vocabulary: Vocabulary, text: str):
         words = text.split()
-        codes = vocabulary.codes(words)
+        codes = every = vocabulary.codes(words)
         kind = vocabulary.kind[codes]
         kept = np.nonzero(kind >= 0)[0]
         codes, kind = codes[kept], kind[kept]
@@ -61,6 +65,11 @@ class Canonical:
         self.plain[unit] = MARK[UNIT]
         self.slot = number
         self.fixed = ~number & ~unit
+        self.exact = vocabulary.exact[every]
+        self.literal = np.zeros(len(every), dtype=bool)
+        self.literal[kept] = self.fixed
+        stands = self.exact != 0
+        self.exact, self.literal = self.exact[stands], self.literal[stands]
 
     def channels(self):
         """(channels, hashes, literal, slots): names kept for channel 0 and replaced for 1, together where there are none."""
@@ -73,7 +82,7 @@ class Canonical:
         yield (1,), named, self.fixed & ~self.name, self.slot | self.name
 
     def slots(self, slot: np.ndarray, at: int, n: int) -> str:
-        return SEPARATOR.join(self.words[self.kept[k]].strip(".,;:!?()[]{}\"'").lower() for k in range(at, at + n) if slot[k])
+        return SEPARATOR.join(self.words[self.kept[k]].strip(PUNCTUATION).lower() for k in range(at, at + n) if slot[k])
 
 
 def _windows(hashes: np.ndarray, literal: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +93,15 @@ def _windows(hashes: np.ndarray, literal: np.ndarray, n: int) -> tuple[np.ndarra
     return out[enough], enough
 
 
+def _poor(exact: np.ndarray, literal: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of runs of n words as they stand without enough literal ones, and where they start."""
+    if len(exact) < n:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    sums = np.concatenate([[0], np.cumsum(literal)])
+    poor = np.nonzero(sums[n:] - sums[:-n] < min(LITERAL, n))[0]
+    return (window_hashes(exact, n)[poor] if len(poor) else np.zeros(0, dtype=np.uint64)), poor
+
+
 class Known:
     """Membership in a sorted array of hashes, most misses told by a table of bits."""
 
@@ -118,18 +136,28 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
         for b in batches:
             out = [[] for _ in range(6)]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                c = Canonical(vocabulary, text or "")
+                c, whole = Canonical(vocabulary, text or ""), False
                 for channels, hashes, literal, slot in c.channels():
                     for n in lengths or [min(WINDOW, len(hashes))]:
                         if not n:
                             continue
                         h, at = _windows(hashes, literal, n)
+                        whole = whole or len(h) > 0
                         kept = keep(h)
                         for x, p in zip(h[kept].view(np.int64).tolist(), at[kept].tolist()):
                             filled = c.slots(slot, p, n)
                             for channel in channels:
                                 for column, value in zip(out, (id_, channel, n, x, p, filled)):
                                     column.append(value)
+                # words as they stand: of documents, and of items that have no other window
+                for n in lengths or ([min(WINDOW, len(c.exact))] if len(c.kept) and not whole else []):
+                    if not n:
+                        continue
+                    h, at = _poor(c.exact, c.literal, n)
+                    kept = keep(h)
+                    for x, p in zip(h[kept].view(np.int64).tolist(), at[kept].tolist()):
+                        for column, value in zip(out, (id_, EXACT, n, x, p, "")):
+                            column.append(value)
                 if len(out[0]) > 100_000:
                     yield batch(out)
                     out = [[] for _ in range(6)]

@@ -17,6 +17,7 @@ UNITS = frozenset(
 NUMERIC = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 MIXED = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+PUNCTUATION = ".,;:!?()[]{}\"'"
 MOST = 200_000
 
 
@@ -30,6 +31,7 @@ class Vocabulary:
         self.code: dict[str, int] = {}
         self.size = 0
         self.hash = np.zeros(1024, dtype=np.uint64)
+        self.exact = np.zeros(1024, dtype=np.uint64)  # of the word as it stands; 0: nothing but punctuation
         self.kind = np.zeros(1024, dtype=np.int8)  # -1: no word at all
         self.ends = np.zeros(1024, dtype=bool)
         self.title = np.zeros(1024, dtype=bool)
@@ -37,7 +39,7 @@ class Vocabulary:
     def add(self, word: str) -> int:
         at = self.size
         if at == len(self.hash):
-            for name in ("hash", "kind", "ends", "title"):
+            for name in ("hash", "exact", "kind", "ends", "title"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         core = word if word.isalpha() else word[:-1] if word[:-1].isalpha() and word[-1] in ".,;:!?" else EDGES.sub("", word)
@@ -47,6 +49,8 @@ class Vocabulary:
             kind = UNIT if low in UNITS else NUMBER if not core.isalpha() and self._number(word, core) else PLAIN
             self.hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
             self.title[at] = core[0].isupper() and (core[1:].islower() or not any(c.isupper() for c in core[1:]))
+        stands = word.strip(PUNCTUATION).lower()
+        self.exact[at] = xxhash.xxh64_intdigest(stands.encode("utf-8", "surrogatepass"), 13) if stands else 0
         self.kind[at] = kind
         self.ends[at] = word.rstrip("\"')]}")[-1:] in tuple(".!?:")
         self.code[word] = at

@@ -17,3 +17,9 @@ def test_numbers_that_become_equal_and_one_edited(spark):
 def test_one_name_for_three_still_counts_against(spark):
     item = "Sometimes our neighbour Anna feeds the cats while Anna waters those plants because Anna likes it"
     assert found(spark, [(1, item.replace("Anna", "Clara")), (2, item.replace("Anna", "Clara", 1).replace("Anna", "Olga", 1))], [(5, item)]) == {(1, 5)}
+
+
+def test_mostly_numbers(spark):
+    items = [(1, "Compute 17 * 23 + 5"), (2, "2 4 8 16 32 64, next?"), (3, "12 13"), (4, "x = 5"), (5, "- + !")]
+    docs = [(1, "So we read here: compute 17 * 23 + 5 and more of it"), (2, "Then 2 4 8 16 32 64, next? was asked"), (3, "Compute 17 + 23 * 5"), (4, "2 4 8 16 32 65, next?"), (5, "in 12 13 and x = 5 - + !"), (6, "12 14 x = 6")]
+    assert found(spark, docs, items) == {(1, 1), (2, 2), (5, 3), (5, 4)}
