@@ -8,7 +8,8 @@ once they are whole, so a task that is run again leaves no record twice.
 Reader: files are cut into byte ranges. A task looks for gzip magic from the start of its
 range, takes a place as a record only if what it inflates to begins with a whole WARC
 header, decodes members from there one after the other, and owns every record that starts
-in its range; it reads on past the end for the last one. The magic cannot be part of UTF-8
+in its range; it reads on past the end for the last one. Headers may be of any length. The query
+compares the number of records read with that written. The magic cannot be part of UTF-8
 text, so an uncompressed block of a page is never taken for a record.
 
 Null html is an empty payload, a null url an empty one. A row with a null page_id is always
@@ -137,7 +138,7 @@ class _Window:
 
 def _member(window: _Window, pos: int) -> tuple[dict[str, str], bytes, int] | None:
     """Header, block and end of the record whose member starts at pos; None if none does."""
-    inflate, out, found, at = zlib.decompressobj(31), [], None, pos
+    inflate, out, found, at, looked = zlib.decompressobj(31), [], None, pos, 0
     try:
         while not inflate.eof:
             part = window.at(at, 1 << 16)
@@ -145,10 +146,11 @@ def _member(window: _Window, pos: int) -> tuple[dict[str, str], bytes, int] | No
                 return None
             out.append(inflate.decompress(part))
             at += len(part)
-            if found is None:
+            if found is None and (inflate.eof or sum(map(len, out)) >= 2 * looked):  # a long header is not searched at every step
                 head = b"".join(out)
+                looked = len(head)
                 out, found = [head], header(head)
-                if found is None and (len(head) >= 1 << 16 or not head.startswith(b"WARC/1."[: len(head)])):
+                if found is None and (b"\r\n\r\n" in head or not head.startswith(b"WARC/1."[: len(head)])):
                     return None
     except zlib.error:
         return None
@@ -219,10 +221,19 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, split: int = 4 <
     return bounded(ranges).mapInArrow(run, "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
+def counted(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records, written, if there are as many as the manifest (file, bytes, records) says; else an error."""
+    out = saved(records, "records")
+    got, want = out.count(), manifest.agg(F.sum("records")).first()[0] or 0
+    if got != want:
+        raise RuntimeError(f"read {got} records of {want} written")
+    return out
+
+
 def op5_warc(spark, sf_dir):
     folder = new_path(spark, "warc")
     manifest = write(table(spark, sf_dir, "pages"), folder)
-    return read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return counted(read(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), manifest)
 
 
 #: The same rows from the pages themselves.
