@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -39,11 +40,7 @@ class Feistel:
 
     def __init__(self, size: int, tweak: str, key: bytes):
         self.size = size
-        self.a = max(1, int(size**0.5))
-        while self.a * self.a < size:
-            self.a += 1
-        while self.a > 1 and (self.a - 1) ** 2 >= size:
-            self.a -= 1
+        self.a = math.isqrt(size - 1) + 1 if size > 1 else 1  # the least with a * a >= size
         self.b = -(-size // self.a)
         self.seed = hashlib.blake2b(key=key[:64], digest_size=32, person=b"lexmill.pii")
         self.seed.update(f"{tweak}/{size}".encode())
@@ -256,6 +253,19 @@ def mixed(kind: Kind, text: str, tweak: str = "", back: bool = False, classes=CL
     return "".join(reversed(out))
 
 
+#: Most characters permuted together; a round's hash covers half of them.
+BLOCK = 64
+
+
+def in_blocks(kind: Kind, text: str, tweak: str, back: bool, classes=CLASSES) -> str:
+    """mixed() over blocks of like length, each with its place as tweak."""
+    n = -(-len(text) // BLOCK)
+    if n <= 1:
+        return mixed(kind, text, tweak, back, classes)
+    edges = [len(text) * k // n for k in range(n + 1)]
+    return "".join(mixed(kind, text[x:y], f"{tweak}/{k}/", back, classes) for k, (x, y) in enumerate(zip(edges, edges[1:])))
+
+
 class Mail(Kind):
     name = "email"
     pattern = r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w-])"
@@ -274,15 +284,20 @@ class AccessKey(Kind):
 
 
 class Secret(Kind):
+    """A value in quotes up to the closing one, or else up to white space, a quote, comma, semicolon, bracket, & or |, without the sentence's punctuation."""
+
     name = "secret"
-    pattern = r"(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{6,128}"
-    SPLIT = re.compile(r"(.*[=:]\s*[\"']?)(.*)", re.S)
+    pattern = (
+        r"(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b[\"']?\s{0,3}[=:]\s{0,3})"
+        r"(?:\"[^\s\"]{6,}(?=\")|'[^\s']{6,}(?=')|[\"']?[^\s\"'`,;<>(){}\[\]&|]{5,}[^\s\"'`,;<>(){}\[\]&|.:!?])"
+    )
+    SPLIT = re.compile(r"([^=:]*[=:]\s*[\"']?)(.*)", re.S)
 
     def change(self, text, back=False):
         head, value = self.SPLIT.match(text).groups()
         if re.fullmatch(r"[0-9a-f]+", value):
-            return head + mixed(self, value, "hex", back, ("0123456789abcdef",))
-        return head + mixed(self, value, "", back) if any(c.isdigit() for c in value) else None
+            return head + in_blocks(self, value, "hex", back, ("0123456789abcdef",))
+        return head + in_blocks(self, value, "", back) if re.search(r"[0-9]", value) else None
 
 
 KINDS = (Mail, Secret, AccessKey, Iban, Card, Phone, International, Ssn, Date, Address)
