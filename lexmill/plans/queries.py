@@ -394,7 +394,7 @@ def e9_clamped(spark, sf_dir):
 
 @query("SELECT item_id, item_id::INT + 1 AS rank, 1.0::DOUBLE AS score, 'reranked' AS search_type FROM benchmark WHERE item_id < 10")
 def e10_failed_rerank(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").where("item_id < 15").select("item_id", (F.col("item_id") + 1).alias("rank"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") + 1).alias("rank")).orderBy("rank", "item_id").limit(10)
     return embedding.reranked(rows, None, 10, "item_id").select("item_id", "rank", "score", "search_type")
 
 
