@@ -7,7 +7,13 @@ password/token assignments by their form. Each is mapped by a keyed Feistel perm
 own set of values: digits stay digits, separators and check digits stay right, a valid value
 maps to a valid one of the same format, equal values map to equal pseudonyms in every
 document, and with the key the map can be undone. Values outside the set (after a Feistel
-step) are mapped again until they are inside (cycle walking), so it stays one-to-one.
+step) are mapped again until they are inside (cycle walking), so it stays one-to-one. All notations
+of a day share one permutation, which keeps days after the twelfth of a month among themselves, so that
+the pseudonym of 13/02/2001 is read day first again.
+
+The key is a parameter of the operators. ``configured_key`` takes it from the setting ``lexmill.pii.key`` (16
+characters or more); where that is unset it draws a random one for the session, so that nobody undoes the result or
+links it with another run. Only the query, whose rows are to be the same each time, uses the key printed here.
 
 Null texts stay null and empty ones empty; null ids and repeated rows are treated like any
 other; other columns stay as they are; an empty table gives an empty table. Texts are worked
@@ -20,21 +26,34 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded, table
 
-#: The key of queries and tests; a production run brings its own.
-KEY = b"lexmill public demonstration key"
+#: The key of the query and of tests only: everybody knows it.
+DEMONSTRATION_KEY = b"lexmill public demonstration key"
+SETTING = "lexmill.pii.key"
 ROUNDS = 10
 
 
+def configured_key(spark: SparkSession) -> bytes:
+    """The key in the setting ``lexmill.pii.key``, or else one drawn at random, the same for the rest of the session."""
+    given = spark.conf.get(SETTING, None)
+    if given is None:
+        given = secrets.token_hex(32)
+        spark.conf.set(SETTING, given)
+    if len(given) < 16:
+        raise ValueError(f"{SETTING} needs 16 characters or more")
+    return given.encode()
+
+
 class Feistel:
     """A keyed permutation of range(size): a Feistel network on a * b >= size, walked until inside."""
 
@@ -216,16 +235,17 @@ class Date(Kind):
     def change(self, text, back=False):
         # of the two slash orders a date valid in both is read as month first, and its pseudonym must be too
         size = self.LAST - self.FIRST + 1
-        for k, form in enumerate(self.order(text)):
+        late = lambda n: datetime.date.fromordinal(n + self.FIRST).day > 12
+        for form in self.order(text):
             try:
                 day = datetime.datetime.strptime(text, form).date().toordinal() - self.FIRST
             except ValueError:
                 continue
             if not 0 <= day < size:
                 return None
-            ambiguous = k == 1
-            inside = (lambda n: datetime.date.fromordinal(n + self.FIRST).day > 12) if ambiguous else (lambda n: True)
-            return datetime.date.fromordinal(self.network(size, form).walk(day, inside, back) + self.FIRST).strftime(form)
+            own = late(day)
+            new = datetime.date.fromordinal(self.network(size).walk(day, lambda n: late(n) == own, back) + self.FIRST)
+            return new.strftime(form)
         return None
 
 
@@ -306,7 +326,7 @@ QUICK = re.compile(r"[0-9@]")
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.kinds = {k.name: k(key) for k in KINDS}
 
     def text(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -333,7 +353,7 @@ class Pseudonyms:
         return at
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """documents with text replaced, and the columns n_values (long) and kinds (string, their kinds in order, comma between).
 
     Columns of those two names in documents are replaced.
@@ -362,4 +382,4 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op10_pii(spark, sf_dir):
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMONSTRATION_KEY)

@@ -11,6 +11,7 @@ from lexmill.llm import pii
 
 from . import edge
 
+KEY = b"key of the tests"
 VALUES = {
     "card": ["4429526289707589", "4429-5262-8970-7589", "378282246310005"],
     "phone": ["+1 (366) 555-9807", "366-555-9807", "(366) 555-9807", "1.366.555.9807"],
@@ -28,7 +29,7 @@ INVALID = ["4429526289707588", "300.1.2.3", "127.0.0.1", "0.0.0.0", "2001-02-30"
 
 @pytest.mark.parametrize("kind", VALUES)
 def test_values_keep_their_format(kind):
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     for value in VALUES[kind]:
         text = f"Before {value}, after."
         out, found = p.text(text)
@@ -42,19 +43,19 @@ def test_values_keep_their_format(kind):
 
 
 def test_invalid_values_stay():
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     for value in INVALID:
         assert p.text(f"see {value} there") == (f"see {value} there", []), value
 
 
 def test_equal_values_stay_linked_and_keys_differ():
-    p, q = pii.Pseudonyms(), pii.Pseudonyms(b"another key")
+    p, q = pii.Pseudonyms(KEY), pii.Pseudonyms(b"another key")
     a, b = p.text("x 8.8.8.8 y")[0], p.text("quite 8.8.8.8 other")[0]
     assert a.split()[1] == b.split()[1] != q.text("x 8.8.8.8 y")[0].split()[1]
 
 
 def test_check_digits():
-    p, r = pii.Pseudonyms(), random.Random(2)
+    p, r = pii.Pseudonyms(KEY), random.Random(2)
     for _ in range(200):
         body = "4" + "".join(r.choice("0123456789") for _ in range(14))
         new = p.text(f"a {body}{pii.luhn(body)} b")[0].split()[1]
@@ -74,26 +75,65 @@ def test_permutation(size):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("0123456789@.-+()/ aA=:")), max_size=60))
 def test_any_text_is_undone(text):
-    p = pii.Pseudonyms()
+    p = pii.Pseudonyms(KEY)
     out, found = p.text(text)
     assert bool(found) or out == text
+    assert p.text(out, back=True)[0] == text
     at = 0
     for _, a, b in found:
         assert at <= a < b
         at = b
 
 
+CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0a", "aZ", "09zZ", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+
+
+@pytest.mark.parametrize("letters", CLASSES)
+def test_long_values_are_undone(letters):
+    r, p = random.Random(7), pii.Pseudonyms(KEY)
+    for n in [*range(1, 65), 128, 500]:
+        body = "".join(r.choice(letters) for _ in range(n))
+        for text in ([f"mail {body}@x.org now"] if n <= 64 else []) + ([f"password={body}7 now"] if n >= 6 else []):
+            out, found = p.text(text)
+            assert len(found) == 1 and len(out) == len(text) and p.text(out, back=True)[0] == text
+            assert n < 12 or body not in out
+
+
+def test_a_day_has_one_pseudonym_in_all_notations():
+    p, forms = pii.Pseudonyms(KEY), ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y")
+    for k in range(0, 73_000, 97):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=k)
+        own = (*forms, "%d/%m/%Y") if day.day > 12 else forms
+        new = [datetime.datetime.strptime(p.text(f"on {day.strftime(f)} at")[0][3:13], f).date() for f in own]
+        assert len(set(new)) == 1 and (new[0].day > 12) == (day.day > 12)
+
+
+def test_session_key(spark):
+    given_ = spark.conf.get(pii.SETTING, None)
+    spark.conf.unset(pii.SETTING)
+    a = pii.configured_key(spark)
+    assert a == pii.configured_key(spark) and len(a) == 64 and a != pii.DEMONSTRATION_KEY
+    spark.conf.unset(pii.SETTING)
+    assert pii.configured_key(spark) != a
+    spark.conf.set(pii.SETTING, "short")
+    with pytest.raises(ValueError):
+        pii.configured_key(spark)
+    spark.conf.unset(pii.SETTING)
+    if given_:
+        spark.conf.set(pii.SETTING, given_)
+
+
 def test_odd_documents(spark):
     rows = [*edge.TEXTS, (20, "ip 8.8.8.8 " * 5000), (21, "1" * 100_000), (22, "a@" * 20_000), (23, "+1" * 20_000)]
     docs = edge.documents(spark, rows)
-    out = pii.pseudonymised(docs)
+    out = pii.pseudonymised(docs, KEY)
     assert set(out.columns) == set(docs.columns)
     got = {r.doc_id: r for r in out.where("doc_id is not null").collect()}
     assert got[1].text is None and got[2].text == "" and got[20].n_values == 5000 and got[1].n_values == 0
     assert out.count() == len(rows)
     same = docs.where("doc_id not in (20, 21, 23)").select("doc_id", "text").exceptAll(out.where("doc_id not in (20, 21, 23)").select("doc_id", "text"))
     assert same.count() == 0
-    assert pii.pseudonymised(edge.empty(spark)).collect() == []
+    assert pii.pseudonymised(edge.empty(spark), KEY).collect() == []
 
 
 def test_small_table_leaves_no_value(spark, small):
