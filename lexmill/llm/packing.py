@@ -26,51 +26,41 @@ Layout = tuple[tuple[int, ...], int]
 BROADCAST_ROWS = 1_000_000
 
 
-def fullest(counts: dict[int, int], capacity: int) -> list[int]:
-    """The lengths of a fullest bin that holds the longest piece: one or two more pieces if they fill it, else by subset sums.
+def fullest(counts: dict[int, int], capacity: int, slack: int = 0) -> list[int]:
+    """The lengths of a bin that holds the longest piece: of those that leave at most ``slack`` free, or else of the fullest, that with the longest pieces.
 
-    Subset sums are the bits of an integer; the long pieces go in first, so that short ones stay for bins that need them.
+    Sums of pieces are the bits of an integer; there is one for the pieces up to each length, and the choice walks back through them.
     """
     longest = max(counts)
     room = capacity - longest
     left = {k: n - (k == longest) for k, n in counts.items() if k <= room}
-    if not room:
-        return [longest]
-    if left.get(room):
-        return [longest, room]
-    lengths = sorted((k for k, n in left.items() if n), reverse=True)
-    for a in lengths:
-        if 2 * a < room:
-            break
-        if left.get(room - a, 0) > (2 * a == room):
-            return [longest, a, room - a]
-    reach, steps, mask = 1, [], (1 << (room + 1)) - 1
+    lengths = sorted(k for k, n in left.items() if n)
+    reach, mask = [1], (1 << (room + 1)) - 1
     for length in lengths:
-        n, take = min(left[length], room // length), 1
+        sums, n, take = reach[-1], min(left[length], room // length), 1
         while n > 0:
             take = min(take, n)
-            steps.append((reach, length, take))
-            reach |= (reach << (length * take)) & mask
+            sums |= (sums << (length * take)) & mask
             n -= take
             take *= 2
-        if reach >> room & 1:
-            break
-    at, chosen = reach.bit_length() - 1, [longest]
-    for before, length, take in reversed(steps):
-        if not before >> at & 1:
-            chosen += [length] * take
-            at -= length * take
+        reach.append(sums)
+    least = max(0, min(reach[-1].bit_length() - 1, room - slack))
+    chosen, filled = [longest], 0
+    for length, shorter in zip(reversed(lengths), reversed(reach[:-1])):
+        for n in range(min(left[length], (room - filled) // length), -1, -1):
+            at = filled + n * length
+            if (shorter & ((1 << (room - at + 1)) - 1)) >> max(0, least - at):
+                break
+        chosen += [length] * n
+        filled += n * length
     return chosen
 
 
-def _taken(counts: dict[int, int], capacity: int, most_pieces: int | None = None) -> tuple[list[Layout], dict[int, int]]:
-    """Bins taken one kind after the other, and what is left: with most_pieces, pieces that so few cannot fill up a bin with."""
-    counts, plan, rest = {k: v for k, v in counts.items() if v}, [], {}
+def taken(counts: dict[int, int], capacity: int, slack: int) -> list[Layout]:
+    """Bins taken one kind after the other, each as often as counts allow, until nothing is left."""
+    counts, plan = {k: v for k, v in counts.items() if v}, []
     while counts:
-        chosen = fullest(counts, capacity)
-        if most_pieces and (len(chosen) > most_pieces or sum(chosen) < capacity):
-            rest[chosen[0]] = counts.pop(chosen[0])
-            continue
+        chosen = fullest(counts, capacity, slack)
         uses = {k: chosen.count(k) for k in set(chosen)}
         times = min(counts[k] // n for k, n in uses.items())
         plan.append((tuple(chosen), times))
@@ -78,25 +68,26 @@ def _taken(counts: dict[int, int], capacity: int, most_pieces: int | None = None
             counts[k] -= n * times
             if not counts[k]:
                 del counts[k]
-    return plan, rest
+    return plan
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[Layout]:
-    """Takes the fullest combination of what is left, as often as counts allow, until nothing is left.
+    """Takes the fullest combination of what is left, again and again.
 
-    Few pieces of a small corpus may leave bins at the end that nothing fills. If more bins are used than the tokens need, the
-    same is tried with bins of at most two pieces, the rest placed best fit decreasing, and the better plan is kept.
+    Few pieces of a small corpus may leave bins at the end that nothing fills. While more bins are used than the tokens need, the
+    same is tried with a slack of 1, 2, 4 and so on allowed to each bin (relaxed minimum bin slack), which keeps short pieces for the end; the best
+    plan is returned, of equal ones the first.
     """
     if counts and max(counts) > capacity:
         raise ValueError("a piece is longer than a sequence")
-    plan, _ = _taken(counts, capacity)
-    bins = sum(times for _, times in plan)
-    if bins > -(-sum(k * n for k, n in counts.items()) // capacity):
-        pairs, rest = _taken(counts, capacity, 2)
-        other = pairs + best_fit_decreasing(rest, capacity)
-        if sum(times for _, times in other) < bins:
-            return other
-    return plan
+    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    plans: list[tuple[int, list[Layout]]] = []
+    for slack in [0, *(1 << k for k in range(capacity.bit_length()))]:
+        plan = taken(counts, capacity, slack)
+        plans.append((sum(times for _, times in plan), plan))
+        if plans[-1][0] <= least:
+            break
+    return min(plans, key=lambda p: p[0])[1]
 
 
 class CapacityTree:
