@@ -17,6 +17,7 @@ reported like any other; other columns are ignored; empty tables give empty ones
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -34,7 +35,7 @@ SHARE = 0.8
 BAND = 8
 CATALOGUE = 1_000_000
 
-#: Short notices of common licenses and the openings of some texts.
+#: Wordings of licenses and of notices that refer to them.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
@@ -48,30 +49,90 @@ TEMPLATES: dict[str, str] = {
     "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE.",
+    "MIT-0-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+    "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+    "copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE.",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
     "copyright notice and this permission notice appear in all copies.",
+    "0BSD-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
     "and/or other materials provided with the distribution.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.",
+    "BSD-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-licensed": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+    "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the "
+    "original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered "
+    "source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from "
+    "any source distribution.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "BSL-1.0-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+    'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the '
+    "Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+    "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
     "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+    "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GNU-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+    "FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GFDL-notice": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later "
+    "version published by the Free Software Foundation",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
     "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+    "https://www.eclipse.org/legal/epl-2.0/",
     "CC-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "WTFPL-text": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is "
+    "changed.",
+    "OFL-1.1-notice": "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at",
+    "public-domain": "This work has been released into the public domain by its author.",
     "reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "reserved-text": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means, including photocopying, "
+    "recording, or other electronic or mechanical methods, without the prior written permission of the publisher",
 }
+#: Families of like wordings.
+GNU = {"GPL": ("", ("2", "3")), "LGPL": ("Lesser ", ("2.1", "3")), "AGPL": ("Affero ", ("3",))}
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives"}
+CC |= {"BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib BSL-1.0 MPL-2.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 Unlicense".split()
+for _name, (_kind, _versions) in GNU.items():
+    for _v in _versions:
+        _full = f"{_name}-{_v}" if "." in _v else f"{_name}-{_v}.0"
+        TEMPLATES[_full] = f"This work is licensed under the GNU {_kind}General Public License, version {_v}."
+for _name, _long in CC.items():
+    for _v in ("3.0", "4.0"):
+        TEMPLATES[f"CC-{_name}-{_v}"] = f"Licensed under CC {_name} {_v}."
+    TEMPLATES[f"CC-{_name}-4.0-sentence"] = f"This work is licensed under a Creative Commons {_long} 4.0 International License."
+del TEMPLATES["CC-BY-4.0-sentence"]  # CC-notice
+for _name in SPDX:
+    TEMPLATES[f"{_name}-tag"] = f"SPDX-License-Identifier: {_name}"
 
 
 def winnowed(hashes: np.ndarray, words: int, window: int = WINNOW) -> list[int]:
@@ -130,33 +191,48 @@ def hashed(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.nda
     return vocabulary.hash[codes[kept]] if len(kept) else np.zeros(0, dtype=np.uint64), kept
 
 
-def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int]:
+def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND, start: int = 0) -> tuple[int, int, int]:
     """(matched, first, past): most template words matched in order within a band around ``shift``, fewest text words between.
 
     A longest common subsequence of template and text, template word i against text words
-    i + shift - band to i + shift + band; among the longest that which spans the fewest words.
+    i + shift - band to i + shift + band, none before ``start``; among the longest that which spans the fewest words, the earliest of equal ones.
     """
     low = -band
     width = 2 * band + 1
-    best: dict[int, tuple[int, int]] = {}  # by last text word: (matched, -first)
+    best: dict[int, tuple[int, int]] = {}  # by last text word: (matched, first), the latest first of the most matched
     for i in range(len(template)):
         new = dict(best)
         carried, order = (0, 0), sorted(best)
         at = 0
-        for j in range(max(0, i + shift + low), min(len(text), i + shift + low + width)):
+        for j in range(max(start, i + shift + low), min(len(text), i + shift + low + width)):
             while at < len(order) and order[at] < j:
                 carried = max(carried, best[order[at]])
                 at += 1
             if template[i] == text[j]:
-                got = (carried[0] + 1, carried[1] if carried[0] else -j)
-                new[j] = max(new.get(j, (0, 0)), got)
+                new[j] = max(new.get(j, (0, 0)), (carried[0] + 1, carried[1] if carried[0] else j))
         best = new
     if not best:
         return 0, 0, 0
     matched = max(m for m, _ in best.values())
-    past, first = min((j + 1 + f, -f) for j, (m, f) in best.items() if m == matched), None
-    first = past[1]
-    return matched, first, past[0] + first
+    _, first, past = min((j + 1 - f, f, j + 1) for j, (m, f) in best.items() if m == matched)
+    return matched, first, past
+
+
+class Spans:
+    """Disjoint spans, by place."""
+
+    def __init__(self):
+        self.first: list[int] = []
+        self.past: list[int] = []
+
+    def add(self, first: int, past: int) -> bool:
+        """Adds a span, if it overlaps none."""
+        at = bisect.bisect_left(self.first, past)  # the spans before it begin before this one's end
+        if at and self.past[at - 1] > first:
+            return False
+        self.first.insert(at, first)
+        self.past.insert(at, past)
+        return True
 
 
 def scan(index: Index, vocabulary: Vocabulary, text: str, share: float = SHARE, band: int = BAND) -> list[tuple[str, int, int, float, int, int]]:
@@ -173,10 +249,13 @@ def scan(index: Index, vocabulary: Vocabulary, text: str, share: float = SHARE,
     def close():
         t = group[0][0]
         template = index.words[t]
+        start = 0  # a short template may be in one band twice: what a report has is no other's
         for shift in sorted({p - place for _, place, p in group}):
-            matched, first, past = aligned(template, hashes, shift, band)
+            matched, first, past = aligned(template, hashes, shift, band, start)
             if matched >= (share * len(template) if len(template) > WHOLE else len(template)):
                 found.append((t, matched, first, past))
+                if len(template) <= band:
+                    start = past
 
     for hit in hits:
         if group and (hit[0] != group[-1][0] or (hit[2] - hit[1]) - (group[-1][2] - group[-1][1]) > band):
@@ -185,16 +264,16 @@ def scan(index: Index, vocabulary: Vocabulary, text: str, share: float = SHARE,
         group.append(hit)
     close()
     # of overlapping reports of a template the best, then none inside a longer template's
-    kept_reports: list[tuple] = []
+    kept_reports, taken = [], {}
     for r in sorted(set(found), key=lambda r: (-r[1] / len(index.words[r[0]]), r[3] - r[2], r[2], r[0])):
-        if not any(r[0] == o[0] and r[2] < o[3] and o[2] < r[3] for o in kept_reports):
+        if taken.setdefault(r[0], Spans()).add(r[2], r[3]):
             kept_reports.append(r)
-    best: list[tuple] = []
+    best, spans = [], Spans()
     for r in sorted(kept_reports, key=lambda r: (-r[1], -r[1] / len(index.words[r[0]]), r[0], r[2])):
-        if not any(r[2] < o[3] and o[2] < r[3] for o in best):
+        if spans.add(r[2], r[3]):
             best.append(r)
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
-    return [(index.names[t], m, len(index.words[t]), m / len(index.words[t]), spans[kept[a]][0], spans[kept[b - 1]][1]) for t, m, a, b in sorted(best, key=lambda r: (r[2], r[3]))]
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    return [(index.names[t], m, len(index.words[t]), m / len(index.words[t]), places[kept[a]][0], places[kept[b - 1]][1]) for t, m, a, b in sorted(best, key=lambda r: (r[2], r[3]))]
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE) -> DataFrame:

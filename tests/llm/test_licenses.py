@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -40,6 +41,39 @@ def test_each_copy_is_reported():
     assert [g[0] for g in got] == ["GPL-3.0"] * 3
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-4.0", "Apache-2.0", "MIT-tag", "GPL-3.0", "Unlicense"])
+@pytest.mark.parametrize("between", ["", "some words here. ", "a "])
+def test_adjacent_copies(name, between):
+    index, v = L.Index(L.TEMPLATES), Vocabulary()
+    for n in (1, 2, 3, 5, 50, 500):
+        one = f"{L.TEMPLATES[name]} {between}"
+        got = L.scan(index, v, one * n)
+        assert [(g[0], g[4], g[5]) for g in got] == [(name, k * len(one), k * len(one) + len(L.TEMPLATES[name])) for k in range(n)]
+
+
+def test_many_reports_take_linear_time():
+    index, v, texts = L.Index(L.TEMPLATES), Vocabulary(), list(L.TEMPLATES.values())
+    lines = [texts[k % len(texts)] + f" line {k} of many." for k in range(400)]
+    L.scan(index, v, " ".join(lines))
+    times = []
+    for n in (2, 16):
+        start = time.process_time()
+        got = L.scan(index, v, " ".join(lines * n))
+        times.append(time.process_time() - start)
+        assert len(got) >= 400 * n
+    assert times[1] < 8 * times[0] * 2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 8)), max_size=20))
+def test_spans_are_disjoint(given_):
+    spans, kept = L.Spans(), []
+    for a, n in given_:
+        free = not any(a < y and x < a + n for x, y in kept)
+        assert spans.add(a, a + n) == free
+        kept += [(a, a + n)] * free
+
+
 def brute_lcs(a, b, shift, band):
     best = {(0, 0): 0}
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -51,14 +85,15 @@ def brute_lcs(a, b, shift, band):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), max_size=20), st.integers(-3, 8), st.integers(0, 4))
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), max_size=14), st.integers(-3, 8), st.integers(0, 4))
 def test_alignment_equals_brute_force(a, b, shift, band):
     import numpy as np
 
     matched, first, past = L.aligned(np.array(a), np.array(b), shift, band)
     assert matched == brute_lcs(a, b, shift, band)
     if matched:
-        assert brute_lcs(a, b[first:past], shift - first, band) == matched
+        spans = [(y - x, x, y) for x in range(len(b)) for y in range(x + 1, len(b) + 1) if brute_lcs(a, b[x:y], shift - x, band) == matched]
+        assert (past - first, first, past) == min(spans)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 9, 40])
