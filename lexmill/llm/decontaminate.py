@@ -13,7 +13,10 @@ exchanged is found, and a text that only shares phrases is not.
 
 Before the join, document windows that are in no benchmark window are left out by a sorted
 array of the benchmark's hashes, if there are at most ``FILTER`` of them (32 MB); beyond
-that all windows are joined.
+that all windows are joined. What remains is joined to the rarest windows of each item first: a document
+that holds ``share`` of an item's windows holds one of its n - ceil(share * n) + 1 rarest, by the
+number of their occurrences in the documents. Only the pairs so found are compared whole, so a window that is in many
+items and documents makes no pairs by itself.
 
 An item without such a window (mostly numbers, units and signs) has instead, in a channel of
 its own, all windows of its words as they stand, signs and numbers included, so that verbatim
@@ -28,10 +31,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, saved, table, without
+from .common import bounded, drop, saved, table, without
 from .words import NUMBER, PLAIN, PUNCTUATION, UNIT, Vocabulary, window_hashes
 
 WINDOW = 5
@@ -187,17 +190,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     if n <= FILTER:
         values = np.array([r.hash for r in hashes.toLocalIterator()], dtype=np.int64).view(np.uint64)
         known = spark.sparkContext.broadcast(np.sort(values))
+    placed = F.when(F.col("slots") == "", 0).otherwise(F.col("pos"))  # only slots need a place
     found = windows(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), lengths, known)
-    total = of_items.groupBy("id", "channel").agg(F.countDistinct("hash").alias("windows"))
-    sides = of_items.select(F.col("id").alias("item_id"), "channel", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    if of_items.count() <= BROADCAST_ROWS:
-        sides, total = F.broadcast(sides), F.broadcast(total)
+    found = saved(found.withColumnRenamed("id", "doc_id").withColumn("pos", placed).distinct(), "document-windows")
+    total = of_items.groupBy(F.col("id").alias("item_id"), "channel").agg(F.countDistinct("hash").alias("windows"))
+    sides = of_items.select(F.col("id").alias("item_id"), "channel", "hash", placed.alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
+    small = F.broadcast if of_items.count() <= BROADCAST_ROWS else lambda df: df
+    often = found.groupBy("channel", "hash").agg(F.count("*").alias("n"))  # of windows of the benchmark, where the filter is on
+    by_rarity = Window.partitionBy("item_id", "channel").orderBy(F.coalesce("n", F.lit(0)), "hash")  # an item's windows
+    least = F.col("windows") - F.ceil(F.col("windows") * share - 1e-9) + 1
+    rare = sides.select("item_id", "channel", "hash").distinct().join(often, ["channel", "hash"], "left").withColumn("rank", F.row_number().over(by_rarity))
+    rare = saved(rare.join(small(total), ["item_id", "channel"]).where(F.col("rank") <= least).select("item_id", "channel", "hash"), "rare-windows")
+    candidates = found.select("doc_id", "channel", "hash").join(small(rare), ["channel", "hash"]).select("doc_id", "item_id", "channel").distinct()
     pairs = saved(
-        found.join(sides, ["channel", "hash"]).select(
-            F.col("id").alias("doc_id"), "item_id", "channel", "hash", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", F.col("slots").alias("doc_slots")
-        ),
+        candidates.join(small(sides), ["item_id", "channel"])
+        .join(found.select("doc_id", "channel", "hash", "pos", F.col("slots").alias("doc_slots")), ["doc_id", "channel", "hash"])
+        .select("doc_id", "item_id", "channel", "hash", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_slots", "doc_slots"),
         "window-pairs",
     )
+    drop(found, rare)
+    pair = ["doc_id", "item_id", "channel"]
+    enough = pairs.groupBy(*pair).agg(F.countDistinct("hash").alias("n")).join(small(total), ["item_id", "channel"]).where(F.col("n") >= F.col("windows") * share - 1e-9)
+    pairs = saved(pairs.join(enough.select(*pair), pair, "left_semi"), "window-pairs")
     # what fills the slots, by document, item and distance between their places: at most the item's words each
     keys = ["doc_id", "item_id", "channel", "shift"]
     slots = (
@@ -216,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     changed = fills.groupBy(*keys).agg(F.count_if(F.col("a") != F.col("most")).alias("changed"))
     by_shift = pairs.join(against, [*keys, "item_pos", "doc_slots"], "left_anti").select(*keys, "hash").distinct().join(changed, keys, "left")
     matched = by_shift.groupBy("doc_id", "item_id", "channel").agg(F.countDistinct("hash").alias("matched"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
-    scored = matched.join(total.withColumnRenamed("id", "item_id"), ["item_id", "channel"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= share)
+    scored = matched.join(small(total), ["item_id", "channel"]).withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("matched") >= F.col("windows") * share - 1e-9)
     best = F.max_by(F.struct("matched", "windows", "coverage", "changed"), F.struct("coverage", F.lit(1) - F.col("channel"))).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "best.changed")
 
