@@ -131,12 +131,12 @@ def deduplicated(docs: DataFrame, share: float = similar.SHARE) -> DataFrame:
     Classes are those of ``similar``: five-word shingles with a Jaccard similarity of at least ``share``.
     Of classes whose ids are all null one document for each signature stays.
     """
-    fps = saved(similar.signatures(docs), "signatures")
-    found = classes(fps, linked=similar.links(docs, share))
+    fps, links = similar.linked(docs, share)
+    found = classes(fps, linked=links)
     rest = saved(fps.join(found, "fp").where("doc_id <> component_id").select("doc_id"), "duplicates")
     again = saved(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     nulls = fps.where("doc_id is null").limit(1).count()
-    drop(fps)
+    drop(fps, links)
     kept = without(docs, rest) if not nulls else without(docs.where("doc_id is not null"), rest)
     if again.limit(1).count():
         name = fresh()

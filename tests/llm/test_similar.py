@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ def edited(r, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("most", [2, 16])
-def test_stage_equals_brute_force(spark, most, monkeypatch):
+@pytest.mark.parametrize("slots", [4, 24])  # few classes make the order coarse and change nothing else
+def test_stage_equals_brute_force(spark, slots, monkeypatch):
     r, vocabulary = random.Random(4), [f"w{k}" for k in range(3000)]
     make = lambda n: [r.choice(vocabulary) for _ in range(n)]
     common, rows = make(40), []
@@ -40,14 +41,38 @@ def test_stage_equals_brute_force(spark, most, monkeypatch):
     rows += [" ".join(common + make(n)) for n in [2, 3, 5, 9, 40, 60] * 5]  # a passage in common
     rows += ["", "a", "A", "one two three", "One two  three", "a b c d e f g h"]
     rows = list(enumerate(rows))
-    real = similar.links
-    monkeypatch.setattr(similar, "links", lambda docs, share: real(docs, share, most))
+    real = similar.linked
+    monkeypatch.setattr(similar, "linked", lambda docs, share: real(docs, share, slots))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {x.doc_id for x in simhash.deduplicated(docs).select("doc_id").collect()}
     want = brute_kept(rows)
     assert got == want and len(want) < len(rows) - 60
 
 
+def test_levels_are_counts():
+    r = np.random.default_rng(5)
+    hashes = [r.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1) for n in (0, 7, 900, 5000)]
+    often = [np.concatenate([hashes[3][:k] for k in (4000, 900, 900, 100, 1)]), hashes[2], hashes[1], hashes[1][:3]]
+    want: dict = {}
+    every, times = np.unique(np.concatenate(often), return_counts=True)
+    for h, n in zip(every.tolist(), times.tolist()):
+        if n > 1:
+            slot = h >> (64 - similar.SLOTS)
+            want[slot] = max(want.get(slot, 0), n.bit_length())
+    for bits in (1, 5, 12):
+        ranges, parts = similar.Ranges(bits), {}
+        for held in often:
+            for part, once, more in ranges.cut(held) if len(held) else []:
+                parts.setdefault(part, ([], []))
+                parts[part][0].append(once)
+                parts[part][1].append(more)
+        table = np.zeros(1 << similar.SLOTS, dtype=np.uint8)
+        width = 1 << (similar.SLOTS - bits)
+        for part, (once, more) in parts.items():
+            table[part * width : (part + 1) * width] = np.frombuffer(ranges.levels(once, more), dtype=np.uint8)
+        assert {int(k): int(table[k]) for k in np.nonzero(table)[0]} == want
+
+
 def test_near_copies_far_apart_in_bits(spark, small):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     kept = simhash.deduplicated(spark.read.parquet(f"{small}/documents.parquet"))
