@@ -12,6 +12,10 @@ places of lists, and filters come from one fixed table.
     expressions: strings, numbers, true/false/none, names, a.b, a[b], not/and/or, == != < > <= >= in,
     + - * % ~, e | filter, (e), [e, ...], and loop.index, loop.index0, loop.first, loop.last in loops
 
+Whatever is wrong with a template or with the values it meets is a ``TemplateError``: a block that is not closed, brackets or blocks nested
+deeper than ``DEEPEST``, an operation or filter that does not fit its values. Folding computes only what
+rendering would: the right side of a decided ``and`` or ``or`` is left out, and an operation that fails waits until it is reached.
+
 Control strings inside texts are escaped reversibly: ``<``, any number of backslashes and
 ``|`` get one backslash more, so that ``<|`` is only ever written by the template.
 """
@@ -75,8 +79,12 @@ def _text(x) -> str:
     return x if isinstance(x, str) else str(x) if isinstance(x, (int, float)) else json.dumps(x, ensure_ascii=False)
 
 
+#: Most brackets, signs or blocks inside one another.
+DEEPEST = 50
 LEXER = re.compile(r"\s*(?:(\d+)|('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*%~<>|.,()\[\]=]))", re.S)
-BLOCK = re.compile(r"\{\{(-?)(.*?)(-?)\}\}|\{%(-?)(.*?)(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.S)
+_BODY = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?)"  # strings may hold what closes a block
+BLOCK = re.compile(r"\{\{(-?)" + _BODY + r"(-?)\}\}|\{%(-?)" + _BODY + r"(-?)%\}|\{#(-?)(.*?)(-?)#\}", re.S)
+OPEN = re.compile(r"\{[{%#]")
 STRING_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 
@@ -98,7 +106,7 @@ class _Parser:
     BINARY = (("or",), ("and",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-", "~"), ("*", "%"))
 
     def __init__(self, source: str):
-        self.tokens, self.at = _lex(source), 0
+        self.tokens, self.at, self.depth = _lex(source), 0, 0
 
     def peek(self) -> str | None:
         return self.tokens[self.at][1] if self.at < len(self.tokens) and self.tokens[self.at][0] in ("sign", "name") else None
@@ -128,20 +136,33 @@ class _Parser:
     def binary(self, level: int):
         if level == len(self.BINARY):
             return self.unary()
-        left = self.binary(level + 1)
+        left, n = self.binary(level + 1), 0
         while self.peek() in self.BINARY[level]:
-            sign = self.peek()
+            sign, n = self.peek(), n + 1
+            if n > 4 * DEEPEST:
+                raise TemplateError("an expression is too long")
             self.at += 1
             left = ("binary", sign, left, self.binary(level + 1))
         return left
 
     def unary(self):
+        self.depth += 1
+        if self.depth > DEEPEST:
+            raise TemplateError("an expression is nested too deep")
+        tree = self.signed()
+        self.depth -= 1
+        return tree
+
+    def signed(self):
         if self.take("not"):
             return ("not", self.binary(2))
         if self.take("-"):
             return ("binary", "-", ("constant", 0), self.unary())
         tree = self.atom()
+        start = self.at
         while True:
+            if self.at - start > 4 * DEEPEST:
+                raise TemplateError("an expression is too long")
             if self.take("."):
                 tree = ("item", tree, ("constant", self.name()))
             elif self.take("["):
@@ -191,7 +212,7 @@ OPERATIONS: dict[str, Callable] = {
     ">=": lambda a, b: a >= b,
     "in": lambda a, b: a in (b if b is not None else ()),
     "+": lambda a, b: a + b if isinstance(a, (int, float)) and isinstance(b, (int, float)) else _text(a) + _text(b),
-    "-": lambda a, b: a - b,
+    "-": lambda a, b: _number(a) - _number(b),
     "*": lambda a, b: _number(a) * _number(b),
     "%": lambda a, b: _number(a) % _number(b),
     "~": lambda a, b: _text(a) + _text(b),
@@ -213,11 +234,28 @@ def fold(tree):
         parts = tuple(fold(t) for t in tree[1])
         return ("constant", [p[1] for p in parts]) if all(p[0] == "constant" for p in parts) else ("list", parts)
     new = tuple(fold(t) if isinstance(t, tuple) else t for t in tree)
+    if kind == "binary" and new[1] in ("and", "or") and new[2][0] == "constant":
+        return new[2] if bool(new[2][1]) == (new[1] == "or") else new[3]
     if all(t[0] == "constant" for t in new[1:] if isinstance(t, tuple)):
-        return ("constant", expression(new)({}))
+        try:
+            return ("constant", expression(new)({}))
+        except TemplateError:  # it may never be reached
+            return new
     return new
 
 
+def _safe(apply: Callable) -> Callable:
+    """apply, with errors of its values as TemplateError."""
+
+    def run(*values):
+        try:
+            return apply(*values)
+        except (TypeError, ValueError, ArithmeticError, LookupError, RecursionError, MemoryError) as e:
+            raise e if isinstance(e, TemplateError) else TemplateError(f"{type(e).__name__}: {e}") from e
+
+    return run
+
+
 def _item(value, key):
     if isinstance(value, dict):
         return value.get(key)
@@ -238,7 +276,7 @@ def expression(tree) -> Callable[[dict], object]:
         value, key = expression(tree[1]), expression(tree[2])
         return lambda scope: _item(value(scope), key(scope))
     if kind == "filter":
-        apply, value = FILTERS[tree[1]], expression(tree[2])
+        apply, value = _safe(FILTERS[tree[1]]), expression(tree[2])
         return lambda scope: apply(value(scope))
     if kind == "not":
         value = expression(tree[1])
@@ -251,15 +289,8 @@ def expression(tree) -> Callable[[dict], object]:
         return lambda scope: left(scope) and right(scope)
     if sign == "or":
         return lambda scope: left(scope) or right(scope)
-    apply = OPERATIONS[sign]
-
-    def run(scope):
-        try:
-            return apply(left(scope), right(scope))
-        except TypeError as e:
-            raise TemplateError(str(e)) from e
-
-    return run
+    apply = _safe(OPERATIONS[sign])
+    return lambda scope: apply(left(scope), right(scope))
 
 
 class Output:
@@ -280,6 +311,8 @@ def _parse(source: str) -> list:
     stack, opened, at, trim = [[]], [], 0, False
 
     def text(piece: str, before: bool) -> None:
+        if m := OPEN.search(piece):
+            raise TemplateError(f"{m[0]} is not closed")
         piece = piece.lstrip() if trim else piece
         piece = piece.rstrip() if before else piece
         if piece:
@@ -290,6 +323,8 @@ def _parse(source: str) -> list:
         text(source[at : m.start()], m[group] == "-")
         at, trim = m.end(), m[group + 2] == "-"
         body = m[group + 1].strip()
+        if len(stack) > DEEPEST:
+            raise TemplateError("blocks are nested too deep")
         if group == 7:
             continue
         if group == 1:

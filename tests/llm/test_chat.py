@@ -39,6 +39,35 @@ def test_bad_templates(source):
         chat.compiled(source)
 
 
+DEEP = ["(" * 3000 + "1" + ")" * 3000, "[" * 3000 + "]" * 3000, "-" * 3000 + "1", "not " * 3000 + "1", "1" + " + 1" * 9000, "x" + ".a" * 9000, "x" + " | trim" * 9000]
+
+
+@pytest.mark.parametrize("source", [*("{{ " + e + " }}" for e in DEEP), "{% if x %}" * 2000 + "{% endif %}" * 2000, "{{ 'a }}", "{% if x", "a {# b", "{{ x | first }}{{"])
+def test_too_deep_or_not_closed(source):
+    with pytest.raises(chat.TemplateError):
+        chat.compiled(source)
+
+
+@pytest.mark.parametrize("source", ["{{ 1 % 0 }}", "{{ x % 0 }}", "{{ x | first }}", "{{ x | length }}", "{{ 'a' - 1 }}", "{{ 'a' * 3 }}", "{{ x < 'a' }}", "{{ [1] in 'a' }}", "{% for a in x %}{% endfor %}"])
+def test_values_that_do_not_fit(source):
+    render = chat.compiled(source)
+    with pytest.raises(chat.TemplateError):
+        render({"x": 5})
+
+
+def test_short_circuit():
+    run = lambda s, **v: chat.compiled(s)(v)[0]
+    assert run("{{ true or (1 % 0) }}{{ false and (1 % 0) }}{{ x or (1 % 0) }}", x=3) == "truefalse3"
+    assert run("{{ 0 or x }}{{ 1 and x }}", x="y") == "yy"
+    assert run("{% if false %}{{ 1 % 0 }}{% endif %}ok") == "ok"
+    assert chat.fold(chat._Parser("true or (1 % 0)").whole()) == ("constant", True)
+
+
+def test_strings_may_hold_what_closes_a_block():
+    run = lambda s, **v: chat.compiled(s)(v)[0]
+    assert run("""{{ '}}' }}|{{ "%}" ~ '{{' }}|{% if x == '%}' %}yes{% endif %}""", x="%}") == "}}|%}{{|yes"
+
+
 def test_sandbox():
     assert chat.compiled("{{ x.__class__ }}{{ x['__init__'] }}")({"x": "text"})[0] == ""
     assert chat.compiled("{{ x.keys }}")({"x": {"a": 1}})[0] == ""
