@@ -1,16 +1,20 @@
 """Exact top-k search by inner product over integer vectors.
 
-Vectors are cut into stripes by a hash of their id, queries into blocks, and each task
-searches one block in one stripe: the stripe's vectors, rotated by the right singular
+Vectors are cut into stripes by falling length. Each query is first searched in the stripe of the longest vectors,
+which gives a score that its k-th best reaches at least. A query's threshold divided by its own length is the least length a
+vector needs (Cauchy-Schwarz); queries are cut into blocks by that quotient, and a block is sent to those stripes only whose longest
+vector has it, a stripe only to the blocks that need it.
+
+Within a task the stripe's vectors, rotated by the right singular
 vectors of a sample so that the first coordinates carry most of a product, go by in order
 of falling length. A query is done when its length times the next vector's cannot reach its
-k-th score (Cauchy-Schwarz); otherwise the product of the first coordinates plus the
+threshold or k-th score; otherwise the product of the first coordinates plus the
 lengths of the two rests bounds the score, and only vectors whose bound reaches it are
 scored in full, in integers. The bounds carry a margin for rounding, so that no vector is
 lost. Best rows of each stripe are merged, ties to the smaller id.
 
 The rotation is fitted on the ``SAMPLE`` vectors of smallest id hash; any orthogonal one is
-right, it only prunes less.
+right, it only prunes less. The driver holds a length for each stripe and each block.
 
 Vectors that are null, or hold null or non-finite components, or have a null id take no
 part. Of rows with one id the smallest vector counts. A product is defined between vectors
@@ -27,9 +31,13 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 SAMPLE = 2048
-STRIPE = 8192
-QUERIES = 4096
-CHUNK = 1024
+STRIPE = 32_768  # vectors of a stripe
+LEAST = 2048  # of small tables, where as many stripes as TASKS are made of so many
+TASKS = 16
+QUERIES = 16_384  # of a block
+PART = 2048  # queries, and
+CHUNK = 1024  # vectors multiplied at once
+BROADCAST_ROWS = 1_000_000
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -52,8 +60,8 @@ def rotation(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, axes: np.ndarray | None, head: int | None = None):
-    """The k best candidates of each query: (query row, candidate id, score), in no order. All vectors of one dimension."""
+def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, axes: np.ndarray | None, head: int | None = None, least: np.ndarray | None = None):
+    """The k best candidates of each query that score ``least`` or more: (query row, candidate id, score), in no order. All vectors of one dimension."""
     d = q.shape[1]
     axes = np.eye(d) if axes is None else axes
     head = head or max(1, min(d, (d + 3) // 4))
@@ -68,8 +76,12 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     best_i = np.full((len(q), k), HIGH, dtype=np.int64)
     filled = np.zeros(len(q), dtype=np.int64)
     live = np.arange(len(q))
+    least = np.full(len(q), -np.inf) if least is None else least
     slack = 1e-9 * (float(cl[0]) if len(cl) else 0.0) * ql + 1e-6
 
+    def floors(rows: np.ndarray) -> np.ndarray:
+        return np.maximum(least[rows], np.where(filled[rows] >= k, best_s[rows, k - 1].astype(np.float64), -np.inf))
+
     def full(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         if exact:
             return np.einsum("ij,ij->i", q[rows], c[cols]).astype(np.int64)
@@ -79,11 +91,10 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
 
     for at in range(0, len(c), CHUNK):
         part = slice(at, at + CHUNK)
-        floor = np.where(filled[live] >= k, best_s[live, k - 1].astype(np.float64), -np.inf)
-        live = live[ql[live] * cl[at] + slack[live] >= floor]
+        live = live[ql[live] * cl[at] + slack[live] >= floors(live)]
         if not len(live):
             break
-        floor = np.where(filled[live] >= k, best_s[live, k - 1].astype(np.float64), -np.inf)
+        floor = floors(live)
         bound = qr[live, :head] @ cr[part, :head].T
         bound += qrest[live][:, None] * crest[part][None, :]
         hit = bound + slack[live][:, None] >= floor[:, None]
@@ -118,27 +129,62 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     return rows, best_i[rows, ranks], best_s[rows, ranks]
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best vectors of each query; both tables (vec_id, v), ids unique."""
-    axes = rotation(vectors)
-    stripes = max(1, -(-vectors.count() // STRIPE))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v", at(blocks).alias("block"), spread(stripes).alias("stripe"))
-    right = vectors.select("vec_id", "v", spread(blocks).alias("block"), at(stripes).alias("stripe"))
+def cut(df: DataFrame, n: int, name: str, *order) -> DataFrame:
+    """df, written, with its column ``name``: one of at most n ranges in that order, ties spread by id."""
+    return saved(df.repartitionByRange(max(1, n), *order, F.xxhash64("vec_id")).withColumn(name, F.spark_partition_id()), name)
+
+
+def searched(left: DataFrame, right: DataFrame, keys: list[str], k: int, axes: dict[int, np.ndarray]) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query (vec_id, v, least) among the vectors (vec_id, v) under the same keys."""
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d in set(q["v"].map(len)) & set(c["v"].map(len)):
-            qd, cd = q[q["v"].map(len) == d], c[c["v"].map(len) == d]
-            if not d:
-                continue
-            rows, ids, scores = search(qd["vec_id"].to_numpy(), np.stack(qd["v"].to_numpy()), cd["vec_id"].to_numpy(), np.stack(cd["v"].to_numpy()), k, axes.get(d))
-            out.append(pd.DataFrame({"query_id": qd["vec_id"].to_numpy()[rows], "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-
-    found = left.groupBy("block", "stripe").cogroup(right.groupBy("block", "stripe")).applyInPandas(run, "query_id long, vec_id long, score long")
+        dims, of = q["v"].map(len), c["v"].map(len)
+        for d in sorted((set(dims) & set(of)) - {0}):
+            qd, cd = q[dims == d], c[of == d]
+            vectors, ids = np.stack(cd["v"].to_numpy()), cd["vec_id"].to_numpy()
+            for at in range(0, len(qd), PART):
+                part = qd.iloc[at : at + PART]
+                own = part["vec_id"].to_numpy()
+                rows, found, scores = search(own, np.stack(part["v"].to_numpy()), ids, vectors, k, axes.get(d), least=part["least"].fillna(-np.inf).to_numpy())
+                out.append(pd.DataFrame({"query_id": own[rows], "vec_id": found, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
+
+    left, right = left.select(*keys, "vec_id", "v", "least"), right.select(*keys, "vec_id", "v")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best vectors of each query; both tables (vec_id, v), ids unique."""
+    spark = vectors.sparkSession
+    axes, n, m = rotation(vectors), vectors.count(), queries.count()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    stripes = cut(vectors.select("vec_id", "v", length.alias("length")), max(-(-n // STRIPE), min(TASKS, -(-n // LEAST))), "stripe", F.desc("length"))
+    longest = sorted((r.stripe, r.length) for r in stripes.groupBy("stripe").agg(F.max("length").alias("length")).collect())  # a row a stripe
+    top = longest[0][0] if longest else 0
+    n_blocks = max(1, -(-m // QUERIES))
+    asked = queries.select("vec_id", "v", length.alias("length"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(None).cast("double").alias("least"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    first = saved(searched(asked, stripes.where(F.col("stripe") == top).select("vec_id", "v", each), ["block"], k, axes), "first")
+
+    # what a query's k-th best reaches, and the length that takes
+    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "least")
+    needs = F.coalesce(F.when(F.col("length") > 0, F.col("least") / F.col("length")), F.lit(float("-inf")))
+    blocks = cut(asked.drop("block", "least").join(reached, "vec_id", "left").withColumn("needs", needs), n_blocks, "block", "needs")
+    ends = sorted((r.block, r.needs) for r in blocks.groupBy("block").agg(F.min("needs").alias("needs")).collect())  # a row a block
+    enough = lambda long, needed: long * (1 + 1e-9) + 1e-6 >= needed
+    places = [(s, sum(enough(long, needed) for _, needed in ends)) for s, long in longest if s != top]  # blocks need more and more, stripes have less and less
+    steps = [(b, sum(enough(long, needed) for s, long in longest if s != top)) for b, needed in ends]
+
+    def spread(df, own, other, counts, names):
+        """A copy of each row for each of the first so many of the other's ranges."""
+        table = spark.createDataFrame([(i, names[:c]) for i, c in counts if c], f"{own} int, {other}s array<int>")
+        table = F.broadcast(table) if sum(c for _, c in counts) <= BROADCAST_ROWS else table
+        return df.join(table, own).withColumn(other, F.explode(f"{other}s"))
+
+    left = spread(blocks, "block", "stripe", steps, [s for s, _ in longest if s != top])
+    right = spread(stripes, "stripe", "block", places, [b for b, _ in ends])
+    found = first.unionByName(searched(left, right, ["block", "stripe"], k, axes))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -46,6 +46,34 @@ def test_pruning_keeps_results_over_many_chunks(monkeypatch):
     assert {k: sorted(v, key=lambda x: (-x[1], x[0])) for k, v in got.items()} == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 6), st.integers(5, 60))
+def test_search_above_a_threshold(seed, d, n):
+    r = np.random.default_rng(seed)
+    c = r.integers(-4, 5, (n, d)).astype(float)
+    want = brute(range(n), c, range(n), c, 3)
+    least = np.array([want[i][-1][1] if len(want[i]) == 3 else -np.inf for i in range(n)], dtype=float)
+    rows, found, scores = topk.search(np.arange(n), c, np.arange(n), c, 3, None, least=least)
+    got = {i: [] for i in range(n)}
+    for row, i, s in zip(rows, found, scores):
+        got[row].append((int(i), int(s)))
+    assert {i: sorted(x, key=lambda y: (-y[1], y[0])) for i, x in got.items()} == want
+
+
+def test_short_vectors_are_never_sent(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST", 10)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    r = np.random.default_rng(3)
+    c = np.floor(r.uniform(500, 1500, (160, 4)) * np.repeat([1, 0.001], [20, 140])[:, None])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "vec_id long, v array<double>")
+    sent, real = [], topk.searched
+    monkeypatch.setattr(topk, "searched", lambda left, right, keys, k, axes: sent.append(right.count()) or real(left, right, keys, k, axes))
+    got = sorted(tuple(x) for x in topk.top_k(v.where("vec_id < 20"), v, 5).collect())
+    want = brute(range(20), c[:20], range(160), c, 5)
+    assert got == sorted((i, n + 1, j, s) for i, x in want.items() for n, (j, s) in enumerate(x))
+    assert sent[1] < 160  # of 160 vectors for each of seven blocks
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.5]), (50, [1.0, 0.5]), (51, [1.0, 0.5]), (52, [-0.001, 2.0]), (53, None), (54, [None, 1.0]), (55, [nan, 1.0]), (56, [inf, 1.0]), (None, [9.0, 9.0]), (57, [1.0, 2.0, 3.0]), (58, []), (51, [1.0, 0.5])]
@@ -60,6 +88,7 @@ def test_odd_rows(spark):
 @pytest.mark.parametrize("stripe", [3, 100_000])
 def test_stripes_and_blocks(spark, small, monkeypatch, stripe):
     monkeypatch.setattr(topk, "STRIPE", stripe * 20)
+    monkeypatch.setattr(topk, "LEAST", stripe * 20)
     monkeypatch.setattr(topk, "QUERIES", 4)
     got = sorted(tuple(r) for r in topk.op1_exact_top_k(spark, small).collect())
     t = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
