@@ -100,7 +100,7 @@ def write(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
     return saved(bounded(rows).mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
-def header(data: bytes) -> tuple[dict[str, str], int] | None:
+def header(data: bytes | bytearray) -> tuple[dict[str, str], int] | None:
     """The fields of a WARC header and where its block starts; None if data does not begin with a whole one."""
     if not data.startswith(b"WARC/1."):
         return None
@@ -117,48 +117,54 @@ def header(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 class _Window:
-    """A file read forward in blocks, from which what lies behind can be let go."""
+    """A file read forward in blocks, from which what lies behind can be let go; going back reads anew."""
 
     def __init__(self, file, start: int):
-        self.file, self.base, self.data = file, start, b""
+        self.file, self.base, self.data = file, start, bytearray()
         file.seek(start)
 
     def at(self, pos: int, n: int) -> bytes:
+        if pos < self.base:
+            self.file.seek(pos)
+            self.base, self.data = pos, bytearray()
         while self.base + len(self.data) < pos + n:
             more = self.file.read(BLOCK)
             if not more:
                 break
             self.data += more
-        return self.data[pos - self.base : pos - self.base + n]
+        return bytes(self.data[pos - self.base : pos - self.base + n])
 
     def free(self, pos: int) -> None:
         if pos - self.base > 2 * BLOCK:
-            self.data, self.base = self.data[pos - self.base :], pos
+            del self.data[: pos - self.base]
+            self.base = pos
 
 
 def _member(window: _Window, pos: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Header, block and end of the record whose member starts at pos; None if none does."""
-    inflate, out, found, at, looked = zlib.decompressobj(31), [], None, pos, 0
+    """Header, block and end of the record whose member starts at pos; None if none does. Holds the block, and of the file a few blocks."""
+    inflate, data, found, at, looked = zlib.decompressobj(31), bytearray(), None, pos, 0
     try:
         while not inflate.eof:
             part = window.at(at, 1 << 16)
             if not part:
                 return None
-            out.append(inflate.decompress(part))
+            data += inflate.decompress(part)
             at += len(part)
-            if found is None and (inflate.eof or sum(map(len, out)) >= 2 * looked):  # a long header is not searched at every step
-                head = b"".join(out)
-                looked = len(head)
-                out, found = [head], header(head)
-                if found is None and (b"\r\n\r\n" in head or not head.startswith(b"WARC/1."[: len(head)])):
+            if found is not None:
+                window.free(at)
+            elif inflate.eof or len(data) >= 2 * looked:  # a long header is not searched at every step
+                looked = len(data)
+                found = header(data)
+                if found is None and (b"\r\n\r\n" in data or not data.startswith(b"WARC/1."[: len(data)])):
                     return None
     except zlib.error:
         return None
     if found is None:
         return None
     fields, start = found
-    data = b"".join(out)
-    return fields, data[start : start + int(fields["content-length"])], at - len(inflate.unused_data)
+    del data[start + int(fields["content-length"]) :]
+    del data[:start]
+    return fields, bytes(data), at - len(inflate.unused_data)
 
 
 def scan(file, start: int, end: int):

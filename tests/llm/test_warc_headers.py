@@ -1,4 +1,6 @@
+import io
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,3 +25,23 @@ def test_missing_records_are_an_error(spark, tmp_path):
     manifest = warc.write(pages, folder)
     with pytest.raises(RuntimeError, match="read 1 records of 2"):
         warc.counted(warc.read(spark, folder, manifest).where(F.col("page_id") == 1), manifest)
+
+
+def test_large_record_is_read_in_linear_time():
+    r = random.Random(9)
+    times = []
+    for size in (2 << 20, 24 << 20):
+        body = r.randbytes(size // 2).hex().encode()
+        data = warc.record(1, "u", b"small", 5, "d", None) + warc.record(2, "u", body, size, "d", None) + warc.record(3, "u", b"last", 4, "d", None)
+        start = time.process_time()
+        got = list(warc.scan(io.BytesIO(data), 0, len(data)))
+        times.append(time.process_time() - start)
+        assert [b.partition(b"\r\n\r\n")[2] for _, b in got] == [b"small", body, b"last"]
+    assert times[1] < 4 * 12 * max(times[0], 0.01)
+
+
+def test_false_start_in_a_large_member_is_read_over():
+    body = random.Random(3).randbytes(3 << 20)
+    cut = warc.record(1, "u", body, len(body), "d", None)[: 2 << 20]  # a member that breaks off
+    data = cut + warc.record(2, "u", b"whole", 5, "d", None)
+    assert [b.partition(b"\r\n\r\n")[2] for _, b in warc.scan(io.BytesIO(data), 0, len(data))] == [b"whole"]
