@@ -14,17 +14,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (local tests) a temporary one is set."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one is set in local mode, where driver and executors are one; on a cluster that is an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_OWNED: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's scratch tables and archives are; it goes when the driver ends, or by drop_all()."""
+    path = f"{shared_folder(spark)}/lexmill/{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        _OWNED.add(path)
+        fs, p = _hadoop(spark, path)
+        fs.mkdirs(p)  # only what is there is noted
+        fs.deleteOnExit(p)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes what the operators of this application wrote to the shared folder; tables they returned can no longer be read."""
+    fs, p = _hadoop(spark, run_folder(spark))
+    fs.delete(p, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lexmill/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -42,21 +68,27 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_lexmill_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            fs, p = _hadoop(df.sparkSession, path)
+            fs.delete(p, True)
 
 
-#: Most rows that go to a Python worker at once: texts can be long, and a worker holds a batch more than once.
+#: Most rows, and about how many bytes, that go to a Python worker at once: texts can be long, and a worker holds a batch more than once.
 BATCH_ROWS = 512
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = 16 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df; from now on the session sends Python workers at most BATCH_ROWS rows at once."""
+    """df; from now on the session sends Python workers at most BATCH_ROWS rows and about BATCH_BYTES bytes at once.
+
+    Spark reads both settings when a plan runs, which is after this returns, so they stay; settings that are lower are kept.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, str(BATCH_ROWS))
+    given = conf.get(_BYTES, None)
+    if not (given and given.isdigit() and 0 < int(given) <= BATCH_BYTES):
+        conf.set(_BYTES, str(BATCH_BYTES))
     return df
 
 

@@ -21,19 +21,22 @@ from .packing import placed
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = 2048, pad: int = 0, dtype: str = "<u2") -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = 2048, pad: int = 0, dtype: str | None = None) -> DataFrame:
     """One row per sequence of documents (doc_id, text): its segments in order and its padded ids, little-endian.
 
     A null or empty text is one end token; null ids (null in doc_ids) and repeated rows are
     packed like any other; other columns are ignored; an empty table gives an empty table.
-    A sequence holds at most ``capacity`` segments, which bounds every group gathered here.
+    A sequence holds at most ``capacity`` segments, which bounds every group gathered here. Ids are of
+    ``dtype``, or else of the narrowest type that holds all of the vocabulary; one that does not fit is an error.
     """
-    cut = saved(tokens.pieces(docs, path or tokens.vocabulary_path(), capacity, with_ids=True, file_ids=dtype), "pieces")
+    path = path or tokens.vocabulary_path()
+    dtype = dtype or tokens.width(path)
+    cut = saved(tokens.pieces(docs, path, capacity, with_ids=True, file_ids=dtype), "pieces")
     placed_ = placed(cut.drop("start", "ids_crc32"), capacity, "best_fit_decreasing")
     rows = placed_.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids"))).alias("s"))
     end = F.element_at("s", -1)
     n = (end["offset"] + end["length"]).cast("int")
-    zeros = np.full(capacity, pad, dtype=dtype).tobytes()
+    zeros = tokens.narrowed(np.full(capacity, pad, dtype=np.int64), dtype)
     width = np.dtype(dtype).itemsize
     starts = F.transform("s", lambda x: x["offset"].cast("int"))
     ids = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))

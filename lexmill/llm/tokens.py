@@ -74,6 +74,21 @@ def encoder(path: str):
     return lambda text: own.encode(text, allowed_special=allowed, disallowed_special=())
 
 
+def width(path: str, end: int = END) -> str:
+    """The narrowest little-endian type that holds every id of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    largest = max([end, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
+def narrowed(ids: np.ndarray, dtype: str) -> bytes:
+    """The ids in that type; an error if one does not fit."""
+    if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+        raise ValueError(f"id {int(ids.max())} does not fit {dtype}")
+    return ids.astype(dtype).tobytes()
+
+
 def pieces(docs: DataFrame, path: str, most: int, with_ids: bool = False, end: int = END, file_ids: str = "<u4") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]) of documents (doc_id, text).
 
@@ -95,7 +110,7 @@ def pieces(docs: DataFrame, path: str, most: int, with_ids: bool = False, end: i
                 for piece, start in enumerate([0, *range(first, n, most)]):
                     part = ids[start : first if start == 0 else start + most]
                     nth = seen[len(part)] = seen.get(len(part), -1) + 1
-                    row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), task, nth, part.astype(file_ids).tobytes() if with_ids else None)
+                    row = (doc, piece, start, len(part), zlib.crc32(part.tobytes()), task, nth, narrowed(part, file_ids) if with_ids else None)
                     for column, value in zip(out, row):
                         column.append(value)
                     size += len(part)

@@ -154,6 +154,26 @@ def test_matrices_are_lossless(spark, small, reference_ids):
         assert [i for _, p in sorted(got[r.doc_id].items()) for i in p] == [*reference_ids(r.text), 2]
 
 
+def test_ids_that_do_not_fit():
+    wide = np.array([1, 70_000], dtype="<u4")
+    assert tokens.narrowed(wide, "<u4") == wide.tobytes() and tokens.width(tokens.vocabulary_path()) == "<u2"
+    with pytest.raises(ValueError):
+        tokens.narrowed(wide, "<u2")
+
+
+def test_wide_vocabulary(spark, tmp_path):
+    import json
+
+    words = {f"w{k}": k for k in range(70_000)}
+    model = {"type": "WordLevel", "vocab": {**words, "[UNK]": 70_000}, "unk_token": "[UNK]"}
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": None, "decoder": None, "model": model}))
+    docs = spark.createDataFrame([(1, "w5 w69999 none"), (2, "w65536")], "doc_id long, text string")
+    rows = matrices.packed(docs, str(path), capacity=8).collect()
+    got = {tuple(np.frombuffer(r.input_ids, "<u4")[: r.n_tokens].tolist()) for r in rows}
+    assert got in ({(5, 69_999, 70_000, 2, 65_536, 2)}, {(65_536, 2, 5, 69_999, 70_000, 2)})
+
+
 def test_written_matrices(spark, tmp_path):
     rows = matrices.packed(edge.documents(spark), capacity=128)
     manifest = matrices.write_matrices(rows, f"file://{tmp_path}/m").collect()
