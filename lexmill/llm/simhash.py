@@ -101,13 +101,13 @@ def links(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16) -> Dat
     return near.unionByName(dense)
 
 
-def classes(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16, linked: DataFrame | None = None) -> DataFrame:
+def classes(fps: DataFrame, bits: int = 2, blocks: int = 5, most: int = 16, roots: DataFrame | None = None) -> DataFrame:
     """(fp, component_id) of the different fingerprints in fps (doc_id, fp), component_id the smallest doc_id reachable.
 
-    Reachable over the links given in linked (a, b), or else over those of at most ``bits``.
+    Reachable by the components given in roots (node, root), or else over links of at most ``bits``.
     """
     first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = components(links(first, bits, blocks, most) if linked is None else linked)
+    roots = components(links(first, bits, blocks, most)) if roots is None else roots
     rooted = saved(first.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id"), "rooted")
     smallest = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
     joined = rooted.join(smallest, "root").select(F.col("fp").alias("linked"), "component_id")
@@ -131,12 +131,12 @@ def deduplicated(docs: DataFrame, share: float = similar.SHARE) -> DataFrame:
     Classes are those of ``similar``: five-word shingles with a Jaccard similarity of at least ``share``.
     Of classes whose ids are all null one document for each signature stays.
     """
-    fps, links = similar.linked(docs, share)
-    found = classes(fps, linked=links)
+    fps, roots = similar.linked(docs, share)
+    found = classes(fps, roots=roots)
     rest = saved(fps.join(found, "fp").where("doc_id <> component_id").select("doc_id"), "duplicates")
     again = saved(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     nulls = fps.where("doc_id is null").limit(1).count()
-    drop(fps, links)
+    drop(fps)
     kept = without(docs, rest) if not nulls else without(docs.where("doc_id is not null"), rest)
     if again.limit(1).count():
         name = fresh()
