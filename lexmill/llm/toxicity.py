@@ -9,14 +9,15 @@ of its input.
 Training: a dictionary's content is what its own class has in more documents than the other
 would lead to expect: beginnings of words, whole words included, with a binomial
 test (``ALPHA``, divided by the number tested) for the toxic side and plain document
-frequency for the ordinary side; the strongest come last, where they are cheapest to refer to.
+frequency for the ordinary side; the strongest come last, where they are cheapest to refer to. Beginnings have at most ``BEGINNING``
+characters, and a dictionary at most ``CONTENT`` bytes, the weakest parts being left out.
 Near copies are left out of the training rows by the share of long words that
 were seen before. The score is a logistic function of the numbers of different windows at
 or above each of ``STEPS`` and of the sum of what exceeds 1, calibrated on labelled rows that
 trained neither dictionary.
 
 The fit reads at most ``ROWS`` labelled rows of each class, those of the smallest hash of
-doc_id, none longer than ``LONGEST`` characters; scoring reads every text whole. Labels,
+doc_id among documents that are there and have at most ``LONGEST`` characters; scoring reads every text whole. Labels,
 languages, sources and ids are never inputs of a score. Without labelled rows of both
 classes every score is 0.
 
@@ -36,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, table
@@ -46,6 +47,7 @@ LONGEST = 100_000
 ALPHA = 0.01
 STEPS = (2, 3, 4, 5)
 CONTENT = 1 << 16
+BEGINNING = 24
 WORD = re.compile(r"[^\W\d_]+")
 #: How much more a wrongly rejected text costs than a missed one.
 CAUTION = 3.0
@@ -58,7 +60,8 @@ def windows(text: str | None) -> set[str]:
 
 
 def beginnings(words: set[str]) -> set[str]:
-    return {w[:n] for w in words for n in range(4, len(w))} | {w + " " for w in words}
+    """The words' beginnings of four letters or more, whole words with a space."""
+    return {w[:n] for w in words for n in range(4, min(len(w), BEGINNING + 1))} | {w + " " for w in words if len(w) <= BEGINNING}
 
 
 def originals(texts: list[str]) -> list[set[str]]:
@@ -198,12 +201,11 @@ def fold(doc_id=None):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most ROWS labelled rows of each class whose fold is not 0 (a bounded sample, brought to the driver)."""
     known = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("order", F.xxhash64("doc_id"))
-    rows = known.where("toxic = 1").orderBy("order", "doc_id").limit(2 * ROWS).unionByName(known.where("toxic = 0").orderBy("order", "doc_id").limit(2 * ROWS))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    got = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("order").alias("order"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("order", "doc_id"))  # of at most 4 * ROWS rows
-    got = got.withColumn("rank", rank).where(F.col("rank") <= ROWS).orderBy("toxic", "rank").collect()
+    there = known.join(texts.select("doc_id"), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
+    rows = [there.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(ROWS) for y in (0, 1)]
+    got = texts.join(F.broadcast(rows[0].unionByName(rows[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("order").alias("order"))
+    got = sorted(got.collect(), key=lambda r: (r.order, r.doc_id))  # of repeated ids the smallest text
     return Model([r.text for r in got if r.toxic == 1], [r.text for r in got if r.toxic == 0])
 
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import zstandard as zstd
 from pyspark.sql import functions as F
 
 from lexmill.llm import toxicity
@@ -42,6 +43,44 @@ def test_labels_of_the_held_out_fold_do_not_train(spark):
     assert fits[0].contents == fits[1].contents and (fits[0].weights == fits[1].weights).all()
 
 
+def test_distances_equal_plain_compression():
+    rows = corpus(400)
+    model = toxicity.Model([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    distance = toxicity.Distance(*model.contents)
+
+    def size(content, window):
+        p = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, window_log=18, hash_log=16, chain_log=17, search_log=8, min_match=4, target_length=64, strategy=zstd.STRATEGY_LAZY2)
+        dictionary = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        packed = zstd.ZstdCompressor(dict_data=dictionary, compression_params=p).compress(window)
+        assert zstd.ZstdDecompressor(dict_data=dictionary, format=zstd.FORMAT_ZSTD1_MAGICLESS).decompress(packed, max_output_size=10_000) == window
+        return len(packed)
+
+    words = sorted(set(" ".join(t for _, t, _ in rows[:40]).split()) | {"grukwort", "zwinxba", "unseen", "é"})
+    toxic, ordinary = model.contents
+    for w in words[:300]:
+        window = f" {w} ".encode() + toxicity.PAD
+        assert distance({w}) == [size(ordinary, window) - size(toxic, window)]
+    assert distance({"grukwort"})[0] > max(distance({w})[0] for w in ("base", "cedifo"))
+
+
+def test_fit_is_bounded():
+    long = "".join(random.Random(5).choice("abcdefgh") for _ in range(toxicity.LONGEST))
+    assert max(map(len, toxicity.beginnings({long, "short"}))) <= toxicity.BEGINNING + 1 and len(toxicity.beginnings({long})) < 30
+    rows = corpus(100)
+    model = toxicity.Model([t for _, t, y in rows if y] + [long], [t for _, t, y in rows if not y] + [long[::-1]])
+    assert all(len(c) <= toxicity.CONTENT for c in model.contents)
+
+
+def test_rows_that_are_not_there_do_not_shrink_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS", 20)
+    rows = [(i, t, y) for i, t, y in corpus(400) if i % 3 == 0]  # two of three labelled rows are missing
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    given = []
+    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: given.append((len(toxic), len(ordinary))))
+    toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in corpus(400)], "doc_id long, toxic int"))
+    assert given == [(20, 20)]
+
+
 def test_small_table(spark, small):
     rows = toxicity.op8_toxicity(spark, small).collect()
     assert len(rows) == spark.read.parquet(f"{small}/documents.parquet").count()
