@@ -70,7 +70,6 @@ def text_arm(c: Collection, query: str, limit: int, where: dict | None = None, m
     index = c.index or textindex.TextIndex.build(c.chunks)
     if where:  # before ranking, as for vectors; statistics stay those of the whole collection
         inside = c.chunks.where(allowed(c, where)).select("chunk_id")
-        index = textindex.TextIndex(index.postings, index.statistics, index.analyzer)
         hits = textindex.search(index, query, None, None, min_score).join(inside, "chunk_id", "left_semi")
         hits = hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
     else:

@@ -1,4 +1,4 @@
-"""BM25 search over chunks: an inverted index as tables, and queries with AND, OR, NOT, phrases and wildcards."""
+"""BM25 search over chunks: from the chunks themselves or an inverted index, and queries with AND, OR, NOT, phrases, wildcards and boosts."""
 
 from __future__ import annotations
 
@@ -8,38 +8,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import stemming
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
 DECIMALS = 6
-
-#: Endings that the stemming analyzer removes, longest first, and the least length of what must stay.
-STEMS = (("ingly", 3), ("edly", 3), ("ers", 3), ("ing", 3), ("ies", 3), ("ed", 3), ("er", 3), ("es", 3), ("ly", 3), ("s", 3))
-
-
-def stem(term: Column) -> Column:
-    """A light stemmer: one ending off, then a doubled last consonant halved."""
-    out = term
-    for end, least in reversed(STEMS):
-        hit = term.endswith(end) & (F.length(term) >= len(end) + least) & ~((F.lit(end) == "s") & term.endswith("ss"))
-        out = F.when(hit, F.substring(term, F.lit(1), F.length(term) - len(end))).otherwise(out)
-    return F.regexp_replace(out, r"([bdfgmnprt])\1$", "$1")
+#: Postings of one bucket of a written index, and the most buckets.
+BUCKET_ROWS = 2_000_000
+BUCKETS = 4096
+#: Files into which the postings of a bucket are spread by chunk, so that no term is one task's work.
+SPREAD = 4
 
 
 def analysed(text: Column, analyzer: str = "standard") -> Column:
     if analyzer == "standard":
         return T.tokens(text)
     if analyzer == "stemming":
-        return F.transform(T.tokens(text), stem)
+        return stemming.stems(T.tokens(text))
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
 
 @dataclass
 class TextIndex:
-    """postings (term, chunk_id, document_id, tf, length, positions[, df]) and one row of statistics (n, mean_length).
+    """postings (term, chunk_id, document_id, tf, length[, positions, df]) and one row of statistics (n, mean_length).
 
-    A written index also has the frequency of each term in its postings, and its statistics as numbers, so that
-    a query is one scan of its terms, one aggregation and the best rows.
+    A built index has the chunks' terms (chunk_id, document_id, terms) at hand, and a query without wildcards is answered from them in
+    one pass: each row is reduced to its counts of the query's terms. A written index has the frequency of
+    each term in its postings, positions, and its statistics as numbers, so that a query is one scan of its terms, one aggregation and the best rows.
     """
 
     postings: DataFrame
@@ -47,6 +42,7 @@ class TextIndex:
     analyzer: str = "standard"
     buckets: int = 0
     numbers: tuple[int, float] | None = None
+    terms: DataFrame | None = None
 
     def weighed(self, hits: DataFrame, wild: bool = False) -> DataFrame:
         """Postings with their BM25 weight; ``hits`` are all postings of their terms."""
@@ -58,32 +54,52 @@ class TextIndex:
         else:
             hits = hits.join(F.broadcast(self.statistics.select("n", "mean_length")))
             n, mean = F.col("n"), F.col("mean_length")
-        idf = F.log(n / (F.col("df") + 1)) + 1
-        return hits.withColumn("weight", idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))))
+        return hits.withColumn("weight", bm25(F.col("tf"), F.col("length"), F.col("df"), n, mean))
 
     @staticmethod
     def build(chunks: DataFrame, analyzer: str = "standard") -> TextIndex:
-        """From chunks (chunk_id, document_id, text). Positions are gathered within one chunk only."""
+        """From chunks (chunk_id, document_id, text)."""
         terms = chunks.select("chunk_id", "document_id", analysed(F.col("text"), analyzer).alias("terms"))
-        exploded = terms.select("chunk_id", "document_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
-        postings = exploded.groupBy("term", "chunk_id", "document_id", "length").agg(
-            F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions")
-        )
         statistics = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-        return TextIndex(postings, statistics, analyzer)
+        return TextIndex(counted(terms), statistics, analyzer, terms=terms)
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Postings by a bucket of the term, sorted, so that a query reads the row groups of its terms."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        frequency = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        self.postings.join(frequency, "term").withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.statistics.withColumn("analyzer", F.lit(self.analyzer)).withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+    def with_positions(self) -> DataFrame:
+        return self.postings if "positions" in self.postings.columns or self.terms is None else counted(self.terms, positions=True)
+
+    def write(self, path: str, buckets: int | None = None) -> None:
+        """Postings with positions by a bucket of the term, sorted, so that a query reads the row groups of its terms."""
+        stored(self.with_positions(), buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        self.statistics.withColumn("analyzer", F.lit(self.analyzer)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> TextIndex:
-        statistics = spark.read.parquet(f"{path}/statistics")
-        row = statistics.first()
-        return TextIndex(spark.read.parquet(f"{path}/postings"), statistics, row.analyzer, row.buckets, (row.n, row.mean_length or 1.0))
+        return opened(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"))
+
+
+def bm25(tf: Column, length: Column, df: Column, n: Column, mean: Column) -> Column:
+    return (F.log(n / (df + 1)) + 1) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+
+
+def counted(terms: DataFrame, positions: bool = False) -> DataFrame:
+    """Postings of (chunk_id, document_id, terms): term, chunk_id, document_id, length, tf, and positions if wanted, which are gathered within one chunk only."""
+    exploded = terms.select("chunk_id", "document_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    more = [F.sort_array(F.collect_list("position")).alias("positions")] if positions else []
+    return exploded.groupBy("term", "chunk_id", "document_id", "length").agg(F.count("*").cast("int").alias("tf"), *more)
+
+
+def stored(postings: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Postings with df and bucket, laid out for writing by bucket."""
+    buckets = buckets or min(BUCKETS, max(8, -(-postings.count() // BUCKET_ROWS)))
+    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
+    rows = postings.drop("df", "bucket", "buckets").join(frequency, "term")
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "buckets": F.lit(buckets)})
+    return rows.repartition(min(buckets * SPREAD, 4096), "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term")
+
+
+def opened(postings: DataFrame, statistics: DataFrame) -> TextIndex:
+    """An index from written postings, as stored() lays them out, and statistics (n, mean_length, analyzer)."""
+    row, first = statistics.first(), postings.select("buckets").first()
+    return TextIndex(postings, statistics, row.analyzer, first.buckets if first else 0, (row.n, row.mean_length or 1.0))
 
 
 def _bucket(term: str, buckets: int) -> int:
@@ -94,19 +110,34 @@ def _bucket(term: str, buckets: int) -> int:
     return (signed - (1 << 64) if signed >> 63 else signed) % buckets
 
 
+#: Fields besides text: those a hit may be tied to, and those that only a filter reaches.
+CONDITIONS, UNSEARCHED = ("document_id", "chunk_id"), ("page_number", "chunk_index", "metadata")
+
+
+class QueryError(ValueError):
+    """A query that does not parse, or asks for what the index does not have."""
+
+
 class Query:
-    """A parsed query: terms with AND between them by default, OR, NOT or -, "phrases", prefix* and parentheses."""
+    """A parsed query: terms with AND between them by default, OR, NOT or -, "phrases", wild*cards, term^2 boosts and parentheses.
+
+    ``text:`` before a term or phrase is the default field; ``document_id:`` and ``chunk_id:`` tie the hits of the other terms to an id. Other
+    fields of the index, ranges ([a TO b]), fuzzy terms (a~) and phrase distances are refused; a colon after any other word is a mere separator.
+    """
 
-    TOKENS = re.compile(r'\(|\)|"[^"]*"|[^\s()"]+')
+    TOKENS = re.compile(r'\(|\)|(?:[^\s()":]+:)?"[^"]*"(?:[\^~][\d.]*)?|[^\s()"]+')
+    BOOST = re.compile(r"(.+)\^(\d+(?:\.\d+)?)", re.S)
 
     def __init__(self, source: str):
-        self.terms: dict[str, None] = {}
-        self.wild: dict[str, None] = {}
+        self.terms: dict[str, float] = {}  # with their boosts
+        self.wild: dict[str, float] = {}  # patterns
+        if source.count('"') % 2:
+            raise QueryError("a quote is not closed")
         self.tokens = self.TOKENS.findall(source)
         self.at = 0
         self.tree = self._or()
         if self.at != len(self.tokens):
-            raise ValueError("unbalanced parenthesis in query")
+            raise QueryError("unbalanced parenthesis in query")
 
     def _peek(self):
         return self.tokens[self.at] if self.at < len(self.tokens) else None
@@ -139,7 +170,7 @@ class Query:
         if token == "(":
             inner = self._or()
             if self._peek() != ")":
-                raise ValueError("unbalanced parenthesis in query")
+                raise QueryError("unbalanced parenthesis in query")
             self.at += 1
             return inner
         if token.startswith("-") and len(token) > 1:
@@ -148,13 +179,26 @@ class Query:
         return self._word(token)
 
     def _word(self, token: str):
-        if token.endswith("*") and len(token) > 1:
-            prefix = token[:-1].lower()
-            self.wild[prefix] = None
-            return ("wild", prefix)
+        field, colon, rest = token.partition(":")
+        if colon and rest and field in CONDITIONS:
+            return ("is", field, rest.strip('"'))
+        if colon and rest and field in UNSEARCHED:
+            raise QueryError(f"{field} is not in the text index: give it as a metadata filter")
+        token = rest if colon and rest and field == "text" else token
+        boost = 1.0
+        if m := self.BOOST.fullmatch(token):
+            token, boost = m[1], float(m[2])
+        if re.fullmatch(r"[\[{].*|.*[\]}]", token, re.S):
+            raise QueryError("ranges need a field with an order; text has none")
+        if re.fullmatch(r".+~\d*(?:\.\d+)?", token, re.S):
+            raise QueryError("fuzzy terms and phrase distances are not searched")
+        if not token.startswith('"') and re.search(r"[*?]", token) and re.search(r"\w", token):
+            pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in token.lower())
+            self.wild[pattern] = boost
+            return ("wild", pattern)
         words = [w for w in re.findall(r"[^\W]+(?:\.?[^\W]+)*", token.lower()) if len(w) > 1 and w not in T.STOP_WORDS]
         for w in words:
-            self.terms[w] = None
+            self.terms[w] = max(boost, self.terms.get(w, 0.0))
         if not words:
             return None
         if len(words) == 1:
@@ -167,7 +211,7 @@ def _positive(tree) -> bool:
     if tree is None:
         return False
     kind = tree[0]
-    if kind == "not":
+    if kind in ("not", "is"):
         return False
     if kind == "and":
         return any(map(_positive, tree[1]))
@@ -183,33 +227,85 @@ def search(index: TextIndex, query: str, limit: int | None = 10, where: Column |
     (chunk_id, document_id), is applied before ranking. A query without a positive term finds nothing.
     """
     parsed = Query(query)
-    spark = index.postings.sparkSession
-    stems: dict[str, str] = {w: w for w in parsed.terms}
-    if index.analyzer == "stemming" and parsed.terms:
-        rows = spark.createDataFrame([(w,) for w in parsed.terms], "w string").select("w", stem(F.col("w")).alias("s")).collect()
-        stems = {r.w: r.s for r in rows}
-    named = sorted(set(stems.values()))
+    stems = {w: stemming.stem(w) if index.analyzer == "stemming" else w for w in parsed.terms}
+    boosts: dict[str, float] = {}
+    for w, boost in parsed.terms.items():
+        boosts[stems[w]] = max(boost, boosts.get(stems[w], 0.0))
+    scored = _from_terms if index.terms is not None and not parsed.wild else _from_postings
+    out = scored(index, parsed, stems, boosts, where).select("chunk_id", "document_id", "score").where(F.col("score") >= min_score)
+    return out.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit is not None else out
+
+
+def _from_terms(index: TextIndex, parsed: Query, stems: dict[str, str], boosts: dict[str, float], where: Column | None) -> DataFrame:
+    """Scores of a query's terms from the chunks' terms. Rows are reduced to numbers before they are dealt out, once for statistics and for scores."""
+    named = sorted(boosts) if _positive(parsed.tree) else []
+    phrases = sorted({tuple(stems[w] for w in p) for p in _phrases(parsed.tree)}) if named else []
+    tf = F.transform(F.array(*map(F.lit, named)).cast("array<string>"), lambda t: F.size(F.filter("terms", lambda x: x == t)))
+    joined = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    together = F.array(*[F.contains(joined, F.lit(f" {' '.join(p)} ")) for p in phrases]).cast("array<boolean>")
+    rows = index.terms.select("chunk_id", "document_id", F.size("terms").alias("length"), tf.alias("tf"), together.alias("phrases"))
+    rows = rows.repartition(F.xxhash64("chunk_id"))  # small rows; both uses read the same exchange, so texts are analysed once
+    numbers = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(named))])
+    place = {t: k for k, t in enumerate(named)}
+
+    def holds(tree) -> Column:
+        kind = tree[0]
+        if kind == "term":
+            return F.col("tf")[place[stems[tree[1]]]] > 0
+        if kind == "is":
+            return F.col(tree[1]) == tree[2]
+        if kind == "not":
+            return ~holds(tree[1])
+        if kind == "phrase":
+            return F.col("phrases")[phrases.index(tuple(stems[w] for w in tree[1]))]
+        out = [holds(t) for t in tree[1]]
+        return _all(out) if kind == "and" else ~_all([~x for x in out])
+
+    found = rows.where(F.exists("tf", lambda x: x > 0) & holds(parsed.tree)) if named else rows.where(F.lit(False))
+    found = found if where is None else found.where(where)
+    each = [bm25(F.col("tf")[k], F.col("length"), F.col(f"df{k}"), F.col("n"), F.col("mean_length")) * boosts[t] for k, t in enumerate(named)]
+    return found.join(F.broadcast(numbers)).withColumn("score", F.round(sum(each, F.lit(0.0)), DECIMALS))  # numbers is one row
+
+
+def _phrases(tree) -> list[list[str]]:
+    if tree is None or tree[0] in ("term", "wild", "is"):
+        return []
+    if tree[0] == "phrase":
+        return [tree[1]]
+    return [p for t in (tree[1] if tree[0] in ("and", "or") else [tree[1]]) for p in _phrases(t)]
+
+
+def _from_postings(index: TextIndex, parsed: Query, stems: dict[str, str], boosts: dict[str, float], where: Column | None) -> DataFrame:
+    named = sorted(boosts)
     condition = F.col("term").isin(named) if named else F.lit(False)
-    for prefix in parsed.wild:
-        condition = condition | F.col("term").startswith(prefix)
+    for pattern in parsed.wild:
+        start = re.match(r"(?:\\.|\w)*", pattern)[0].replace("\\", "") if not pattern.startswith(".") else ""
+        condition = condition | (F.col("term").startswith(start) & F.col("term").rlike(f"^{pattern}$"))
     if not _positive(parsed.tree):
         condition = F.lit(False)
     if named and not parsed.wild and index.buckets:  # prune partitions of a written index
         condition = condition & F.col("bucket").isin(sorted({_bucket(w, index.buckets) for w in named}))
-    hits = index.postings.where(condition)
+    phrases = bool(_phrases(parsed.tree))
+    hits = (index.with_positions() if phrases else index.postings).where(condition)
     kept = index.weighed(hits, bool(parsed.wild))
     kept = kept if where is None else kept.where(where)
-    phrases = "phrase" in str(parsed.tree)
+    boost = F.lit(1.0)
+    for t, k in boosts.items():
+        boost = F.when(F.col("term") == t, k).otherwise(boost) if k != 1 else boost
+    for pattern, k in parsed.wild.items():
+        boost = F.when(F.col("term").rlike(f"^{pattern}$"), k).otherwise(boost) if k != 1 else boost
     found = F.collect_set("term").alias("terms")
     extra = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")] if phrases else []
-    scored = kept.groupBy("chunk_id", "document_id").agg(F.round(F.sum("weight"), DECIMALS).alias("score"), found, *extra)
+    scored = kept.groupBy("chunk_id", "document_id").agg(F.round(F.sum(F.col("weight") * boost), DECIMALS).alias("score"), found, *extra)
 
     def holds(tree) -> Column:
         kind = tree[0]
         if kind == "term":
             return F.array_contains("terms", stems[tree[1]])
         if kind == "wild":
-            return F.exists("terms", lambda t: t.startswith(tree[1]))
+            return F.exists("terms", lambda t: F.rlike(t, F.lit(f"^{tree[1]}$")))
+        if kind == "is":
+            return F.col(tree[1]) == tree[2]
         if kind == "not":
             return ~holds(tree[1])
         if kind == "phrase":
@@ -220,10 +316,7 @@ def search(index: TextIndex, query: str, limit: int | None = 10, where: Column |
         out = [holds(t) for t in tree[1]]
         return _all(out) if kind == "and" else ~_all([~x for x in out])
 
-    if parsed.tree is not None:
-        scored = scored.where(holds(parsed.tree))
-    out = scored.select("chunk_id", "document_id", "score").where(F.col("score") >= min_score)
-    return out.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit is not None else out
+    return scored.where(holds(parsed.tree)) if parsed.tree is not None else scored
 
 
 def _all(parts: list[Column]) -> Column:
@@ -236,16 +329,21 @@ def _all(parts: list[Column]) -> Column:
 def search_batch(index: TextIndex, queries: DataFrame, limit: int = 10, every: bool = True) -> DataFrame:
     """(query_id, rank, chunk_id, document_id, score) for each of queries (query_id, text), all in one job.
 
-    A query asks for all its different tokens (any of them if not ``every``). Scores are summed before ranking, so the rows that
+    A query asks for all its different tokens (any of them if not ``every``). If for all, chunks are first those of its rarest token,
+    and the others are looked up for them only, so a common token makes no row by itself. Scores are summed before ranking, so the rows that
     meet in one task are those of one query's matches, sorted in the window, never gathered.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text"), index.analyzer))).alias("term"))
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     asked = terms.select("term").distinct()
-    hits = index.postings.join(asked, "term", "left_semi")
-    weighed = index.weighed(hits, wild=True).select("term", "chunk_id", "document_id", F.col("weight").alias("w"))
-    scored = weighed.join(terms, "term").groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("w"), DECIMALS).alias("score"), F.count("*").alias("n"))
+    hits = index.weighed(index.postings.join(asked, "term", "left_semi"), wild=True)
+    hits = hits.select("term", "chunk_id", "document_id", "df", F.col("weight").alias("w"))
     if every:
-        scored = scored.join(wanted, "query_id").where("n = wanted")
+        often = terms.join(hits.groupBy("term").agg(F.max("df").alias("df")), "term", "left")  # a term without postings has none
+        rarest = often.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"), F.count("*").alias("wanted"))
+        chunks = hits.select("term", "chunk_id").join(rarest, "term").select("query_id", "chunk_id", "wanted")
+        scored = chunks.join(terms, "query_id").join(hits, ["term", "chunk_id"]).groupBy("query_id", "chunk_id", "document_id", "wanted")
+        scored = scored.agg(F.round(F.sum("w"), DECIMALS).alias("score"), F.count("*").alias("n")).where("n = wanted")
+    else:
+        scored = hits.join(terms, "term").groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum("w"), DECIMALS).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "chunk_id", "document_id", "score")
