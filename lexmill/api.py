@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,23 @@ from .sources import files, tables
 class KnowledgeBase:
     """Documents below a root folder, kept searchable in a store of versioned tables."""
 
-    def __init__(self, spark: SparkSession, root: str, store: str, config: Config | None = None, rerank: Callable[[Column, str], Column] | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        store: str,
+        config: Config | None = None,
+        rerank: Callable[[Column, str], Column] | None = None,
+        parser: files.PdfParser = files.missing_parser,
+        embed: Callable[[DataFrame], DataFrame] = embedding.with_hashed,
+        summariser: embedding.Summariser | None = None,
+    ):
         self.spark, self.root, self.store, self.config = spark, root.rstrip("/"), store.rstrip("/"), config or Config()
         self.rerank = rerank or (embedding.overlap if self.config.rerank else None)
-        self.scopes = search.Scopes(self.config.scope_seconds)
+        self.parser, self.embed, self.summariser = parser, embed, summariser
+        self.scopes = search.StoredScopes(spark, f"{self.store}/scopes", self.config.scope_seconds)
         self._collection: search.Collection | None = None
+        self.report = ingest.Report()  # of the last scan that had work to do
 
     @property
     def collection(self) -> search.Collection:
@@ -32,20 +45,42 @@ class KnowledgeBase:
         return self._collection
 
     def rescan_documents(self) -> dict[str, int]:
-        """Brings the tables in step with the files; how many were new, modified and deleted. A changed setting makes its stages run again."""
+        """Brings the tables in step with the files; how many were new, modified and deleted. A changed setting makes its stage and those after it run again, from what the stages before it left."""
         stored = cache.load_fingerprints(self._stored_fingerprints())
-        changed = cache.invalidated(cache.changed_stages(self.config.stage_settings(), stored))
-        anew = bool(changed & {"parsing", "chunking", "embedding"})
-        scan = files.scan(self.spark, self.root, self.config.supported_extensions).drop("content")
-        index = None if anew else tables.read(self.spark, f"{self.store}/documents")
+        changed = cache.invalidated(cache.changed_stages(self._settings(), stored))
+        scan = ingest.scanned(self.spark, self.root, self.store, self.config).drop("content")
+        index = tables.read(self.spark, f"{self.store}/documents")
         none = self.spark.createDataFrame([], "path string, checksum string, last_modified double, file_size long")
         counts = sync.change_summary(sync.changes(scan, index if index is not None else none)).first().asDict()
-        if any(counts.values()) or index is None:
-            ingest.ingest(self.spark, self.root, self.store, self.config, anew=anew)
-        tables.publish(self.spark.createDataFrame([(k, cache.fingerprint(v)) for k, v in self.config.stage_settings().items()], "stage string, fingerprint string"), f"{self.store}/fingerprints")
-        self._collection = None
+        if any(counts.values()) or index is None or changed:
+            self._ingest()
         return counts
 
+    def _settings(self) -> dict[str, dict]:
+        return self.config.stage_settings() | {"index": {"text_analyzer": self.config.text_analyzer}}
+
+    def _ingest(self) -> None:
+        _, self.report = ingest.ingest(self.spark, self.root, self.store, self.config, self.parser, self.embed, self.summariser)
+        # only what has been done is noted
+        tables.publish(self.spark.createDataFrame([(k, cache.fingerprint(v)) for k, v in self._settings().items()], "stage string, fingerprint string"), f"{self.store}/fingerprints")
+        self._collection = None
+
+    def add_document(self, path: str, metadata: dict[str, str] | None = None) -> DataFrame:
+        """Adds one file, wherever it is, with metadata of the user's; its row of documents. A file that cannot be parsed is an error."""
+        if files.given(self.spark, [path]) is None:
+            raise NotFound(path)
+        ingest.add_source(self.spark, self.store, path, metadata)
+        self._ingest()
+        row = tables.read(self.spark, f"{self.store}/documents").where(F.col("path") == path)
+        error = row.select("error").first()
+        if error is None or error[0]:
+            raise Invalid(f"{path}: {error[0] if error else 'not a supported file'}")
+        return row
+
+    def upload_document(self, name: str, content: bytes, metadata: dict[str, str] | None = None) -> DataFrame:
+        """Stores content under uploads by a name of its own and adds it."""
+        return self.add_document(files.upload(self.spark, self.root, name, content, int(time.time()), uuid.uuid4().hex), metadata)
+
     def _stored_fingerprints(self) -> str | None:
         rows = tables.read(self.spark, f"{self.store}/fingerprints")
         return tables.to_record({r.stage: r.fingerprint for r in rows.collect()}) if rows is not None else None

@@ -34,6 +34,8 @@ class Config:
     page_min_chunk_size: int = 100
     page_max_chunk_size: int | None = None
     page_merge_small: bool = True
+    pdf_parser: str = "none"  # names the parser and embedder that are passed to the knowledge base, for the fingerprints
+    embedder: str = "hashed-64"
     rerank: bool = False
     rerank_additional: int = 5
     summarise: bool = False
@@ -89,11 +91,11 @@ class Config:
         """All settings that affect each stage: what its fingerprint covers."""
         pick = lambda *names: {n: getattr(self, n) for n in names}
         return {
-            "parsing": pick("supported_extensions"),
+            "parsing": pick("supported_extensions", "pdf_parser"),
             "chunking": pick(
                 "chunker", "chunk_size", "chunk_overlap", "min_chunk_size", "semantic_threshold", "semantic_amount", "semantic_buffer", "semantic_min_chars",
                 "page_min_chunk_size", "page_max_chunk_size", "page_merge_small",
             ),
-            "embedding": {"embedder": "hashed-64"},
+            "embedding": pick("embedder"),
             "summarizer": pick("summarise", "summary_max_pages"),
         }

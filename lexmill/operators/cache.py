@@ -8,9 +8,12 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STAGES = ("parsing", "chunking", "embedding", "summarizer")
+STAGES = ("parsing", "chunking", "embedding", "summarizer", "index")
 #: What a changed stage takes with it.
-CASCADE = {"parsing": ("parsing", "chunking", "embedding", "summarizer"), "chunking": ("chunking", "embedding"), "embedding": ("embedding",), "summarizer": ("summarizer",)}
+CASCADE = {
+    "parsing": ("parsing", "chunking", "embedding", "summarizer"), "chunking": ("chunking", "embedding"), "embedding": ("embedding",), "summarizer": ("summarizer",),
+    "index": ("index",),
+}
 
 
 def fingerprint(settings: dict) -> str:

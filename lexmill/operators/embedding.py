@@ -130,6 +130,20 @@ def halving(embedder: Embedder) -> Embedder:
     return run
 
 
+def one_by_one(embed: Callable[[str], list[float]]) -> Embedder:
+    """An embedder for a service that takes one text a call."""
+    return lambda texts: [embed(t) for t in texts]
+
+
+#: Entries that an embedding cache keeps.
+CACHED = 10_000
+
+
+def latest_used(cache: DataFrame, most: int = CACHED) -> DataFrame:
+    """The entries (text_hash, embedding, used) of a cache that were used last; ties to the smaller hash."""
+    return cache.orderBy(F.desc("used"), "text_hash").limit(most)
+
+
 EMBEDDERS: dict[str, Callable[[], Embedder]] = {}
 
 

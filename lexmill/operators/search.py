@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
+from ..sources import tables
 from . import embedding, fusion, textindex, vectorsearch
 
 
@@ -140,6 +141,24 @@ class Scopes:
         self.kept[session] = (list(ids), now + self.seconds)
 
 
+class StoredScopes(Scopes):
+    """Scopes in a table (session_id, document_ids, expires_at) of a store, which all drivers share; expired ones go with the next write."""
+
+    def __init__(self, spark: SparkSession, root: str, seconds: int = 3600):
+        super().__init__(seconds)
+        self.spark, self.root = spark, root
+
+    def get(self, session: str, now: float) -> list[str] | None:
+        rows = tables.read(self.spark, self.root)
+        row = rows.where((F.col("session_id") == session) & (F.col("expires_at") > now)).first() if rows is not None else None
+        return list(row.document_ids) if row is not None else None
+
+    def put(self, session: str, ids: list[str], now: float) -> None:
+        row = self.spark.createDataFrame([(session, list(ids), now + self.seconds)], "session_id string, document_ids array<string>, expires_at double")
+        old = tables.read(self.spark, self.root)
+        tables.publish(row if old is None else old.where((F.col("session_id") != session) & (F.col("expires_at") > now)).unionByName(row), self.root)
+
+
 def scoped_search(c: Collection, query: str, session: str, scopes: Scopes, now: float, limit: int = 5, where: dict | None = None, **more) -> DataFrame:
     """A search within the session's documents if the collection is large; a new session's are those of its first query."""
     s = c.settings

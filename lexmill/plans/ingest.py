@@ -1,23 +1,73 @@
-"""From files to searchable tables, and keeping them so."""
+"""From files to searchable tables, and keeping them so.
+
+Tables of a store, each versioned: sources (files given one by one, with their metadata), parsed (keyed by document and parsing fingerprint), chunked (by
+document and the fingerprints of parsing and chunking), chunks (with vectors and the embedder's fingerprint), postings and statistics
+of the text index, documents. A stage works on what its table does not have under the present fingerprints, so files
+that did not change are not parsed again, nor are stages before a changed setting run again. Documents come last: until they
+are published, a scan finds the same work to do.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ids
 from ..functions import metadata as M
-from ..operators import chunking, embedding, markdown, search, sync, textindex
+from ..functions import text as T
+from ..operators import cache, chunking, embedding, markdown, search, sync, textindex
 from ..sources import files, tables
 
 
-def documents_from_markdown(rows: DataFrame, user: Column | None = None) -> DataFrame:
-    """(document_id, path, title, metadata, checksum, body, file_size, added_at) of rows (path, text, checksum, file_size)."""
-    parsed = markdown.parsed(rows, user)
-    return parsed.select(ids.document_id(F.col("path"), F.col("checksum")).alias("document_id"), "path", "title", "metadata", "checksum", "body", "file_size", F.current_timestamp().alias("added_at"))
+@dataclass
+class Report:
+    """How many documents each stage worked on, and how many it could not parse; of embedding, chunks."""
+
+    parsed: int = 0
+    failed: int = 0
+    chunked: int = 0
+    embedded: int = 0
+    summarised: int = 0
+
+
+def fingerprints(config: Config) -> dict[str, str]:
+    """Of each stage with those before it."""
+    own = {k: cache.fingerprint(v) for k, v in config.stage_settings().items()}
+    chain = lambda *stages: hashlib.sha256("|".join(own[s] for s in stages).encode()).hexdigest()
+    return {"parsing": own["parsing"], "chunking": chain("parsing", "chunking"), "embedding": own["embedding"], "summarizer": chain("parsing", "summarizer")}
+
+
+def scanned(spark: SparkSession, root: str, store: str, config: Config) -> DataFrame:
+    """(document_id, path, checksum, last_modified, file_size, content, user) of the files below root and of those given one by one."""
+    out = files.scan(spark, root, config.supported_extensions)
+    sources = tables.read(spark, f"{store}/sources")
+    if sources is not None:
+        more = files.given(spark, [r.path for r in sources.select("path").collect()])  # files named by hand
+        if more is not None:
+            out = out.unionByName(more.join(out.select("path"), "path", "left_anti"))
+        out = out.join(sources.select("path", F.col("metadata").alias("user")), "path", "left")
+    else:
+        out = out.withColumn("user", F.lit(None).cast("map<string,string>"))
+    return out.withColumn("document_id", ids.document_id(F.col("path"), F.col("checksum")))
+
+
+def parsed_files(found: DataFrame, parser: files.PdfParser = files.missing_parser) -> DataFrame:
+    """(document_id, path, title, metadata, body, error) of files (document_id, path, content): Markdown as it is, PDF by the parser. What cannot be parsed is a row with its error."""
+    kind = files.route(F.col("path"))
+    plain = found.where(kind == "markdown").select("path", files.markdown_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("placeholders"))
+    pdf = files.with_markers(files.pdf_pages(found.where(kind == "pdf"), parser)).withColumn("placeholders", F.when(F.size("placeholders") > 0, F.to_json("placeholders")))
+    other = found.where(kind == "unsupported").select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("no parser for "), T.file_suffix(F.col("path"))).alias("error"), F.lit(None).cast("string").alias("placeholders"))
+    rows = plain.unionByName(pdf.select(*plain.columns)).unionByName(other)
+    out = markdown.parsed(rows).join(found.select("path", "document_id"), "path")
+    lost = F.when(F.col("placeholders").isNotNull(), F.create_map(F.lit("placeholder_pages"), F.col("placeholders")))
+    meta = F.when(F.col("error").isNotNull(), F.create_map().cast("map<string,string>")).otherwise(F.map_concat("metadata", F.coalesce(lost, F.create_map().cast("map<string,string>"))))
+    meta = F.transform_values(meta, lambda k, v: F.when((k == "document_type") & (files.route(F.col("path")) == "pdf"), "pdf").otherwise(v))
+    return out.select("document_id", "path", "title", meta.alias("metadata"), F.when(F.col("error").isNull(), F.col("body")).alias("body"), "error")
 
 
 def identified(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -51,53 +101,115 @@ def chunks_of(documents: DataFrame, config: Config | None = None) -> DataFrame:
     return chunking.large_enough(out, c.min_chunk_size)
 
 
-def ingest(spark: SparkSession, root: str, store: str, config: Config | None = None, embed: Callable[[DataFrame], DataFrame] = embedding.with_hashed, anew: bool = False) -> search.Collection:
-    """Scans root, brings the tables in store up to date, and opens them.
+def _stage(spark: SparkSession, root: str, key: str, value: str, there: DataFrame, make: Callable[[DataFrame], DataFrame], partition: str = "document_id") -> tuple[DataFrame, int]:
+    """A stage's table for the rows there, and how many of them it had to make: rows it has under the present fingerprint are kept, those of others go.
 
-    Changed and deleted files' rows go and new ones come in one new version of each table. Unchanged files are neither parsed nor
-    embedded again, unless all is to be made anew.
+    The table is published only if rows came or went.
     """
-    scan = files.scan(spark, root, (config or Config()).supported_extensions)
-    index = None if anew else tables.read(spark, f"{store}/documents")
-    seen = index.select("path", "checksum", "last_modified", "file_size") if index is not None else spark.createDataFrame([], "path string, checksum string, last_modified double, file_size long")
-    changed = sync.changes(scan.drop("content"), seen)
-    fresh = scan.join(changed.where("change in ('new', 'modified')").select("path"), "path", "left_semi")
-    rows = fresh.where(files.route(F.col("path")) == "markdown").withColumn("text", files.markdown_text(F.col("content")))
-    docs = documents_from_markdown(rows.select("path", "text", "checksum", "file_size"))
-    docs = docs.join(rows.select("path", "last_modified"), "path")
-    parts = identified(chunks_of(docs, config), docs)
-    parts = embed(parts)
-    old_docs = index
-    if old_docs is not None:
-        old_chunks = tables.read(spark, f"{store}/chunks")
-        gone = old_docs.join(changed.where("change in ('deleted', 'modified')").select("path"), "path", "left_semi").select("document_id")
-        docs = sync.without_documents(old_docs, gone).unionByName(docs)
-        parts = sync.without_documents(old_chunks, gone).unionByName(parts)
-    parts = parts.dropDuplicates(["chunk_id"])
-    # chunks first: their plan reads the version of documents that is still the present one
-    tables.publish(parts, f"{store}/chunks")
-    tables.publish(docs, f"{store}/documents")
-    return open_collection(spark, store)
+    old = tables.read(spark, root)
+    kept = old.where(F.col(key) == value).join(there.select(partition).distinct(), partition, "left_semi") if old is not None else None
+    todo = there if kept is None else there.join(kept.select(partition).distinct(), partition, "left_anti")
+    n = todo.count()
+    if n or old is None or kept.count() != old.count():
+        new = make(todo).withColumn(key, F.lit(value))
+        tables.publish(new if kept is None else kept.unionByName(new, allowMissingColumns=True), root)
+    return tables.read(spark, root), n
+
+
+def ingest(
+    spark: SparkSession,
+    root: str,
+    store: str,
+    config: Config | None = None,
+    parser: files.PdfParser = files.missing_parser,
+    embed: Callable[[DataFrame], DataFrame] = embedding.with_hashed,
+    summariser: embedding.Summariser | None = None,
+) -> tuple[search.Collection, Report]:
+    """Scans root and the files given one by one, brings the tables in store up to date, and opens them."""
+    c, report = config or Config(), Report()
+    prints, at = fingerprints(c), lambda name: f"{store}/{name}"
+    contents = scanned(spark, root, store, c)
+    tables.publish(contents.drop("content"), at("scan"))  # all stages see the same files; contents are read only to be parsed
+    found = tables.read(spark, at("scan"))
+
+    def parse(todo: DataFrame) -> DataFrame:
+        return parsed_files(contents.select("document_id", "path", "content").join(todo.select("document_id"), "document_id", "left_semi"), parser)
+
+    parsed, report.parsed = _stage(spark, at("parsed"), "parsing", prints["parsing"], found, parse)
+    good = parsed.where("error is null")
+    report.failed = parsed.where("error is not null").count()
+
+    # a document without chunks has one row without text, so that it is not chunked anew
+    def chunk(todo: DataFrame) -> DataFrame:
+        out = chunks_of(todo.select("document_id", "body"), c)
+        page = F.col("page_number") if "page_number" in out.columns else F.lit(None).cast("int")
+        own = F.col("headings") if "headings" in out.columns else F.create_map().cast("map<string,string>")
+        return todo.select("document_id").join(out.select("document_id", "chunk_index", "text", page.alias("page_number"), own.alias("headings")), "document_id", "left")
+
+    chunked, report.chunked = _stage(spark, at("chunked"), "chunking", prints["chunking"], good, chunk)
+
+    user = found.select("document_id", "user")
+    described = good.join(user, "document_id").withColumn("metadata", M.merged(F.coalesce("user", F.create_map().cast("map<string,string>")), F.col("metadata")))
+    parts = identified(chunked.where("text is not null"), described).dropDuplicates(["chunk_id"])
+    vectors, report.embedded = _stage(
+        spark, at("vectors"), "embedding_of", prints["embedding"], parts.select("chunk_id", "text"), lambda todo: embed(todo).select("chunk_id", "embedding"), "chunk_id"
+    )
+    indexed, _ = _stage(
+        spark, at("terms"), "analyzer", c.text_analyzer, parts.select("chunk_id", "document_id", "text"), lambda todo: todo.select("chunk_id", "document_id", textindex.analysed(F.col("text"), c.text_analyzer).alias("terms")), "chunk_id"
+    )
+    chunks = parts.join(vectors.select("chunk_id", "embedding"), "chunk_id")
+    tables.publish(chunks, at("chunks"))
+    tables.publish(textindex.stored(textindex.counted(indexed, positions=True)), at("postings"), ["bucket"])
+    statistics = indexed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.lit(c.text_analyzer).alias("analyzer"))
+    tables.publish(statistics, at("statistics"))
+
+    documents = found.drop("user").join(parsed.select("document_id", "title", "body", "error"), "document_id").join(described.select("document_id", "metadata"), "document_id", "left")
+    if summariser is not None and c.summarise:
+        def summarise(todo: DataFrame) -> DataFrame:
+            content = markdown.summary_content(markdown.pages(todo, "body"), c.summary_max_pages)
+            rows = todo.select("document_id", "title", T.file_name(F.col("path")).alias("filename")).join(content, "document_id", "left")
+            return embedding.summarised(rows, F.col("content"), summariser).select("document_id", F.col("title").alias("summary_title"), "summary")
+
+        summaries, report.summarised = _stage(spark, at("summaries"), "summarizer", prints["summarizer"], good, summarise)
+        documents = documents.join(summaries.select("document_id", "summary_title", "summary"), "document_id", "left").withColumn("title", F.coalesce("summary_title", "title")).drop("summary_title")
+    before = tables.read(spark, at("documents"))
+    added = before.select("document_id", F.col("added_at").alias("since")) if before is not None else spark.createDataFrame([], "document_id string, since timestamp")
+    documents = documents.join(added, "document_id", "left").withColumn("added_at", F.coalesce("since", F.current_timestamp())).drop("since")
+    tables.publish(documents, at("documents"))
+    return open_collection(spark, store), report
 
 
 def open_collection(spark: SparkSession, store: str) -> search.Collection:
+    """The tables in store, with the text index as it is stored."""
     chunks, documents = tables.read(spark, f"{store}/chunks"), tables.read(spark, f"{store}/documents")
 
     def query_vector(query: str) -> list[float] | None:
         row = spark.createDataFrame([(query,)], "text string").select(embedding.hashed(F.col("text")).alias("v")).first()
         return list(row.v) if row.v is not None else None
 
-    return search.Collection(chunks, documents, textindex.TextIndex.build(chunks), query_vector)
+    index = textindex.opened(tables.read(spark, f"{store}/postings"), tables.read(spark, f"{store}/statistics"))
+    return search.Collection(chunks, documents.where("error is null"), index, query_vector)
 
 
 def removed(spark: SparkSession, store: str, document_id: str) -> search.Collection:
-    """Deletes a document from documents and chunks (the text index is built from chunks)."""
+    """Deletes a document from all tables that a search or listing reads; statistics of the text index follow."""
     gone = spark.createDataFrame([(document_id,)], "document_id string")
-    for name in ("chunks", "documents"):
-        tables.publish(sync.without_documents(tables.read(spark, f"{store}/{name}"), gone), f"{store}/{name}")
+    left = {name: sync.without_documents(tables.read(spark, f"{store}/{name}"), gone) for name in ("terms", "chunks", "documents")}
+    indexed = left["terms"]
+    sources = tables.read(spark, f"{store}/sources")
+    if sources is not None:
+        path = tables.read(spark, f"{store}/documents").where(F.col("document_id") == document_id).select("path")
+        tables.publish(sources.join(path, "path", "left_anti"), f"{store}/sources")
+    analyzer = tables.read(spark, f"{store}/statistics").select("analyzer").first()[0]
+    tables.publish(textindex.stored(textindex.counted(indexed, positions=True)), f"{store}/postings", ["bucket"])
+    tables.publish(indexed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.lit(analyzer).alias("analyzer")), f"{store}/statistics")
+    for name, rows in left.items():
+        tables.publish(rows, f"{store}/{name}")
     return open_collection(spark, store)
 
 
-def with_user_metadata(documents: DataFrame, user: dict[str, str]) -> DataFrame:
-    given = F.create_map(*[F.lit(x) for k, v in user.items() for x in (k, v)]) if user else F.create_map().cast("map<string,string>")
-    return documents.withColumn("metadata", M.merged(given, F.col("metadata")))
+def add_source(spark: SparkSession, store: str, path: str, metadata: dict[str, str] | None = None) -> None:
+    """Notes a file to be ingested wherever it is, with metadata of the user's; given again, the new metadata counts."""
+    row = spark.createDataFrame([(path, {k: str(v) for k, v in (metadata or {}).items()})], "path string, metadata map<string,string>")
+    old = tables.read(spark, f"{store}/sources")
+    tables.publish(row if old is None else old.where(F.col("path") != path).unionByName(row), f"{store}/sources")

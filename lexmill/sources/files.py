@@ -38,13 +38,33 @@ def route(path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
     """(path, checksum, last_modified, file_size, content) of supported files below root; content is read only where it is used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace("path", "^file:(//)?", "")
     base = os.path.abspath(root) if "://" not in root else root
-    out = files.select(path.alias("path"), ids.checksum(F.col("content")).alias("checksum"), F.col("modificationTime").cast("double").alias("last_modified"), F.col("length").alias("file_size"), "content")
+    out = _read(spark.read.option("recursiveFileLookup", "true"), root)
     return out.where(is_supported(F.col("path"), extensions) & ~is_excluded(F.col("path"), base))
 
 
+def _read(reader, paths) -> DataFrame:
+    path = F.regexp_replace("path", "^file:(//)?", "")
+    return reader.format("binaryFile").load(paths).select(path.alias("path"), ids.checksum(F.col("content")).alias("checksum"), F.col("modificationTime").cast("double").alias("last_modified"), F.col("length").alias("file_size"), "content")
+
+
+def given(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """Like scan() for those of some files, named one by one, that are there; None if none is."""
+    exists = lambda p: (at := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    there = [p for p in paths if exists(p)]
+    return _read(spark.read, there) if there else None
+
+
+def upload(spark: SparkSession, root: str, name: str, content: bytes, timestamp: int, token: str) -> str:
+    """Stores a file under root/uploads by a name of its own; returns its path."""
+    path = f"{root.rstrip('/')}/uploads/{upload_name(os.path.basename(name), timestamp, token)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
 def markdown_text(content: Column) -> Column:
     return F.decode(content, "UTF-8")
 
@@ -79,6 +99,18 @@ def chained(*parsers: PdfParser, meaningful: Callable[[str], bool] = lambda t: l
     return parse
 
 
+#: Fixed value: what stands for a page that no parser reads.
+PLACEHOLDER = "no text]"
+
+
+def with_markers(pages: DataFrame) -> DataFrame:
+    """(path, text, error, placeholders) of pdf_pages(): pages in order under the marks of their numbers, and the numbers of pages that no parser read."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("page_number").isNotNull(), F.struct("page_number", "content"))))
+    marked = F.transform(ordered, lambda p: F.concat(F.lit("--[PAGE: "), p["page_number"].cast("string"), F.lit("]--\n"), p["content"]))
+    lost = F.transform(F.filter(ordered, lambda p: p["content"].startswith("[Page ") & p["content"].endswith(PLACEHOLDER)), lambda p: p["page_number"])
+    return pages.groupBy("path").agg(F.concat_ws("\n", marked).alias("text"), F.max("error").alias("error"), lost.alias("placeholders"))
+
+
 def pdf_pages(files: DataFrame, parser: PdfParser = missing_parser) -> DataFrame:
     """(path, page_number, content, error): pages from 1, or one row with the error of a file that cannot be parsed."""
 

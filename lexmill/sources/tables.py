@@ -1,8 +1,8 @@
-"""Versioned Parquet tables: each write is a new directory, and a pointer names the present one.
+"""Versioned Parquet tables: each write is a new directory, and the pointer of the highest number names the present one.
 
-A path that is being read is never overwritten; a reader keeps the version that it opened. The
-pointer is written to a new file and renamed, which the file systems Spark writes to do atomically or
-refuse.
+A path that is being read is never overwritten; a reader keeps the version that it opened. A pointer is an empty file whose name holds its
+number and its version, so making it is one step, and at no time is there none. Of two writers at once one is the
+present version, whole. The version before the present one stays for its readers; older ones are deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 POINTER = "CURRENT"
+KEPT = 2
 
 
 def _fs(spark: SparkSession, path: str):
@@ -20,13 +21,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def current(spark: SparkSession, root: str) -> str | None:
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the pointers, the present one last."""
     fs, path = _fs(spark, root)
-    at = path(f"{root}/{POINTER}")
-    if not fs.exists(at):
-        return None
-    lines = spark.read.text(f"{root}/{POINTER}").collect()
-    return f"{root}/{lines[0].value}" if lines else None
+    if not fs.exists(path(root)):
+        return []
+    return sorted(n for s in fs.listStatus(path(root)) if (n := s.getPath().getName()).startswith(f"{POINTER}."))
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    names = _pointers(spark, root)
+    return f"{root}/{names[-1].split('.')[2]}" if names else None
 
 
 def read(spark: SparkSession, root: str) -> DataFrame | None:
@@ -35,21 +40,19 @@ def read(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def publish(df: DataFrame, root: str, partition_by: list[str] | None = None) -> str:
-    """Writes a new version and makes it the present one; the version before stays for its readers."""
+    """Writes a new version and makes it the present one."""
     spark = df.sparkSession
     name = f"v-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}")
+    before = _pointers(spark, root)
+    number = int(before[-1].split(".")[1]) + 1 if before else 0
     fs, path = _fs(spark, root)
-    staged = path(f"{root}/.{POINTER}-{name}")
-    out = fs.create(staged, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    target = path(f"{root}/{POINTER}")
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(staged, target):
+    if not fs.createNewFile(path(f"{root}/{POINTER}.{number:012d}.{name}")):
         raise OSError(f"cannot publish {root}")
+    for old in _pointers(spark, root)[:-KEPT]:
+        fs.delete(path(f"{root}/{old}"), False)
+        fs.delete(path(f"{root}/{old.split('.')[2]}"), True)
     return f"{root}/{name}"
 
 
