@@ -132,6 +132,11 @@ def index_listing(file_index: DataFrame) -> DataFrame:
     return file_index.select("path", "checksum", F.col("processed_time").isNotNull().alias("processed"))
 
 
+def listed_all(documents: DataFrame) -> DataFrame:
+    """(document_id, path, title, total) of all documents; the total is one row, joined to each."""
+    return documents.select("document_id", "path", "title").join(F.broadcast(documents.agg(F.count("*").alias("total"))))
+
+
 def result_csv(results: DataFrame) -> DataFrame:
     """Results as the six columns of the CSV export: scores in percent, chunk numbers from 1."""
     return results.select(

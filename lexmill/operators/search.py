@@ -53,12 +53,13 @@ def allowed(c: Collection, where: dict | None) -> Column | None:
     return M.predicate(where, {x: t for x, t in c.chunks.dtypes if x not in ("metadata", "embedding", "document_metadata")}, *[F.col(x) for x in ("document_metadata", "metadata") if x in c.chunks.columns])
 
 
-def _enriched(c: Collection, hits: DataFrame, search_type: str, score: str = "score") -> DataFrame:
-    """Hits (chunk_id, score, ...) with the chunk's and its document's columns. Hits are few, so they are broadcast."""
+def enriched(c: Collection, hits: DataFrame, search_type: str, limited: bool = True) -> DataFrame:
+    """Hits (chunk_id, score, ...) with the chunk's and its document's columns. Those of a search are few (``limited``) and broadcast; others are joined as Spark sees fit."""
+    small = F.broadcast if limited else lambda df: df
     own = c.chunks.select("chunk_id", "document_id", "chunk_index", "page_number", "text")
-    out = own.join(F.broadcast(hits.drop("document_id")), "chunk_id")
+    out = own.join(small(hits.drop("document_id")), "chunk_id")
     docs = c.documents.select("document_id", "path", "title")
-    rows = docs.join(F.broadcast(out), "document_id", "right")
+    rows = docs.join(small(out), "document_id", "right")
     return rows.withColumn("search_type", F.lit(search_type))
 
 
@@ -112,7 +113,7 @@ def search(
             vector_arm(c, vector, n, where, min_score), text_arm(c, query, n, where, min_score), wide, s.vector_weight, s.text_weight, s.rrf_k
         )
         hits = fusion.ranked(fused, F.desc("score"), "chunk_id")
-    rows = _enriched(c, hits, search_type)
+    rows = enriched(c, hits, search_type)
     if rerank:
         rows = embedding.reranked(rows, rerank(F.col("text"), query), limit)
     return rows.orderBy("rank")
@@ -174,6 +175,11 @@ def scoped_search(c: Collection, query: str, session: str, scopes: Scopes, now:
     return search(c, query, limit, where, **more)
 
 
+def in_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """Rows of the documents in scope (document_id), however many they are."""
+    return rows.join(scope.select("document_id").distinct(), "document_id", "left_semi")
+
+
 def page(results: DataFrame, size: int, token: str | None = None, total: int | None = None) -> tuple[DataFrame, str | None]:
     """One page of ordered results and the token of the next (its offset), null after the last."""
     start = int(token) if token else 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 
 DECIMALS = 6
-#: Queries that one broadcast block of search_batch holds.
+#: Queries that search_batch broadcasts, or holds in one block; vectors of one stripe.
 BLOCK = 1024
+STRIPE = 65_536
 
 
 def search(vectors: DataFrame, query: list[float], limit: int = 5, where: Column | None = None, min_score: float = 0.0, id_column: str = "chunk_id") -> DataFrame:
@@ -28,53 +30,92 @@ def search(vectors: DataFrame, query: list[float], limit: int = 5, where: Column
     return scored.orderBy("distance", id_column).limit(limit).where(F.col("score") >= min_score)
 
 
+class Nearest:
+    """The best rows of each query so far, from blocks of vectors."""
+
+    def __init__(self, names: list, queries: np.ndarray, limit: int):
+        self.names, self.q, self.limit = names, queries, limit
+        self.square = (queries * queries).sum(axis=1)
+        self.best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in names]
+
+    def add(self, ids: list, c: np.ndarray) -> None:
+        raw = np.maximum(0.0, self.square[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (self.q @ c.T))
+        d = np.round(raw, DECIMALS)  # ranks by rounded distances, so that equal vectors tie
+        n = min(self.limit, len(ids))
+        cut = np.partition(d, n - 1, axis=1)[:, n - 1] if n else np.zeros(len(self.names))
+        for k, (dist, named) in enumerate(self.best):
+            at = np.nonzero(d[k] <= cut[k])[0]
+            dist = np.concatenate([dist, raw[k][at]])
+            named = named + [ids[i] for i in at]
+            order = sorted(range(len(named)), key=lambda i: (round(dist[i], DECIMALS), named[i]))[: self.limit]
+            self.best[k] = (dist[order], [named[i] for i in order])
+
+    def rows(self) -> dict[str, list]:
+        found = [(self.names[k], i, float(x)) for k, (dist, named) in enumerate(self.best) for x, i in zip(dist, named)]
+        return {"query_id": [r[0] for r in found], "id": [r[1] for r in found], "distance": [r[2] for r in found]}
+
+
 def search_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5, id_column: str = "chunk_id") -> DataFrame:
     """(query_id, rank, id, score) for each of queries (query_id, embedding), by matrix products.
 
-    Queries are sent to the tasks in blocks of ``BLOCK``, so what is broadcast is bounded; each task keeps its best rows only.
+    Up to ``BLOCK`` queries are broadcast, and each task keeps its best rows only. More are cut into blocks, and the vectors into stripes of
+    ``STRIPE``; each task searches one block in one stripe, all in one plan. Vectors of another length than a query's take no part.
     """
-    spark = vectors.sparkSession
-    numbered = queries.where("embedding is not null").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))))
-    out = None
     rows = vectors.where("embedding is not null").select(F.col(id_column).alias("id"), "embedding")
-    kind = dict(rows.dtypes)["id"]
-    qkind = dict(queries.dtypes)["query_id"]
-    for b in [r[0] for r in numbered.select("_block").distinct().orderBy("_block").collect()]:
-        block = numbered.where(F.col("_block") == b).select("query_id", "embedding").collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)))
-
-        def run(batches, sent=sent):
-            names, q = sent.value
-            square = (q * q).sum(axis=1)
-            best: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in names]
-            for batch in batches:
-                ids, values = batch.column(0).to_pylist(), batch.column(1)
-                flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(flat) != len(ids) * q.shape[1]:
-                    keep = [i for i, v in enumerate(values) if len(v) == q.shape[1]]
-                    flat = np.concatenate([np.array(values[i].as_py(), dtype=np.float64) for i in keep]) if keep else np.zeros(0)
-                    ids = [ids[i] for i in keep]
-                if not ids:
-                    continue
-                c = flat.reshape(len(ids), -1)
-                raw = np.maximum(0.0, square[:, None] + (c * c).sum(axis=1)[None, :] - 2 * (q @ c.T))
-                d = np.round(raw, DECIMALS)  # ranks by rounded distances, so that equal vectors tie
-                for k in range(len(names)):
-                    n = min(limit, len(ids))
-                    cut = np.partition(d[k], n - 1)[n - 1]
-                    at = np.nonzero(d[k] <= cut)[0]
-                    dist = np.concatenate([best[k][0], raw[k][at]])
-                    named = best[k][1] + [ids[i] for i in at]
-                    order = sorted(range(len(named)), key=lambda i: (round(dist[i], DECIMALS), named[i]))[:limit]
-                    best[k] = (dist[order], [named[i] for i in order])
-            rows = [(names[k], i, float(x)) for k, (dist, named) in enumerate(best) for x, i in zip(dist, named)]
-            if rows:
-                yield pa.RecordBatch.from_pydict({"query_id": [r[0] for r in rows], "id": [r[1] for r in rows], "distance": [r[2] for r in rows]})
-
-        part = rows.mapInArrow(run, f"query_id {qkind}, id {kind}, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), "id", F.lit(0.0).alias("distance"))
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    n = asked.count()
+    kind, qkind = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    schema = f"query_id {qkind}, id {kind}, distance double"
+    out = _sent(rows, asked, limit, schema) if n <= BLOCK else _striped(rows, asked, n, limit, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", DECIMALS), "id"))
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= limit)
     return ranked.select("query_id", "rank", "id", F.round(V.similarity(F.col("distance")), DECIMALS).alias("score"))
+
+
+def _sent(rows: DataFrame, asked: DataFrame, limit: int, schema: str) -> DataFrame:
+    by_length: dict[int, list] = {}
+    for r in asked.collect():  # at most BLOCK
+        by_length.setdefault(len(r[1]), []).append(r)
+    sent = rows.sparkSession.sparkContext.broadcast([([r[0] for r in g], np.array([r[1] for r in g], dtype=np.float64)) for g in by_length.values()])
+
+    def run(batches):
+        best = [Nearest(names, q, limit) for names, q in sent.value]
+        for batch in batches:
+            ids, values = batch.column(0).to_pylist(), batch.column(1)
+            lengths = np.diff(values.offsets.to_numpy())
+            for b in best:
+                d = b.q.shape[1]
+                if (lengths == d).all():
+                    c, own = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1), ids
+                else:
+                    at = np.nonzero(lengths == d)[0].tolist()
+                    c, own = np.array([values[i].as_py() for i in at], dtype=np.float64).reshape(len(at), -1), [ids[i] for i in at]
+                if own:
+                    b.add(own, c)
+        for b in best:
+            found = b.rows()
+            if found["id"]:
+                yield pa.RecordBatch.from_pydict(found)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _striped(rows: DataFrame, asked: DataFrame, n: int, limit: int, schema: str) -> DataFrame:
+    blocks, stripes = -(-n // BLOCK), max(1, -(-rows.count() // STRIPE))
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asked.withColumn("block", place("query_id", blocks)).withColumn("stripe", each(stripes))
+    right = rows.withColumn("stripe", place("id", stripes)).withColumn("block", each(blocks))
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = [{"query_id": [], "id": [], "distance": []}]
+        for d, part in q.groupby(q["embedding"].map(len)):
+            own = c[c["embedding"].map(len) == d]
+            best = Nearest(part["query_id"].tolist(), np.stack(part["embedding"].to_numpy()).astype(np.float64), limit)
+            for at in range(0, len(own), 1024):
+                some = own.iloc[at : at + 1024]
+                best.add(some["id"].tolist(), np.stack(some["embedding"].to_numpy()).astype(np.float64))
+            out.append(best.rows())
+        return pd.DataFrame({k: [x for o in out for x in o[k]] for k in out[0]})
+
+    return left.groupBy("block", "stripe").cogroup(right.groupBy("block", "stripe")).applyInPandas(run, schema)

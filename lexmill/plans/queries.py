@@ -100,16 +100,17 @@ def s12_transcription_join(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SQL_CHUNKS} SELECT coalesce(nullif(title, ''), 'Untitled') AS "Document Title", path AS "Document Path", printf('%.2f%%', 50.0) AS "Score", NULL::VARCHAR AS "Page", chunk_index + 1 AS "Chunk Index", text AS "Content" FROM c WHERE chunk_index < 2"""
+    f"""WITH {SQL_CHUNKS} SELECT coalesce(nullif(title, ''), 'Untitled') AS "Document Title", path AS "Document Path", printf('%.2f%%', (chunk_index % 101) / 100 * 100) AS "Score", NULL::VARCHAR AS "Page", chunk_index + 1 AS "Chunk Index", text AS "Content" FROM c"""
 )
 def s24_result_csv(spark, sf_dir):
-    rows = views.chunks(spark, sf_dir).where("chunk_index < 2").withColumn("score", F.lit(0.5))
+    rows = views.chunks(spark, sf_dir).withColumn("score", F.col("chunk_index") % 101 / 100)
     return catalog.result_csv(rows)
 
 
 @query("""SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":' || to_json(lang) || ',"source":' || to_json(source) || ',"n_chars":' || n_chars || '}' AS json FROM documents""")
 def s25_json_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("json"))
+    out = catalog.as_json(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+    return out.select(F.get_json_object("json", "$.doc_id").cast("long").alias("doc_id"), "json")
 
 
 @query("SELECT doc_id, left(sha256(source || '/' || doc_id), 16) AS cache_key FROM documents")
@@ -131,12 +132,12 @@ def _fronted(spark, sf_dir):
 
 @query(
     f"""WITH {_FRONT} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'yaml' WHEN 1 THEN 'toml' END AS kind,
-  CASE WHEN doc_id % 3 < 2 THEN substr(head, 5, length(head) - 9) END AS raw, regexp_replace(text, '^\\s*\\n', '') = regexp_replace(text, '^\\s*\\n', '') AS same, length(CASE WHEN doc_id % 3 < 2 THEN regexp_replace(text, '^\\s+', '') ELSE text END) AS chars FROM f"""
+  CASE WHEN doc_id % 3 < 2 THEN substr(head, 5, length(head) - 9) END AS raw, md5(CASE WHEN doc_id % 3 < 2 THEN regexp_replace(text, '^\\s+', '') ELSE text END) AS body_md5, length(CASE WHEN doc_id % 3 < 2 THEN regexp_replace(text, '^\\s+', '') ELSE text END) AS chars FROM f"""
 )
 def p1_p2_front_matter(spark, sf_dir):
     f = _fronted(spark, sf_dir).select("doc_id", markdown.front_matter(F.col("text")).alias("f"))
-    chars = F.when(F.col("f.kind").isNotNull(), F.length(F.regexp_replace("f.body", r"\A\s+", ""))).otherwise(F.length("f.body"))
-    return f.select("doc_id", "f.kind", "f.raw", F.lit(True).alias("same"), chars.alias("chars"))
+    body = F.when(F.col("f.kind").isNotNull(), F.regexp_replace("f.body", r"\A\s+", "")).otherwise(F.col("f.body"))
+    return f.select("doc_id", "f.kind", "f.raw", F.md5(body.cast("binary")).alias("body_md5"), F.length(body).alias("chars"))
 
 
 @query(f"WITH {_FRONT} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' || doc_id END AS title, CASE doc_id % 3 WHEN 0 THEN lang WHEN 1 THEN doc_id::VARCHAR END AS value FROM f JOIN documents USING (doc_id) WHERE doc_id % 3 < 2")
@@ -364,17 +365,28 @@ def e2_normalised(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query("SELECT label, round(list_sum(list_transform(list_zip(embedding, embedding), lambda p: p[1]::DOUBLE)) / 64, 5) AS mean, vec_id FROM embeddings")
+#: Vectors as eight tokens of eight numbers, of which a mask leaves some out.
+_MASKED = "list_filter(range(8), lambda i: (vec_id + i) % 3 <> 0)"
+
+
+@query(
+    f"""SELECT vec_id, round((list_sum(list_transform({_MASKED}, lambda i: embedding[i * 8 + 1]::DOUBLE)) / len({_MASKED}))::FLOAT::DOUBLE, 4) AS first,
+  round((list_sum(list_transform({_MASKED}, lambda i: embedding[i * 8 + 8]::DOUBLE)) / len({_MASKED}))::FLOAT::DOUBLE, 4) AS last FROM embeddings"""
+)
 def e2_mean_pooling(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    columns = F.transform("embedding", lambda x: F.array(x))
-    return e.select("label", F.round(F.get(V.mean_pooled(columns, F.transform("embedding", lambda x: F.lit(1))), F.lit(0)).cast("double"), 5).alias("mean"), "vec_id")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when((F.col("vec_id") + i) % 3 == 0, 0).otherwise(1))
+    pooled = e.select("vec_id", V.mean_pooled(parts, mask).alias("p"))
+    return pooled.select("vec_id", F.round(F.get("p", F.lit(0)).cast("double"), 4).alias("first"), F.round(F.get("p", F.lit(7)).cast("double"), 4).alias("last"))
 
 
-@query("SELECT count(*) AS texts, count(DISTINCT md5(text)) AS embedded FROM documents")
+@query("SELECT doc_id, CASE WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) THEN -1 ELSE length(text) END::DOUBLE AS value FROM documents")
 def e3_embedding_cache(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.agg(F.count("*").alias("texts"), F.countDistinct(F.md5(F.col("text").cast("binary"))).alias("embedded"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = d.where("doc_id % 3 = 0").select(F.md5(F.col("text").cast("binary")).alias("text_hash")).distinct().withColumn("embedding", F.array(F.lit(-1.0).cast("float")))
+    out = embedding.embedded(d, lambda texts: [[float(len(t))] for t in texts], cache=known)
+    return out.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("value"))
 
 
 @query(f"WITH {SQL_COLLECTION} SELECT chunk_id FROM c WHERE embedding IS NOT NULL AND len(embedding) > 0")
@@ -417,12 +429,12 @@ def q1_vector_search(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d
-  FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0),
+  FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), id) AS rank FROM r) SELECT query_id, rank::INT AS rank, id, round(greatest(0, 1 - d / 2), 6) AS score FROM k WHERE rank <= 5"""
 )
 def q1_vector_search_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectorsearch.search_batch(e, queries, 5, "vec_id")
 
 
@@ -465,7 +477,7 @@ def q4_wildcard_query(spark, sf_dir):
     return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), "thing*", None).select("chunk_id")
 
 
-_ASKED = f"""a AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens("array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, 4), ' ')")})) AS term FROM benchmark),
+_ASKED = f"""a AS (SELECT item_id AS query_id, unnest(list_distinct({sql_tokens("text")})) AS term FROM benchmark),
 wn AS (SELECT query_id, count(*) AS wanted FROM a GROUP BY 1)"""
 
 
@@ -478,8 +490,7 @@ def _bm25_batch_sql(cut: int) -> str:
 
 
 def _asked(spark, sf_dir):
-    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", words).alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {SQL_COLLECTION}, {_bm25_batch_sql(10)} SELECT * FROM tb")
@@ -538,10 +549,20 @@ def q7_reciprocal_rank_fusion(spark, sf_dir):
     return fusion.reciprocal_rank_fusion(fusion.ranked(v, *order), fusion.ranked(t, *order), 100, 0.5, 0.5)
 
 
-@query(f"WITH {SQL_COLLECTION}, {sql_vector(VEC)} SELECT chunk_id, score, 'vector' AS search_type FROM v WHERE score >= 0 ORDER BY distance, chunk_id LIMIT 5")
+@query(
+    _hybrid_sql(
+        5, 10,
+        finish="""SELECT 'hybrid' AS route, 'hybrid' AS search_type, chunk_id, score FROM r
+  UNION ALL (SELECT 'vector', 'vector', chunk_id, score FROM v ORDER BY distance, chunk_id LIMIT 5)
+  UNION ALL (SELECT 'text', 'text', chunk_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 5)
+  UNION ALL (SELECT 'hybrid without an embedder', 'text', chunk_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 5)""",
+    )
+)
 def q9_router(spark, sf_dir):
-    c = views.collection(spark, sf_dir)
-    return search.search(c, QUERY, 5, search_type="vector", vector=views.query_vector(spark, sf_dir, VEC)).select("chunk_id", "score", "search_type")
+    c, vector = views.collection(spark, sf_dir), views.query_vector(spark, sf_dir, VEC)
+    routes = [("hybrid", "hybrid", vector), ("vector", "vector", vector), ("text", "text", None), ("hybrid without an embedder", "hybrid", None)]
+    out = [search.search(c, QUERY, 5, search_type=kind, vector=v).select(F.lit(name).alias("route"), "search_type", "chunk_id", "score") for name, kind, v in routes]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 _OVERLAP = f"round(len(list_intersect(list_distinct({sql_tokens('c.text')}), ['thing', 'tion', 'ering'])) / 3, 6)"
@@ -599,7 +620,10 @@ def q15_paging(spark, sf_dir):
     return search.page(hits, 5, "10", 25)[0].select("chunk_id", "score")
 
 
-@query()
+@query(
+    f"""WITH {SQL_COLLECTION}, {sql_vector(VEC, condition="c.document_id <> (SELECT document_id FROM d ORDER BY path LIMIT 1)")}
+  SELECT chunk_id, document_id, score FROM (SELECT *, row_number() OVER (ORDER BY distance, chunk_id) AS r FROM v QUALIFY r <= 6) WHERE score >= 0.1 AND r <= 5"""
+)
 def q16_similar_documents(spark, sf_dir):
     c = views.collection(spark, sf_dir)
     first = c.documents.orderBy("path").select("document_id").first().document_id
@@ -688,8 +712,7 @@ def a8_document_with_chunks(spark, sf_dir):
 
 @query(f"WITH {SQL_DOCUMENTS} SELECT document_id, path, title, count(*) OVER () AS total FROM d")
 def a9_list_all(spark, sf_dir):
-    d = views.documents(spark, sf_dir)
-    return d.select("document_id", "path", "title").join(F.broadcast(d.agg(F.count("*").alias("total"))))
+    return catalog.listed_all(views.documents(spark, sf_dir))
 
 
 @query("SELECT doc_id FROM documents WHERE lang = 'fr' AND source IN ('src1', 'src2', 'src3')")
@@ -820,7 +843,7 @@ def j2_inserted_chunks(spark, sf_dir):
 @query(f"WITH {SQL_CHUNKS} SELECT chunk_id FROM c WHERE document_id IN (SELECT document_id FROM d WHERE lang = 'es')")
 def j7_scope(spark, sf_dir):
     scope = views.documents(spark, sf_dir).where("lang = 'es'").select("document_id")
-    return views.chunks(spark, sf_dir).join(scope, "document_id", "left_semi").select("chunk_id")
+    return search.in_scope(views.chunks(spark, sf_dir), scope).select("chunk_id")
 
 
 @query(f"WITH {SQL_DOCUMENTS} SELECT document_id, CASE WHEN doc_id % 4 = 0 THEN 'cache_only' ELSE 'store_only' END AS side FROM d WHERE doc_id % 4 IN (0, 1)")
@@ -829,11 +852,12 @@ def j8_reconciliation(spark, sf_dir):
     return sync.reconciliation(d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 <> 1"))
 
 
-@query(f"WITH {SQL_DOCUMENTS} SELECT document_id, title FROM d JOIN (SELECT document_id FROM d WHERE n_chars > 500) h USING (document_id)")
+@query(f"WITH {SQL_COLLECTION} SELECT chunk_id, document_id, path, title, n_chars::DOUBLE AS score, length(text) AS chars, 'text' AS search_type FROM c WHERE n_chars > 500")
 def j9_enriched(spark, sf_dir):
-    d = views.documents(spark, sf_dir)
-    hits = d.where("n_chars > 500").select("document_id")
-    return hits.join(d.select("document_id", "title"), "document_id").select("document_id", "title")
+    d = table(spark, sf_dir, "documents")
+    hits = d.where("n_chars > 500").select(F.format_string("c%06d", "doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"))
+    out = search.enriched(views.collection(spark, sf_dir), hits, "text", limited=False)
+    return out.select("chunk_id", "document_id", "path", "title", "score", F.length("text").alias("chars"), "search_type")
 
 
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -877,6 +901,34 @@ def k4_to_process(spark, sf_dir):
     return cache.to_process(d, d.where("doc_id % 3 = 0")).select("doc_id")
 
 
+@query(f"WITH {SQL_DOCUMENTS} SELECT doc_id FROM d WHERE checksum IN (SELECT checksum FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0)")
+def s19_chunk_cache(spark, sf_dir):
+    d = views.documents(spark, sf_dir).select("doc_id", "checksum")
+    now = {"parsing": cache.fingerprint({"parser": "a"}), "chunking": cache.fingerprint({"size": 1000})}
+    kept = d.where("doc_id % 2 = 0").withColumns({"parsing": F.when(F.col("doc_id") % 3 == 0, "old").otherwise(now["parsing"]), "chunking": F.when(F.col("doc_id") % 5 == 0, "old").otherwise(now["chunking"])})
+    return d.join(cache.still_valid(kept, d, now).select("checksum").distinct(), "checksum", "left_semi").select("doc_id")
+
+
+@query(
+    """SELECT * FROM (VALUES ('chunking', 'chunking'), ('chunking', 'embedding'), ('embedding', 'embedding'), ('index', 'index'), ('parsing', 'parsing'), ('parsing', 'chunking'), ('parsing', 'embedding'),
+  ('parsing', 'summarizer'), ('summarizer', 'summarizer')) t(changed, again)"""
+)
+def k3_cascade(spark, sf_dir):
+    now = {s: {"setting": 1} for s in cache.STAGES}
+    rows = []
+    for stage in cache.STAGES:
+        stored = {s: cache.fingerprint({"setting": 1 + (s == stage)}) for s in cache.STAGES}
+        rows += [(stage, s) for s in sorted(cache.invalidated(cache.changed_stages(now, stored)))]
+    return spark.createDataFrame(rows, "changed string, again string")
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0)")
+def t6_not_in_flight(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    jobs_ = e.where("event_type = 'purchase'").select("user_id", F.when(F.col("event_id") % 2 == 0, "running").otherwise("completed").alias("status"))
+    return E.not_in_flight(e, jobs_, "user_id").select("event_id")
+
+
 # --- events ---------------------------------------------------------------------------------------
 
 
@@ -919,9 +971,9 @@ def t9_subscribed(spark, sf_dir):
     return E.subscribed(table(spark, sf_dir, "events"), {"event_type": ["click", "purchase"], "user_id": 7}).select("event_id")
 
 
-@query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
+@query("SELECT event_type, (SELECT count(*) FROM events e WHERE e.event_type = k.event_type) AS events FROM (VALUES ('click'), ('view'), ('no such kind')) k(event_type)")
 def t10_event_types(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("events"))
+    return E.counts_by_kind(table(spark, sf_dir, "events"), ["click", "view", "no such kind"])
 
 
 # --- metadata storage -----------------------------------------------------------------------------
@@ -963,6 +1015,6 @@ def x1_after_run(spark, sf_dir):
     return jobs.after_run(q, q.where("status = 'running'").select("job_id", (F.col("job_id") % 2 == 0).alias("success"))).select("job_id", "status", "attempts")
 
 
-@query("SELECT doc_id, path, added_at FROM (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.md' AS path, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS added_at FROM documents) WHERE doc_id < 50")
+@query("SELECT doc_id, path, added_at FROM (SELECT doc_id, '/kb/' || source || '/' || doc_id || '.md' AS path, make_timestamp((1700000000 + doc_id * 60) * 1000000) AS added_at FROM documents)")
 def x4_document_rows(spark, sf_dir):
-    return views.documents(spark, sf_dir).where("doc_id < 50").select("doc_id", "path", "added_at")
+    return views.documents(spark, sf_dir).select("doc_id", "path", "added_at")

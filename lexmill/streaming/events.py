@@ -20,28 +20,32 @@ def debounced(events: DataFrame, key: str, gap_seconds: int, time: str = "ts", p
 
 
 def debounced_stream(events: DataFrame, key: str, gap_seconds: float, payload: str = "event_type") -> DataFrame:
-    """The last payload of a key once no event has come for the gap, by processing time. Emits once per burst."""
+    """The payload with the latest time of a key once no event has come for the gap, by processing time; ties to the larger payload. Emits once per burst.
+
+    The rule is that of the batch form, whatever the micro-batches and the order in which events arrive.
+    """
     kind = dict(events.dtypes)
     milliseconds = int(gap_seconds * 1000)
 
     def step(name: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            last, n = state.get
+            last, n, _ = state.get
             state.remove()
             yield pd.DataFrame({key: [name[0]], payload: [last], "events": [n]})
             return
-        last, n, latest = (*state.get, None) if state.exists else (None, 0, None)
+        last, n, latest = state.get if state.exists else (None, 0, None)
         for part in rows:
             if len(part):
-                part = part.sort_values(["ts", payload])
-                if latest is None or part["ts"].iloc[-1] >= latest:
-                    latest, last = part["ts"].iloc[-1], part[payload].iloc[-1]
+                end = part.sort_values(["ts", payload]).iloc[-1]
+                at = end["ts"].value
+                if latest is None or (at, end[payload]) >= (latest, last):
+                    latest, last = at, end[payload]
                 n += len(part)
-        state.update((last, n))
+        state.update((last, n, latest))
         state.setTimeoutDuration(milliseconds)
 
     return events.select(key, payload, "ts").groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind[key]}, {payload} {kind[payload]}, events long", f"last {kind[payload]}, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} {kind[key]}, {payload} {kind[payload]}, events long", f"last {kind[payload]}, n long, latest long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -78,6 +82,22 @@ def dispatched(events: DataFrame, existing: DataFrame, key: str = "path") -> Dat
     return there.withColumn("action", action).where("action is not null").select(key, "action")
 
 
+#: The states of a job that is not over.
+UNFINISHED = ("queued", "running")
+
+
+def not_in_flight(events: DataFrame, jobs: DataFrame, key: str = "path") -> DataFrame:
+    """Events of files for which no job is queued or running."""
+    return events.join(jobs.where(F.col("status").isin(*UNFINISHED)).select(key).distinct(), key, "left_anti")
+
+
+def counts_by_kind(events: DataFrame, kinds: list[str], column: str = "event_type") -> DataFrame:
+    """(event_type, events) of each of the kinds that subscribers know, also of those without an event; other kinds are not told of."""
+    known = F.broadcast(events.sparkSession.createDataFrame([(k,) for k in kinds], f"{column} string"))  # a short list
+    counted = events.groupBy(column).agg(F.count("*").alias("events"))
+    return known.join(counted, column, "left").select(column, F.coalesce("events", F.lit(0)).alias("events"))
+
+
 def new_file_stream(spark: SparkSession, root: str, pattern: str = "*.md", per_trigger: int = 5) -> DataFrame:
     """New files below root as they come. Changes and deletions need a snapshot difference: a file source tells of additions only."""
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
