@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,7 +59,7 @@ def windows(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def beginnings(words: set[str]) -> set[str]:
+def beginnings(words: Iterable[str]) -> set[str]:
     """The words' beginnings of four letters or more, whole words with a space."""
     return {w[:n] for w in words for n in range(4, min(len(w), BEGINNING + 1))} | {w + " " for w in words if len(w) <= BEGINNING}
 
@@ -91,14 +91,33 @@ def _tail(k: int, n: int, p: float) -> float:
     return total
 
 
+def by_initial(*classes: list[set[str]]) -> list[list[list[list[str]]]]:
+    """Of each class, for each initial letter that any class has, the words of each text that begin with it."""
+    out: list[dict[str, list[list[str]]]] = []
+    for texts in classes:
+        groups: dict[str, list[list[str]]] = {}
+        for words in texts:
+            own: dict[str, list[str]] = {}
+            for w in words:
+                own.setdefault(w[0], []).append(w)
+            for c, some in own.items():
+                groups.setdefault(c, []).append(some)
+        out.append(groups)
+    letters = sorted(set().union(*out))
+    return [[groups.get(c, []) for c in letters] for groups in out]
+
+
 def content(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
     """The contents of the toxic and the ordinary dictionary."""
-    inside = Counter(b for t in toxic for b in beginnings(t))
-    inside = Counter({b: n for b, n in inside.items() if n > 2})
-    outside = Counter(b for t in ordinary for b in beginnings(t) & inside.keys())
-    tests = max(1, len(inside))
+    counts = []
+    for t, o in zip(*by_initial(toxic, ordinary)):  # one letter after the other, to bound memory
+        inside = Counter(b for words in t for b in beginnings(words))
+        inside = Counter({b: n for b, n in inside.items() if n > 2})
+        outside = Counter(b for words in o for b in beginnings(words) & inside.keys())
+        counts += [(b, n, outside[b]) for b, n in inside.items()]
+    tests = max(1, len(counts))
     share = len(toxic) / max(1, len(toxic) + len(ordinary))
-    found = [(p, -len(b), b) for b, n in inside.items() if (p := _tail(n, n + outside[b], share)) < ALPHA / tests]
+    found = [(p, -len(b), b) for b, n, m in counts if (p := _tail(n, n + m, share)) < ALPHA / tests]
     common = Counter(w + " " for t in ordinary for w in t)
 
     def joined(parts: list[str]) -> bytes:
