@@ -83,6 +83,7 @@ def inferred_title(text: Column, stem: Column) -> Column:
     return F.coalesce(stripped(F.regexp_replace(first, r"^[# ]+", "")), stem)
 
 
+#: Fixed value: what follows a text that was cut.
 NOTICE = "\n\n[Content truncated due to length...]"
 
 

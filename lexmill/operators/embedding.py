@@ -199,17 +199,20 @@ def parsed_summary(response: Column) -> Column:
     return F.when(good, F.struct(*[F.left(parts[k], F.lit(n)).alias(k) for k, n in cut.items()]))
 
 
+#: The wording of a summary that no model wrote.
+SHORT_FALLBACK = "Document with %d words"
+LONG_FALLBACK = (
+    "This document contains %d words and %d characters. Automatic summarization was not available, but the document appears to contain structured content suitable for analysis."
+)
+
+
 def fallback_summary(text: Column, filename: Column) -> Column:
     words, chars = T.word_count(text), F.length(text)
     title = F.when(F.coalesce(filename, F.lit("")) != "", F.initcap(F.regexp_replace(F.replace(filename, F.lit(".pdf"), F.lit("")), "_", " "))).otherwise("Document")
     return F.struct(
         title.alias("title"),
-        F.format_string("Document with %d words", words).alias("short_description"),
-        F.format_string(
-            "This document contains %d words and %d characters. Automatic summarization was not available, but the document appears to contain structured content suitable for analysis.",
-            words,
-            chars,
-        ).alias("long_description"),
+        F.format_string(SHORT_FALLBACK, words).alias("short_description"),
+        F.format_string(LONG_FALLBACK, words, chars).alias("long_description"),
     )
 
 
