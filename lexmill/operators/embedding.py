@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -50,11 +51,13 @@ def with_hashed(rows: DataFrame, dimensions: int = 64) -> DataFrame:
 
         for b in batches:
             lists = b.column(b.num_columns - 1)
-            lengths = np.array([len(x) if x.is_valid else 0 for x in lists], dtype=np.int64)
-            flat = [known.get(t) or place(t) for t in lists.flatten().to_pylist()]
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()  # each different token of the batch is hashed once
+            places = [known.get(t) or place(t) for t in coded.dictionary.to_pylist()]
             at = np.repeat(np.arange(b.num_rows), lengths) * dimensions
-            if flat:
-                i, s = np.array([x[0] for x in flat], dtype=np.int64), np.array([x[1] for x in flat])
+            if places:
+                codes = coded.indices.to_numpy()
+                i, s = np.array([x[0] for x in places], dtype=np.int64)[codes], np.array([x[1] for x in places])[codes]
                 raw = np.bincount(at + i, weights=s, minlength=b.num_rows * dimensions).reshape(b.num_rows, dimensions)
             else:
                 raw = np.zeros((b.num_rows, dimensions))
