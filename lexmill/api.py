@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .errors import Forbidden, Invalid, NotFound
-from .operators import cache, catalog, embedding, search, sync
+from .operators import cache, catalog, embedding, host, search, sync
 from .plans import ingest
 from .sources import files, tables
 
@@ -112,6 +112,23 @@ class KnowledgeBase:
             raise NotFound(identifier)
         return catalog.chunks_at(self.collection.chunks, rows[0].document_id, indices)
 
+    def resource(self, uri: str) -> str:
+        """JSON of doc://list, doc://<id or path>, and doc://<id or path>/chunk/<n,n,...>."""
+        scheme, _, rest = uri.partition("://")
+        if scheme != "doc" or not rest:
+            raise Invalid(f"no resource {uri!r}")
+        if rest == "list":
+            rows = catalog.listed_all(self.collection.documents)
+        elif "/chunk/" in rest:
+            name, _, indices = rest.rpartition("/chunk/")
+            rows = self.get_chunks(name, indices)
+        else:
+            rows = self.get_document(rest)
+        return "[" + ",\n".join(r.json for r in catalog.as_json(rows).collect()) + "]"  # a document's rows, or a listing
+
+    def host_metrics(self) -> DataFrame:
+        return host.metrics(self.spark)
+
     def remove_document(self, document_id: str) -> None:
         """Deletes a document, unless its file is still below root (uploads may go)."""
         row = self.collection.documents.where(F.col("document_id") == document_id)

@@ -36,6 +36,8 @@ class Config:
     page_merge_small: bool = True
     pdf_parser: str = "none"  # names the parser and embedder that are passed to the knowledge base, for the fingerprints
     embedder: str = "hashed-64"
+    max_parallel_parsing: int | None = None  # tasks that parse, or embed, at once
+    max_parallel_embedding: int | None = None
     rerank: bool = False
     rerank_additional: int = 5
     summarise: bool = False
@@ -59,6 +61,8 @@ class Config:
         need(0 <= self.text_min_score <= 1, "text_min_score must lie between 0 and 1")
         need(self.text_analyzer in ("standard", "stemming"), "text_analyzer is standard or stemming")
         need(self.semantic_threshold in BREAKS, "unknown semantic_threshold")
+        for name in ("max_parallel_parsing", "max_parallel_embedding"):
+            need(getattr(self, name) is None or getattr(self, name) > 0, f"{name} must be positive")
         need(self.page_max_chunk_size is None or self.page_max_chunk_size > self.page_min_chunk_size, "page_max_chunk_size must exceed page_min_chunk_size")
 
     @staticmethod
@@ -76,7 +80,7 @@ class Config:
                 given[f.name] = tuple(x.strip() for x in raw.split(",") if x.strip())
             elif isinstance(default, float):
                 given[f.name] = float(raw)
-            elif isinstance(default, int) or f.name == "page_max_chunk_size":
+            elif isinstance(default, int) or default is None:  # optional settings are numbers
                 given[f.name] = int(raw)
             else:
                 given[f.name] = raw

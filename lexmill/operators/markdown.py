@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,31 @@ def pages(documents: DataFrame, text: str = "text", key: str = "document_id", ma
     )
 
 
+#: What stands for a page that cannot be read, or whose transcription fails.
+UNREADABLE = "# Page {n}\n\n*[Error: Could not process this page]*\n"
+FAILED = "# Page {n}\n\n*[Error: Could not transcribe this page: {error}]*\n"
+#: Fixed value: what stands between transcribed pages.
+BETWEEN_PAGES = "\n\n---\n\n"
+
+
+def transcribed(images: DataFrame, transcribe: Callable[[bytes, int], str], at_once: int = 5, key: str = "document_id") -> DataFrame:
+    """(key, page_number, content) of page images (key, page_number, image) by a callable; at most ``at_once`` tasks call it. A page that fails is a note of its error."""
+    kind = dict(images.dtypes)[key]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for n, image in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                try:
+                    out.append(UNREADABLE.format(n=n) if image is None else transcribe(image, n))
+                except Exception as e:  # a service may fail in any way
+                    out.append(FAILED.format(n=n, error=e))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], [key, "page_number", "content"])
+
+    rows = images.select(key, F.col("page_number").cast("int").alias("page_number"), "image").repartition(at_once, key, "page_number")
+    return rows.mapInArrow(run, f"{key} {kind}, page_number int, content string")
+
+
 def combined(page_rows: DataFrame, key: str = "document_id", separator: str = "\n\n") -> DataFrame:
     """(key, content): the pages of each document in order, joined by blank lines."""
     ordered = F.array_sort(F.collect_list(F.struct("page_number", "content")))

@@ -116,6 +116,11 @@ def _stage(spark: SparkSession, root: str, key: str, value: str, there: DataFram
     return tables.read(spark, root), n
 
 
+def at_most(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """rows in at most so many partitions, and so tasks at once; as they are for None."""
+    return rows if tasks is None else rows.repartition(tasks)
+
+
 def ingest(
     spark: SparkSession,
     root: str,
@@ -133,7 +138,8 @@ def ingest(
     found = tables.read(spark, at("scan"))
 
     def parse(todo: DataFrame) -> DataFrame:
-        return parsed_files(contents.select("document_id", "path", "content").join(todo.select("document_id"), "document_id", "left_semi"), parser)
+        given = contents.select("document_id", "path", "content").join(todo.select("document_id"), "document_id", "left_semi")
+        return parsed_files(at_most(given, c.max_parallel_parsing), parser)
 
     parsed, report.parsed = _stage(spark, at("parsed"), "parsing", prints["parsing"], found, parse)
     good = parsed.where("error is null")
@@ -152,7 +158,7 @@ def ingest(
     described = good.join(user, "document_id").withColumn("metadata", M.merged(F.coalesce("user", F.create_map().cast("map<string,string>")), F.col("metadata")))
     parts = identified(chunked.where("text is not null"), described).dropDuplicates(["chunk_id"])
     vectors, report.embedded = _stage(
-        spark, at("vectors"), "embedding_of", prints["embedding"], parts.select("chunk_id", "text"), lambda todo: embed(todo).select("chunk_id", "embedding"), "chunk_id"
+        spark, at("vectors"), "embedding_of", prints["embedding"], parts.select("chunk_id", "text"), lambda todo: embed(at_most(todo, c.max_parallel_embedding)).select("chunk_id", "embedding"), "chunk_id"
     )
     indexed, _ = _stage(
         spark, at("terms"), "analyzer", c.text_analyzer, parts.select("chunk_id", "document_id", "text"), lambda todo: todo.select("chunk_id", "document_id", textindex.analysed(F.col("text"), c.text_analyzer).alias("terms")), "chunk_id"

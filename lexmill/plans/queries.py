@@ -11,7 +11,7 @@ from ..functions import ids
 from ..functions import metadata as M
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cache, catalog, chunking, embedding, fusion, jobs, markdown, search, sync, textindex, vectorsearch
+from ..operators import cache, catalog, chunking, embedding, fusion, host, jobs, markdown, search, sync, textindex, vectorsearch
 from ..sources import files
 from ..streaming import events as E
 from . import views
@@ -96,7 +96,22 @@ def s11_element_statistics(spark, sf_dir):
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
 def s12_transcription_join(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_number"), F.col("text").alias("content"))
-    return markdown.combined(pages, "conv_id", "\n\n---\n\n")
+    return markdown.combined(pages, "conv_id", markdown.BETWEEN_PAGES)
+
+
+@query(
+    r"""SELECT conv_id, string_agg(CASE WHEN turn % 5 = 4 THEN '# Page ' || turn || chr(10) || chr(10) || '*[Error: Could not process this page]*' || chr(10)
+  WHEN turn % 5 = 3 THEN '# Page ' || turn || chr(10) || chr(10) || '*[Error: Could not transcribe this page: no turn ' || turn || ']*' || chr(10) ELSE '> ' || text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id"""
+)
+def s12_page_transcription(spark, sf_dir):
+    images = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_number"), F.when(F.col("turn") % 5 != 4, F.col("text").cast("binary")).alias("image"))
+
+    def transcribe(image: bytes, n: int) -> str:
+        if n % 5 == 3:
+            raise RuntimeError(f"no turn {n}")
+        return "> " + image.decode()
+
+    return markdown.combined(markdown.transcribed(images, transcribe, 8, "conv_id"), "conv_id", markdown.BETWEEN_PAGES)
 
 
 @query(
@@ -901,6 +916,11 @@ def k4_to_process(spark, sf_dir):
     return cache.to_process(d, d.where("doc_id % 3 = 0")).select("doc_id")
 
 
+@query()
+def a18_host_metrics(spark, sf_dir):
+    return host.metrics(spark)
+
+
 @query(f"WITH {SQL_DOCUMENTS} SELECT doc_id FROM d WHERE checksum IN (SELECT checksum FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0)")
 def s19_chunk_cache(spark, sf_dir):
     d = views.documents(spark, sf_dir).select("doc_id", "checksum")

@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.api import KnowledgeBase
 from lexmill.config import Config
-from lexmill.errors import Invalid, NotFound
+from lexmill.errors import ConfigurationError, Invalid, NotFound
 from lexmill.operators import embedding, search
 from lexmill.sources import files, tables
 
@@ -40,7 +42,7 @@ def versions(spark, store):
 
 def test_stages_run_again_only_as_far_as_a_setting_reaches(spark, tmp_path, root):
     store = f"{tmp_path}/store"
-    make = lambda **c: KnowledgeBase(spark, str(root), store, Config(**c), parser=files.chained(pdf), summariser=summary)
+    make = lambda **c: KnowledgeBase(spark, str(root), store, Config(max_parallel_parsing=2, max_parallel_embedding=1, **c), parser=files.chained(pdf), summariser=summary)
     kb = make()
     assert counted(kb) == (3, 2, 4, 0) and kb.collection.documents.count() == 2
     for _ in range(2):  # a file that cannot be parsed is known too
@@ -88,6 +90,15 @@ def test_files_given_one_by_one(spark, tmp_path, root):
         kb.add_document(str(root / "broken.pdf"))
     up = kb.upload_document("note.md", b"# Note\n\nuploaded text", {"kind": "upload"}).first()
     assert "/uploads/note_" in up.path and kb.search_documents("uploaded", 5, {"kind": "upload"}).count() == 1
+    listed = json.loads(kb.resource("doc://list"))
+    assert {r["title"] for r in listed} >= {"Elsewhere", "Note"} and {r["total"] for r in listed} == {len(listed)}
+    whole, part = json.loads(kb.resource(f"doc://{up.document_id}")), json.loads(kb.resource("doc://a.md/chunk/0,9"))
+    assert whole[0]["title"] == "Note" and [r["missing"] for r in part] == [False, True]
+    for bad in ("doc://", "file://list"):
+        with pytest.raises(Invalid):
+            kb.resource(bad)
+    m = kb.host_metrics().first()
+    assert m.cpus > 0 and 0 <= m.memory_percent <= 100 and 0 <= m.disk_percent <= 100
     kb.remove_document(up.document_id)
     assert kb.search_documents("uploaded", 5, search_type="text").count() == 0
     other.unlink()
@@ -123,3 +134,9 @@ def test_embedders_that_take_one_text(spark):
     old = spark.createDataFrame([(f"h{k}", [float(k)], float(k)) for k in range(20)], "text_hash string, embedding array<float>, used double")
     assert {r.text_hash for r in embedding.latest_used(old, 5).collect()} == {f"h{k}" for k in range(15, 20)}
     assert embedding.latest_used(old, 5).where(F.col("used") < 15).count() == 0
+
+
+def test_parallel_settings():
+    assert Config.from_environment(environment={"LEXMILL_MAX_PARALLEL_PARSING": "3"}).max_parallel_parsing == 3
+    with pytest.raises(ConfigurationError):
+        Config(max_parallel_embedding=0)
