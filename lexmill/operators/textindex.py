@@ -16,6 +16,8 @@ DECIMALS = 6
 #: Postings of one bucket of a written index, and the most buckets.
 BUCKET_ROWS = 2_000_000
 BUCKETS = 4096
+#: Postings that one task weighs without a shuffle.
+ONE_TASK = 200_000
 #: Files into which the postings of a bucket are spread by chunk, so that no term is one task's work.
 SPREAD = 4
 
@@ -287,6 +289,8 @@ def _from_postings(index: TextIndex, parsed: Query, stems: dict[str, str], boost
         condition = condition & F.col("bucket").isin(sorted({_bucket(w, index.buckets) for w in named}))
     phrases = bool(_phrases(parsed.tree))
     hits = (index.with_positions() if phrases else index.postings).where(condition)
+    if index.numbers and not parsed.wild and index.numbers[0] * len(named) <= ONE_TASK:
+        hits = hits.coalesce(1)  # so few rows at most that one task is faster than a shuffle
     kept = index.weighed(hits, bool(parsed.wild))
     kept = kept if where is None else kept.where(where)
     boost = F.lit(1.0)

@@ -86,10 +86,10 @@ def _sent(rows: DataFrame, asked: DataFrame, limit: int, schema: str) -> DataFra
             for b in best:
                 d = b.q.shape[1]
                 if (lengths == d).all():
-                    c, own = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1), ids
+                    c, own = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), d), ids
                 else:
                     at = np.nonzero(lengths == d)[0].tolist()
-                    c, own = np.array([values[i].as_py() for i in at], dtype=np.float64).reshape(len(at), -1), [ids[i] for i in at]
+                    c, own = np.array([values[i].as_py() for i in at], dtype=np.float64).reshape(len(at), d), [ids[i] for i in at]
                 if own:
                     b.add(own, c)
         for b in best:
@@ -109,8 +109,9 @@ def _striped(rows: DataFrame, asked: DataFrame, n: int, limit: int, schema: str)
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [{"query_id": [], "id": [], "distance": []}]
-        for d, part in q.groupby(q["embedding"].map(len)):
-            own = c[c["embedding"].map(len) == d]
+        lengths = c["embedding"].map(len).astype("int64")
+        for d, part in q.groupby(q["embedding"].map(len).astype("int64")):
+            own = c[(lengths == d).to_numpy()]
             best = Nearest(part["query_id"].tolist(), np.stack(part["embedding"].to_numpy()).astype(np.float64), limit)
             for at in range(0, len(own), 1024):
                 some = own.iloc[at : at + 1024]

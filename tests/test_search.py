@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def test_similar_and_suggestions(collection):
     assert got[0] == "Baking" and got[1] == "bak overview" and len(got) == 6
 
 
-def test_vector_search(spark):
+def test_vector_search(spark, monkeypatch):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", [1.0]), ("e", [1.0, 0.0])], "chunk_id string, embedding array<float>")
     assert [(r.chunk_id, r.score) for r in vectorsearch.search(v, [1.0, 0.0], 3).collect()] == [("a", 1.0), ("e", 1.0), ("b", 0.0)]
     assert vectorsearch.search(v, [1.0, 0.0], 3, min_score=0.5).count() == 2
@@ -165,6 +166,14 @@ def test_vector_search(spark):
     got = sorted(tuple(r) for r in vectorsearch.search_batch(v, q, 2).collect())
     assert got == [(1, 1, "a", 1.0), (1, 2, "e", 1.0), (2, 1, "b", 1.0), (2, 2, "a", 0.0)]
     assert vectorsearch.search_batch(v, q.where("false"), 2).collect() == []
+    r = np.random.default_rng(2)
+    rows = [(int(i), r.normal(size=3 if i % 7 else 2).tolist()) for i in range(200)]
+    many = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = many.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    want = sorted(tuple(x) for x in vectorsearch.search_batch(many, asked, 4).collect())
+    monkeypatch.setattr(vectorsearch, "BLOCK", 10)
+    monkeypatch.setattr(vectorsearch, "STRIPE", 60)
+    assert sorted(tuple(x) for x in vectorsearch.search_batch(many, asked, 4).collect()) == want and len(want) == 67 * 4
 
 
 def test_embedding(spark):
