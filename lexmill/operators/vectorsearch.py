@@ -109,6 +109,8 @@ def _striped(rows: DataFrame, asked: DataFrame, n: int, limit: int, schema: str)
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [{"query_id": [], "id": [], "distance": []}]
+        if not len(q) or not len(c):  # a side without rows has no columns
+            return pd.DataFrame(out[0])
         lengths = c["embedding"].map(len).astype("int64")
         for d, part in q.groupby(q["embedding"].map(len).astype("int64")):
             own = c[(lengths == d).to_numpy()]
