@@ -139,6 +139,8 @@ def searched(left: DataFrame, right: DataFrame, keys: list[str], k: int, axes: d
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
+        if not len(q) or not len(c):  # a side without rows has no columns
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
         dims, of = q["v"].map(len), c["v"].map(len)
         for d in sorted((set(dims) & set(of)) - {0}):
             qd, cd = q[dims == d], c[of == d]

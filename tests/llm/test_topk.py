@@ -85,6 +85,15 @@ def test_odd_rows(spark):
     assert topk.top_k(none, none, 5).collect() == []
 
 
+def test_blocks_without_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 1)  # as many blocks as queries: by hash, some are empty
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(v.where("vec_id < 9"), v, 2).collect())
+    c = np.array([[i % 5, 1.0] for i in range(40)])
+    want = brute(range(9), c[:9], range(40), c, 2)
+    assert got == sorted((i, n + 1, j, s) for i, x in want.items() for n, (j, s) in enumerate(x))
+
+
 @pytest.mark.parametrize("stripe", [3, 100_000])
 def test_stripes_and_blocks(spark, small, monkeypatch, stripe):
     monkeypatch.setattr(topk, "STRIPE", stripe * 20)
