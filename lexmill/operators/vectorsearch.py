@@ -105,19 +105,20 @@ def _striped(rows: DataFrame, asked: DataFrame, n: int, limit: int, schema: str)
     place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = asked.withColumn("block", place("query_id", blocks)).withColumn("stripe", each(stripes))
-    right = rows.withColumn("stripe", place("id", stripes)).withColumn("block", each(blocks))
+    # a column of its own name: both sides may come from one table
+    right = rows.select("id", F.col("embedding").alias("vector"), place("id", stripes).alias("stripe"), each(blocks).alias("block"))
 
     def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = [{"query_id": [], "id": [], "distance": []}]
         if not len(q) or not len(c):  # a side without rows has no columns
             return pd.DataFrame(out[0])
-        lengths = c["embedding"].map(len).astype("int64")
+        lengths = c["vector"].map(len).astype("int64")
         for d, part in q.groupby(q["embedding"].map(len).astype("int64")):
             own = c[(lengths == d).to_numpy()]
             best = Nearest(part["query_id"].tolist(), np.stack(part["embedding"].to_numpy()).astype(np.float64), limit)
             for at in range(0, len(own), 1024):
                 some = own.iloc[at : at + 1024]
-                best.add(some["id"].tolist(), np.stack(some["embedding"].to_numpy()).astype(np.float64))
+                best.add(some["id"].tolist(), np.stack(some["vector"].to_numpy()).astype(np.float64))
             out.append(best.rows())
         return pd.DataFrame({k: [x for o in out for x in o[k]] for k in out[0]})
 
