@@ -116,7 +116,7 @@ def search(
     rows = enriched(c, hits, search_type)
     if rerank:
         rows = embedding.reranked(rows, rerank(F.col("text"), query), limit)
-    return rows.orderBy("rank")
+    return rows.repartition(1).sortWithinPartitions("rank")  # few rows: a global sort would run the plan once more to sample them
 
 
 def coarse_documents(c: Collection, query: str, k: int, vector: list[float] | None = None) -> DataFrame:
