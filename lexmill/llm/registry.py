@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, licenses, matrices, packing, pii, simhash, topk, toxicity, warc
+from . import chat, decontaminate, fim, language, licenses, matrices, packing, pii, ranked, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_pii": pii.op10_pii,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_language_id": language.op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.SQL,
     "op1_exact_top_k": topk.SQL,
     "op5_warc": warc.SQL,
+    "op11_ranked_search": ranked.SQL,
+    "op12_fill_in_middle": fim.SQL,
 }

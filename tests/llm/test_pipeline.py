@@ -7,7 +7,7 @@ from lexmill.llm import decontaminate, packing, registry, tokens, toxicity
 
 from . import edge
 from .test_decontaminate import brute
-from .test_simhash import brute_classes, brute_fingerprint
+from .test_similar import brute_kept
 
 
 def test_stages_by_brute_force(spark, small):
@@ -18,9 +18,8 @@ def test_stages_by_brute_force(spark, small):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     distance = toxicity.Distance(*model.contents)
     want = [{r["doc_id"]: r for r in rows if model.score(distance(toxicity.windows(r["text"]))) < 0.5}]
-    fps = [(i, brute_fingerprint(r["text"])) for i, r in want[0].items()]
-    classes = brute_classes(fps)
-    want.append({i: want[0][i] for i, f in fps if classes[f] == i})
+    kept = brute_kept([(i, r["text"]) for i, r in want[0].items()])
+    want.append({i: r for i, r in want[0].items() if i in kept})
     leaks = {d for d, _ in brute([(i, r["text"]) for i, r in want[1].items()], bench)}
     want.append({i: r for i, r in want[1].items() if i not in leaks})
     for (name, stage), kept in zip(corpus_pipeline.STAGES, want):
@@ -51,7 +50,7 @@ def test_odd_documents(spark, small):
 
 
 def test_registry():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
     assert decontaminate.WINDOW == 5 and decontaminate.SHARE == 0.8
