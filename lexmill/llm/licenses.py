@@ -3,8 +3,8 @@
 Templates are cut into runs of three words; of the hashes of a template the smallest in each
 window of two is kept (all of a template of at most eight words) and entered in an
 inverted index. A document's runs are looked up in it; hits on one template whose places differ by
-about the same amount make a candidate. Its words and the template's are then aligned within a band
-around that difference, and the matched share of the template, and the span of the text, are reported
+about the same amount make a candidate. Unless fewer of the template's words than are asked for occur within a band around that difference, its
+words and the template's are aligned within the band, and the matched share of the template, and the span of the text, are reported
 if the share is at least ``SHARE`` (all of it for templates of at most ``WHOLE`` words, which may differ in
 one name only). Overlapping reports of one template are merged to the best;
 a report that lies inside one of a longer template is left out.
@@ -33,6 +33,7 @@ WINNOW = 2
 WHOLE = 8
 SHARE = 0.8
 BAND = 8
+FEW = 64  # candidates whose words are compared one by one
 CATALOGUE = 1_000_000
 
 #: Wordings of licenses and of notices that refer to them.
@@ -218,6 +219,28 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND
     return matched, first, past
 
 
+def reachable(template: np.ndarray, text: np.ndarray, shifts: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For each of the rising shifts, how many template words have an equal text word within the band around it: no alignment matches more."""
+    if len(shifts) <= FEW:
+        places = shifts[:, None, None] + np.arange(len(template))[:, None] + np.arange(-band, band + 1)
+        equal = (text[np.clip(places, 0, len(text) - 1)] == template[:, None]) & (places >= 0) & (places < len(text))
+        return equal.any(axis=2).sum(axis=1)
+    # all shifts from the first to the last at once: a word's occurrences before the end of its band less those before the beginning
+    out, low = np.zeros(len(shifts), dtype=np.int64), int(shifts[0]) - band
+    size = int(shifts[-1]) - int(shifts[0]) + len(template) + 2 * band
+    part = text[max(0, low) : max(0, low + size)]
+    before = np.zeros(size + 1, dtype=np.int32)
+    for i, word in enumerate(template):
+        here = max(0, -low) + np.flatnonzero(part == word)
+        if len(here):
+            before[:] = 0
+            before[here + 1] = 1
+            np.cumsum(before, out=before)
+            begin = shifts - band - low + i
+            out += before[begin + 2 * band + 1] > before[begin]
+    return out
+
+
 class Spans:
     """Disjoint spans, by place."""
 
@@ -250,9 +273,13 @@ def scan(index: Index, vocabulary: Vocabulary, text: str, share: float = SHARE,
         t = group[0][0]
         template = index.words[t]
         start = 0  # a short template may be in one band twice: what a report has is no other's
-        for shift in sorted({p - place for _, place, p in group}):
+        need = share * len(template) if len(template) > WHOLE else len(template)
+        shifts = sorted({p - place for _, place, p in group})
+        for shift, most in zip(shifts, reachable(template, hashes, np.array(shifts), band)):
+            if most < need:
+                continue
             matched, first, past = aligned(template, hashes, shift, band, start)
-            if matched >= (share * len(template) if len(template) > WHOLE else len(template)):
+            if matched >= need:
                 found.append((t, matched, first, past))
                 if len(template) <= band:
                     start = past

@@ -121,3 +121,55 @@ def test_odd_documents(spark):
     assert {r.doc_id for r in got} == {6} and {r.license for r in got} == {"x"}
     assert L.licenses(edge.empty(spark)).collect() == []
     assert L.licenses(edge.documents(spark), {}).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), min_size=1, max_size=30), st.integers(0, 4))
+def test_no_alignment_beats_the_bound(a, b, band):
+    import numpy as np
+
+    few, L.FEW = L.FEW, 0
+    most = L.reachable(np.array(a), np.array(b), np.arange(-12, 32), band)
+    L.FEW = few
+    assert most.tolist() == L.reachable(np.array(a), np.array(b), np.arange(-12, 32), band).tolist()
+    for shift in range(-12, 32):
+        want = sum(any(a[i] == b[j] for j in range(max(0, i + shift - band), min(len(b), i + shift + band + 1))) for i in range(len(a)))
+        assert most[shift + 12] == want >= L.aligned(np.array(a), np.array(b), shift, band)[0]
+
+
+def test_a_phrase_said_50_000_times_stops_nothing():
+    index, v = L.Index(L.TEMPLATES), L.Vocabulary()
+    for phrase in ("the above copyright notice ", "permission is hereby granted "):
+        start = time.process_time()
+        assert L.scan(index, v, phrase * 50_000) == []
+        assert time.process_time() - start < 5
+    late = "the above copyright notice " * 50_000 + L.TEMPLATES["MIT"]
+    assert [r[0] for r in L.scan(index, v, late)] == ["MIT"]
+
+
+def test_scan_equals_alignment_at_every_candidate(monkeypatch):
+    """Leaving out candidates by the bound changes nothing, and no report has more than aligning at all shifts gives."""
+    r = random.Random(11)
+    templates = {"a": "permission is granted to use copy and change this work for any purpose", "b": "use copy and change this work", "c": "the work comes as it is"}
+    index, bound = L.Index(templates), L.reachable
+    words = sorted({w for t in templates.values() for w in t.split()}) + ["noise", "more", "words"]
+    found = 0
+    for _ in range(40):
+        text = []
+        for _ in range(r.randrange(1, 5)):
+            text += [r.choice(words) for _ in range(r.randrange(0, 12))]
+            chosen = r.choice(list(templates.values())).split()
+            if r.random() < 0.5:
+                chosen[r.randrange(len(chosen))] = "noise"
+            text += chosen
+        v = L.Vocabulary()
+        got = L.scan(index, v, " ".join(text))
+        monkeypatch.setattr(L, "reachable", lambda template, text, shifts, band: [len(template)] * len(shifts))
+        assert L.scan(index, v, " ".join(text)) == got
+        monkeypatch.setattr(L, "reachable", bound)
+        hashes, _ = L.hashed(v, text)
+        for name, matched, *_ in got:
+            template = index.words[index.names.index(name)]
+            assert matched <= max(L.aligned(template, hashes, shift)[0] for shift in range(-len(template), len(text) + 1))
+            found += 1
+    assert found > 60
