@@ -14,7 +14,8 @@ scored in full, in integers. The bounds carry a margin for rounding, so that no
 lost. Best rows of each stripe are merged, ties to the smaller id.
 
 The rotation is fitted on the ``SAMPLE`` vectors of smallest id hash; any orthogonal one is
-right, it only prunes less. The driver holds a length for each stripe and each block.
+right, it only prunes less. Stripes and blocks have so many rows as make ``STRIPE`` and ``QUERIES`` bytes at the largest dimension in the sample. The driver
+holds a length and a count for each stripe and each block; the ranges that a row goes to are the first so many, written as a count.
 
 Vectors that are null, or hold null or non-finite components, or have a null id take no
 part. Of rows with one id the smallest vector counts. A product is defined between vectors
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 SAMPLE = 2048
-STRIPE = 32_768  # vectors of a stripe
-LEAST = 2048  # of small tables, where as many stripes as TASKS are made of so many
+STRIPE = 16 << 20  # bytes of the vectors of a stripe
+LEAST = 2048  # vectors in a stripe of small tables, where as many stripes as TASKS are made of so many
 TASKS = 16
-QUERIES = 16_384  # of a block
+QUERIES = 32 << 20  # bytes of the queries of a block
 PART = 2048  # queries, and
 CHUNK = 1024  # vectors multiplied at once
 BROADCAST_ROWS = 1_000_000
@@ -156,15 +157,23 @@ def searched(left: DataFrame, right: DataFrame, keys: list[str], k: int, axes: d
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
+def needed(stripes: list[tuple[int, float]], blocks: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the first blocks each stripe goes to, and of the first stripes each block: stripes (number, greatest length) have less and less, blocks (number, least length that they need) need more and more."""
+    longs = np.array([x for _, x in stripes], dtype=np.float64) * (1 + 1e-9) + 1e-6
+    least = np.array([x for _, x in blocks], dtype=np.float64)
+    return np.searchsorted(least, longs, "right"), len(longs) - np.searchsorted(longs[::-1], least, "left")
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best vectors of each query; both tables (vec_id, v), ids unique."""
     spark = vectors.sparkSession
     axes, n, m = rotation(vectors), vectors.count(), queries.count()
+    rows = lambda size: max(1, size // (8 * max(axes, default=1)))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    stripes = cut(vectors.select("vec_id", "v", length.alias("length")), max(-(-n // STRIPE), min(TASKS, -(-n // LEAST))), "stripe", F.desc("length"))
+    stripes = cut(vectors.select("vec_id", "v", length.alias("length")), max(-(-n // rows(STRIPE)), min(TASKS, -(-n // LEAST))), "stripe", F.desc("length"))
     longest = sorted((r.stripe, r.length) for r in stripes.groupBy("stripe").agg(F.max("length").alias("length")).collect())  # a row a stripe
     top = longest[0][0] if longest else 0
-    n_blocks = max(1, -(-m // QUERIES))
+    n_blocks = max(1, -(-m // rows(QUERIES)))
     asked = queries.select("vec_id", "v", length.alias("length"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(None).cast("double").alias("least"))
     each = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
     first = saved(searched(asked, stripes.where(F.col("stripe") == top).select("vec_id", "v", each), ["block"], k, axes), "first")
@@ -174,18 +183,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     needs = F.coalesce(F.when(F.col("length") > 0, F.col("least") / F.col("length")), F.lit(float("-inf")))
     blocks = cut(asked.drop("block", "least").join(reached, "vec_id", "left").withColumn("needs", needs), n_blocks, "block", "needs")
     ends = sorted((r.block, r.needs) for r in blocks.groupBy("block").agg(F.min("needs").alias("needs")).collect())  # a row a block
-    enough = lambda long, needed: long * (1 + 1e-9) + 1e-6 >= needed
-    places = [(s, sum(enough(long, needed) for _, needed in ends)) for s, long in longest if s != top]  # blocks need more and more, stripes have less and less
-    steps = [(b, sum(enough(long, needed) for s, long in longest if s != top)) for b, needed in ends]
-
-    def spread(df, own, other, counts, names):
-        """A copy of each row for each of the first so many of the other's ranges."""
-        table = spark.createDataFrame([(i, names[:c]) for i, c in counts if c], f"{own} int, {other}s array<int>")
-        table = F.broadcast(table) if sum(c for _, c in counts) <= BROADCAST_ROWS else table
-        return df.join(table, own).withColumn(other, F.explode(f"{other}s"))
-
-    left = spread(blocks, "block", "stripe", steps, [s for s, _ in longest if s != top])
-    right = spread(stripes, "stripe", "block", places, [b for b, _ in ends])
+    rest = [(s, long) for s, long in longest if s != top]
+    for_stripe, for_block = needed(rest, ends)
+
+    def spread(df, own, other, counts):
+        """Each row under its range's number among those that are there, a copy for each of the first so many of the other's."""
+        table = spark.createDataFrame([(i, k, int(c)) for k, (i, c) in enumerate(counts) if c], f"{own} int, _place int, _count int")
+        table = F.broadcast(table) if len(counts) <= BROADCAST_ROWS else table
+        return df.join(table, own).withColumn(own, F.col("_place")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+
+    left = spread(blocks, "block", "stripe", [(b, c) for (b, _), c in zip(ends, for_block)])
+    right = spread(stripes, "stripe", "block", [(s, c) for (s, _), c in zip(rest, for_stripe)])
     found = first.unionByName(searched(left, right, ["block", "stripe"], k, axes))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -79,3 +79,14 @@ def test_near_copies_far_apart_in_bits(spark, small):
     got = {x.doc_id for x in kept.select("doc_id").collect()}
     assert got == brute_kept(rows)
     assert kept.where(F.col("doc_id").isin(145, 177)).count() == 0  # like 6 and 1, more than 2 bits apart
+
+
+def test_pages_of_one_template(spark):
+    """170 words in common and 30 of their own are 0.74 alike: no pair. Some have fewer of their own and are."""
+    r = random.Random(12)
+    common = [f"t{k}" for k in range(170)]
+    rows = [(i, " ".join(common + [f"o{i}x{j}" for j in range(30 if i % 10 else r.randrange(14, 21))])) for i in range(300)]
+    rows += [(300 + i, " ".join(common[: r.randrange(90, 110)] + [f"p{i}x{j}" for j in range(r.randrange(5, 30))])) for i in range(60)]
+    got = {x.doc_id for x in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id").collect()}
+    want = brute_kept(rows)
+    assert got == want and 250 < len(want) < 340

@@ -62,7 +62,7 @@ def test_search_above_a_threshold(seed, d, n):
 
 def test_short_vectors_are_never_sent(spark, monkeypatch):
     monkeypatch.setattr(topk, "LEAST", 10)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "QUERIES", 3 * 8 * 4)
     r = np.random.default_rng(3)
     c = np.floor(r.uniform(500, 1500, (160, 4)) * np.repeat([1, 0.001], [20, 140])[:, None])
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "vec_id long, v array<double>")
@@ -86,7 +86,7 @@ def test_odd_rows(spark):
 
 
 def test_blocks_without_queries(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERIES", 1)  # as many blocks as queries: by hash, some are empty
+    monkeypatch.setattr(topk, "QUERIES", 8)  # as many blocks as queries: by hash, some are empty
     v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "vec_id long, v array<double>")
     got = sorted(tuple(r) for r in topk.top_k(v.where("vec_id < 9"), v, 2).collect())
     c = np.array([[i % 5, 1.0] for i in range(40)])
@@ -96,12 +96,29 @@ def test_blocks_without_queries(spark, monkeypatch):
 
 @pytest.mark.parametrize("stripe", [3, 100_000])
 def test_stripes_and_blocks(spark, small, monkeypatch, stripe):
-    monkeypatch.setattr(topk, "STRIPE", stripe * 20)
+    monkeypatch.setattr(topk, "STRIPE", stripe * 20 * 8 * 64)
     monkeypatch.setattr(topk, "LEAST", stripe * 20)
-    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "QUERIES", 4 * 8 * 64)
     got = sorted(tuple(r) for r in topk.op1_exact_top_k(spark, small).collect())
     t = spark.read.parquet(f"{small}/embeddings.parquet").toPandas()
     c = np.floor(np.stack(t.embedding.to_numpy()).astype(float) * 256)
     q = t.vec_id.to_numpy() % 50 == 0
     want = brute(t.vec_id[q], c[q], t.vec_id, c, 5)
     assert got == sorted((i, n + 1, j, s) for i, x in want.items() for n, (j, s) in enumerate(x))
+
+
+def test_what_the_driver_holds_of_many_stripes_and_blocks():
+    import time
+
+    r = np.random.default_rng(4)
+    stripes = list(enumerate(sorted(r.uniform(0, 9, 30_000).tolist(), reverse=True)))
+    blocks = list(enumerate(sorted([-np.inf, *r.uniform(-1, 10, 1199).tolist()])))
+    start = time.perf_counter()
+    for_stripe, for_block = topk.needed(stripes, blocks)
+    assert time.perf_counter() - start < 1 and for_stripe.sum() == for_block.sum()
+    enough = lambda long, least: long * (1 + 1e-9) + 1e-6 >= least
+    for k in range(0, 30_000, 997):
+        assert for_stripe[k] == sum(enough(stripes[k][1], least) for _, least in blocks)
+    for k in range(0, 1200, 97):
+        assert for_block[k] == sum(enough(long, blocks[k][1]) for _, long in stripes)
+    assert [x.tolist() for x in topk.needed([], blocks[:2])] == [[], [0, 0]]
