@@ -44,23 +44,26 @@ class KnowledgeBase:
             self._collection.settings = self.config.search_settings()
         return self._collection
 
-    def rescan_documents(self) -> dict[str, int]:
-        """Brings the tables in step with the files; how many were new, modified and deleted. A changed setting makes its stage and those after it run again, from what the stages before it left."""
+    def rescan_documents(self, deep: bool = False) -> dict[str, int]:
+        """Brings the tables in step with the files; how many were new, modified and deleted. A changed setting makes its stage and those after it run again, from what the stages before it left.
+
+        Files of unchanged size and time are not read; with ``deep`` every file is, and its checksum compared.
+        """
         stored = cache.load_fingerprints(self._stored_fingerprints())
         changed = cache.invalidated(cache.changed_stages(self._settings(), stored))
-        scan = ingest.scanned(self.spark, self.root, self.store, self.config).drop("content")
+        scan = ingest.scanned(self.spark, self.root, self.store, self.config, deep)
         index = tables.read(self.spark, f"{self.store}/documents")
         none = self.spark.createDataFrame([], "path string, checksum string, last_modified double, file_size long")
         counts = sync.change_summary(sync.changes(scan, index if index is not None else none)).first().asDict()
         if any(counts.values()) or index is None or changed:
-            self._ingest()
+            self._ingest(scan)
         return counts
 
     def _settings(self) -> dict[str, dict]:
         return self.config.stage_settings() | {"index": {"text_analyzer": self.config.text_analyzer}}
 
-    def _ingest(self) -> None:
-        _, self.report = ingest.ingest(self.spark, self.root, self.store, self.config, self.parser, self.embed, self.summariser)
+    def _ingest(self, scan: DataFrame | None = None) -> None:
+        _, self.report = ingest.ingest(self.spark, self.root, self.store, self.config, self.parser, self.embed, self.summariser, scan)
         # only what has been done is noted
         tables.publish(self.spark.createDataFrame([(k, cache.fingerprint(v)) for k, v in self._settings().items()], "stage string, fingerprint string"), f"{self.store}/fingerprints")
         self._collection = None

@@ -71,11 +71,9 @@ def vector_arm(c: Collection, vector: list[float], limit: int, where: dict | Non
 def text_arm(c: Collection, query: str, limit: int, where: dict | None = None, min_score: float = 0.0) -> DataFrame:
     index = c.index or textindex.TextIndex.build(c.chunks)
     if where:  # before ranking, as for vectors; statistics stay those of the whole collection
-        inside = c.chunks.where(allowed(c, where)).select("chunk_id")
-        hits = textindex.search(index, query, None, None, min_score).join(inside, "chunk_id", "left_semi")
-        hits = hits.orderBy(F.desc("score"), "chunk_id").limit(limit)
+        hits = textindex.search(index, query, limit, None, min_score, c.chunks.where(allowed(c, where)).select("chunk_id"), c.chunks)
     else:
-        hits = textindex.search(index, query, limit, None, min_score)
+        hits = textindex.search(index, query, limit, None, min_score, chunks=c.chunks)
     return fusion.ranked(hits, F.desc("score"), "chunk_id")
 
 
@@ -122,7 +120,7 @@ def search(
 def coarse_documents(c: Collection, query: str, k: int, vector: list[float] | None = None) -> DataFrame:
     """The first k documents (document_id, rank) in the rank order of their best chunk: by text, or by vector if no text matches."""
     index = c.index or textindex.TextIndex.build(c.chunks)
-    hits = fusion.ranked(textindex.search(index, query, min(100, 10 * k)), F.desc("score"), "chunk_id").select("document_id", "rank")
+    hits = fusion.ranked(textindex.search(index, query, min(100, 10 * k), chunks=c.chunks), F.desc("score"), "chunk_id").select("document_id", "rank")
     if vector is not None and not hits.limit(1).count():
         hits = vector_arm(c, vector, min(2 * k, 20)).join(c.chunks.select("chunk_id", "document_id"), "chunk_id").select("document_id", "rank")
     return hits.groupBy("document_id").agg(F.min("rank").alias("rank")).orderBy("rank").limit(k)
@@ -156,8 +154,7 @@ class StoredScopes(Scopes):
 
     def put(self, session: str, ids: list[str], now: float) -> None:
         row = self.spark.createDataFrame([(session, list(ids), now + self.seconds)], "session_id string, document_ids array<string>, expires_at double")
-        old = tables.read(self.spark, self.root)
-        tables.publish(row if old is None else old.where((F.col("session_id") != session) & (F.col("expires_at") > now)).unionByName(row), self.root)
+        tables.update(self.spark, self.root, lambda old: row if old is None else old.where((F.col("session_id") != session) & (F.col("expires_at") > now)).unionByName(row))
 
 
 def scoped_search(c: Collection, query: str, session: str, scopes: Scopes, now: float, limit: int = 5, where: dict | None = None, **more) -> DataFrame:

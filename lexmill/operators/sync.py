@@ -36,6 +36,19 @@ def changes(scan: DataFrame, index: DataFrame) -> DataFrame:
     return s.join(i, "path", "full_outer").select("path", kind.alias("change")).where("change is not null")
 
 
+#: A file that changed so shortly before it was looked at may have changed again within the same tick of the clock.
+RACY_SECONDS = 2.0
+
+
+def trusted(listing: DataFrame, index: DataFrame) -> DataFrame:
+    """listing (path, last_modified, file_size) with ``checksum``: the one that index (path, last_modified, file_size, checksum, seen_at) has for a file of the same size and time, else null.
+
+    Rows without a checksum are suspects: only those files need be read. A file that was written less than RACY_SECONDS before it was seen is always one.
+    """
+    i = index.where(F.col("last_modified") < F.col("seen_at") - RACY_SECONDS).select("path", "last_modified", "file_size", "checksum")
+    return listing.join(i, ["path", "last_modified", "file_size"], "left")
+
+
 def change_summary(changed: DataFrame) -> DataFrame:
     """One row with the number of new, modified and deleted files."""
     return changed.agg(*[F.count_if(F.col("change") == k).alias(k) for k in ("new", "modified", "deleted")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import stemming
 from ..functions import text as T
 
+if TYPE_CHECKING:
+    from . import segments
+
 K1, B = 1.2, 0.75
 DECIMALS = 6
 #: Postings of one bucket of a written index, and the most buckets.
@@ -45,6 +49,7 @@ class TextIndex:
     buckets: int = 0
     numbers: tuple[int, float] | None = None
     terms: DataFrame | None = None
+    segments: segments.Segments | None = None
 
     def weighed(self, hits: DataFrame, wild: bool = False) -> DataFrame:
         """Postings with their BM25 weight; ``hits`` are all postings of their terms."""
@@ -112,8 +117,12 @@ def _bucket(term: str, buckets: int) -> int:
     return (signed - (1 << 64) if signed >> 63 else signed) % buckets
 
 
-#: Fields besides text: those a hit may be tied to, and those that only a filter reaches.
-CONDITIONS, UNSEARCHED = ("document_id", "chunk_id"), ("page_number", "chunk_index", "metadata")
+#: Fields besides text: ids a hit may be tied to, numbers of the chunk, and those that only a filter reaches.
+CONDITIONS, NUMBERS, UNSEARCHED = ("document_id", "chunk_id"), ("page_number", "chunk_index"), ("metadata",)
+#: Terms that a wildcard, a range or a fuzzy term is expanded to by the dictionary of a written index; if more match, postings are scanned for them.
+EXPANDED = 1024
+#: The most edits of a fuzzy term.
+EDITS = 2
 
 
 class QueryError(ValueError):
@@ -123,20 +132,28 @@ class QueryError(ValueError):
 class Query:
     """A parsed query: terms with AND between them by default, OR, NOT or -, "phrases", wild*cards, term^2 boosts and parentheses.
 
-    ``text:`` before a term or phrase is the default field; ``document_id:`` and ``chunk_id:`` tie the hits of the other terms to an id. Other
-    fields of the index, ranges ([a TO b]), fuzzy terms (a~) and phrase distances are refused; a colon after any other word is a mere separator.
+    ``[a TO b]`` and ``{a TO b}`` are ranges of terms, with and without their ends, either of which may be missing; ``a~`` and ``a~2`` terms at most so many edits away
+    (one if not said); ``"a b"~3`` a phrase whose words follow each other at a distance of at most three. ``text:`` before any of these is the default
+    field; ``document_id:`` and ``chunk_id:`` tie the hits of the other terms to an id, ``page_number:3`` and ``chunk_index:[2 TO 5]`` to
+    numbers of the chunk (not inside OR or NOT). Metadata is a matter of filters; a colon after any other word is a mere separator.
+
+    ``classes`` are what stands for several terms, with boosts: ("wild", pattern), ("range", low, high, with low, with high), ("fuzzy", word, edits).
     """
 
-    TOKENS = re.compile(r'\(|\)|(?:[^\s()":]+:)?"[^"]*"(?:[\^~][\d.]*)?|[^\s()"]+')
+    TOKENS = re.compile(r'\(|\)|(?:[^\s()":\[{]+:)?[\[{][^\[\]{}]*[\]}](?:\^[\d.]+)?|(?:[^\s()":]+:)?"[^"]*"(?:[\^~][\d.]*)*|[^\s()"]+')
     BOOST = re.compile(r"(.+)\^(\d+(?:\.\d+)?)", re.S)
+    RANGE = re.compile(r"([\[{])\s*(?:(\S+?)\s+)??TO(?:\s+(\S+?))?\s*([\]}])", re.S)
 
     def __init__(self, source: str):
         self.terms: dict[str, float] = {}  # with their boosts
-        self.wild: dict[str, float] = {}  # patterns
+        self.classes: dict[tuple, float] = {}
+        self.numbers: list[tuple] = []  # (field, low, high, with low, with high)
+        self.slop = False  # whether a phrase has a distance
         if source.count('"') % 2:
             raise QueryError("a quote is not closed")
         self.tokens = self.TOKENS.findall(source)
         self.at = 0
+        self.depth = 0  # of OR, NOT and parentheses
         self.tree = self._or()
         if self.at != len(self.tokens):
             raise QueryError("unbalanced parenthesis in query")
@@ -145,10 +162,13 @@ class Query:
         return self.tokens[self.at] if self.at < len(self.tokens) else None
 
     def _or(self):
+        before = len(self.numbers)
         parts = [self._and()]
         while self._peek() == "OR":
             self.at += 1
             parts.append(self._and())
+        if len(self.numbers) > before and (len(parts) > 1 or self.depth):
+            raise QueryError("numbers of chunks hold for the whole query: not inside OR, NOT or parentheses")
         parts = [p for p in parts if p is not None]
         return parts[0] if len(parts) == 1 else ("or", parts) if parts else None
 
@@ -167,16 +187,24 @@ class Query:
         token = self._peek()
         self.at += 1
         if token == "NOT":
+            before = len(self.numbers)
             inner = self._unary() if self._peek() not in (None, ")") else None
+            if len(self.numbers) > before:
+                raise QueryError("numbers of chunks hold for the whole query: not inside OR, NOT or parentheses")
             return ("not", inner) if inner is not None else None
         if token == "(":
+            self.depth += 1
             inner = self._or()
+            self.depth -= 1
             if self._peek() != ")":
                 raise QueryError("unbalanced parenthesis in query")
             self.at += 1
             return inner
         if token.startswith("-") and len(token) > 1:
+            before = len(self.numbers)
             inner = self._word(token[1:])
+            if len(self.numbers) > before:
+                raise QueryError("numbers of chunks hold for the whole query: not inside OR, NOT or parentheses")
             return ("not", inner) if inner is not None else None
         return self._word(token)
 
@@ -184,20 +212,30 @@ class Query:
         field, colon, rest = token.partition(":")
         if colon and rest and field in CONDITIONS:
             return ("is", field, rest.strip('"'))
+        if colon and rest and field in NUMBERS:
+            self.numbers.append((field, *self._range(rest, number=True)))
+            return None
         if colon and rest and field in UNSEARCHED:
             raise QueryError(f"{field} is not in the text index: give it as a metadata filter")
         token = rest if colon and rest and field == "text" else token
-        boost = 1.0
+        boost, edits = 1.0, None
         if m := self.BOOST.fullmatch(token):
             token, boost = m[1], float(m[2])
         if re.fullmatch(r"[\[{].*|.*[\]}]", token, re.S):
-            raise QueryError("ranges need a field with an order; text has none")
-        if re.fullmatch(r".+~\d*(?:\.\d+)?", token, re.S):
-            raise QueryError("fuzzy terms and phrase distances are not searched")
-        if not token.startswith('"') and re.search(r"[*?]", token) and re.search(r"\w", token):
-            pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in token.lower())
-            self.wild[pattern] = boost
-            return ("wild", pattern)
+            return self._class(("range", *self._range(token)), boost)
+        if m := re.fullmatch(r"(.+)~(\d*)", token, re.S):
+            token, edits = m[1], int(m[2] or 1)
+        elif re.fullmatch(r".+~\d*\.\d+", token, re.S):
+            raise QueryError("edits and distances are whole numbers")
+        quoted = token.startswith('"')
+        if not quoted and re.search(r"[*?]", token) and re.search(r"\w", token):
+            if edits is not None:
+                raise QueryError("a wildcard has no edits")
+            return self._class(("wild", "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in token.lower())), boost)
+        if not quoted and edits is not None:
+            if edits > EDITS or not re.fullmatch(r"\w+", token):
+                raise QueryError(f"fuzzy terms are words with at most {EDITS} edits")
+            return self._class(("fuzzy", token.lower(), edits), boost)
         words = [w for w in re.findall(r"[^\W]+(?:\.?[^\W]+)*", token.lower()) if len(w) > 1 and w not in T.STOP_WORDS]
         for w in words:
             self.terms[w] = max(boost, self.terms.get(w, 0.0))
@@ -205,7 +243,46 @@ class Query:
             return None
         if len(words) == 1:
             return ("term", words[0])
-        return ("phrase", words) if token.startswith('"') else ("and", [("term", w) for w in words])
+        if quoted and edits is not None and edits > 1:
+            self.slop = True
+            return ("phrase", words, edits)
+        return ("phrase", words, 1) if quoted else ("and", [("term", w) for w in words])
+
+    def _class(self, key: tuple, boost: float):
+        self.classes[key] = max(boost, self.classes.get(key, 0.0))
+        return ("class", key)
+
+    def _range(self, token: str, number: bool = False) -> tuple:
+        """(low, high, with low, with high), None for an end that is missing."""
+        m = self.RANGE.fullmatch(token)
+        if m is None and number and re.fullmatch(r"-?\d+", token):
+            return int(token), int(token), True, True
+        if m is None:
+            raise QueryError(f"not a range: {token}")
+        try:
+            low, high = (None if x is None else int(x) if number else x.lower() for x in (m[2], m[3]))
+        except ValueError:
+            raise QueryError(f"not numbers: {token}") from None
+        return low, high, m[1] == "[", m[4] == "]"
+
+
+def within(value: Column, low, high, with_low: bool, with_high: bool) -> Column:
+    out = value.isNotNull()
+    if low is not None:
+        out = out & (value >= low if with_low else value > low)
+    if high is not None:
+        out = out & (value <= high if with_high else value < high)
+    return out
+
+
+def matches(key: tuple, term: Column) -> Column:
+    """Whether a term is of one of a query's classes."""
+    if key[0] == "wild":
+        start = re.match(r"(?:\\.|\w)*", key[1])[0].replace("\\", "") if not key[1].startswith(".") else ""
+        return term.startswith(start) & term.rlike(f"^{key[1]}$")
+    if key[0] == "range":
+        return within(term, *key[1:])
+    return F.length(term).between(len(key[1]) - key[2], len(key[1]) + key[2]) & F.levenshtein(term, F.lit(key[1]), key[2]).between(0, key[2])
 
 
 def _positive(tree) -> bool:
@@ -222,19 +299,38 @@ def _positive(tree) -> bool:
     return True
 
 
-def search(index: TextIndex, query: str, limit: int | None = 10, where: Column | None = None, min_score: float = 0.0) -> DataFrame:
+def plain(tree) -> bool | None:
+    """For a tree of nothing but terms under one AND or OR: whether a hit must have all; else None."""
+    if tree is not None and (tree[0] == "term" or tree[0] in ("and", "or") and all(t[0] == "term" for t in tree[1])):
+        return tree[0] != "or"
+    return None
+
+
+def search(
+    index: TextIndex, query: str, limit: int | None = 10, where: Column | None = None, min_score: float = 0.0, inside: DataFrame | None = None, chunks: DataFrame | None = None
+) -> DataFrame:
     """(chunk_id, document_id, score) of the best chunks, ties to the smaller chunk_id.
 
     Statistics are those of the whole index; ``where``, a condition on postings' columns
-    (chunk_id, document_id), is applied before ranking. A query without a positive term finds nothing.
+    (chunk_id, document_id), and ``inside`` (chunk_id), the chunks that may be found, are applied before ranking. A query that asks for numbers of
+    the chunk needs ``chunks`` with these columns. A query without a positive term finds nothing.
     """
     parsed = Query(query)
+    if parsed.numbers:
+        if chunks is None:
+            raise QueryError("numbers of chunks are not in the index: the chunks are needed")
+        asked = chunks.where(_all([within(F.col(field), *ends) for field, *ends in parsed.numbers])).select("chunk_id")
+        inside = asked if inside is None else inside.join(asked, "chunk_id", "left_semi")
     stems = {w: stemming.stem(w) if index.analyzer == "stemming" else w for w in parsed.terms}
     boosts: dict[str, float] = {}
     for w, boost in parsed.terms.items():
         boosts[stems[w]] = max(boost, boosts.get(stems[w], 0.0))
-    scored = _from_terms if index.terms is not None and not parsed.wild else _from_postings
-    out = scored(index, parsed, stems, boosts, where).select("chunk_id", "document_id", "score").where(F.col("score") >= min_score)
+    if index.segments is not None and limit is not None and where is None and plain(parsed.tree) is not None:
+        out = index.segments.search(boosts, plain(parsed.tree), limit, inside, min_score)
+    else:
+        scored = _from_terms if index.terms is not None and not parsed.classes and not parsed.slop else _from_postings
+        out = scored(index, parsed, stems, boosts, where).select("chunk_id", "document_id", "score").where(F.col("score") >= min_score)
+        out = out if inside is None else out.join(inside, "chunk_id", "left_semi")
     return out.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit is not None else out
 
 
@@ -270,7 +366,7 @@ def _from_terms(index: TextIndex, parsed: Query, stems: dict[str, str], boosts:
 
 
 def _phrases(tree) -> list[list[str]]:
-    if tree is None or tree[0] in ("term", "wild", "is"):
+    if tree is None or tree[0] in ("term", "class", "is"):
         return []
     if tree[0] == "phrase":
         return [tree[1]]
@@ -280,24 +376,30 @@ def _phrases(tree) -> list[list[str]]:
 def _from_postings(index: TextIndex, parsed: Query, stems: dict[str, str], boosts: dict[str, float], where: Column | None) -> DataFrame:
     named = sorted(boosts)
     condition = F.col("term").isin(named) if named else F.lit(False)
-    for pattern in parsed.wild:
-        start = re.match(r"(?:\\.|\w)*", pattern)[0].replace("\\", "") if not pattern.startswith(".") else ""
-        condition = condition | (F.col("term").startswith(start) & F.col("term").rlike(f"^{pattern}$"))
+    more = None
+    if parsed.classes:
+        of_class = ~_all([~matches(key, F.col("term")) for key in parsed.classes])
+        if index.segments is not None:  # the dictionary says which terms these are
+            more = [r.term for r in index.segments.frequencies().where(of_class).select("term").limit(EXPANDED + 1).collect()]
+        condition = condition | of_class
     if not _positive(parsed.tree):
         condition = F.lit(False)
-    if named and not parsed.wild and index.buckets:  # prune partitions of a written index
+    if named and not parsed.classes and index.buckets:  # prune partitions of a written index
         condition = condition & F.col("bucket").isin(sorted({_bucket(w, index.buckets) for w in named}))
     phrases = bool(_phrases(parsed.tree))
-    hits = (index.with_positions() if phrases else index.postings).where(condition)
-    if index.numbers and not parsed.wild and index.numbers[0] * len(named) <= ONE_TASK:
+    if index.segments is not None and (more is None or len(more) <= EXPANDED):
+        hits = index.segments.postings(sorted({*named, *(more or [])})).where(condition)
+    else:
+        hits = (index.with_positions() if phrases else index.postings).where(condition)
+    if index.numbers and not parsed.classes and index.numbers[0] * len(named) <= ONE_TASK:
         hits = hits.coalesce(1)  # so few rows at most that one task is faster than a shuffle
-    kept = index.weighed(hits, bool(parsed.wild))
+    kept = index.weighed(hits, bool(parsed.classes))
     kept = kept if where is None else kept.where(where)
     boost = F.lit(1.0)
     for t, k in boosts.items():
         boost = F.when(F.col("term") == t, k).otherwise(boost) if k != 1 else boost
-    for pattern, k in parsed.wild.items():
-        boost = F.when(F.col("term").rlike(f"^{pattern}$"), k).otherwise(boost) if k != 1 else boost
+    for key, k in parsed.classes.items():
+        boost = F.when(matches(key, F.col("term")), k).otherwise(boost) if k != 1 else boost
     found = F.collect_set("term").alias("terms")
     extra = [F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")] if phrases else []
     scored = kept.groupBy("chunk_id", "document_id").agg(F.round(F.sum(F.col("weight") * boost), DECIMALS).alias("score"), found, *extra)
@@ -306,8 +408,8 @@ def _from_postings(index: TextIndex, parsed: Query, stems: dict[str, str], boost
         kind = tree[0]
         if kind == "term":
             return F.array_contains("terms", stems[tree[1]])
-        if kind == "wild":
-            return F.exists("terms", lambda t: F.rlike(t, F.lit(f"^{tree[1]}$")))
+        if kind == "class":
+            return F.exists("terms", lambda t: matches(tree[1], t))
         if kind == "is":
             return F.col(tree[1]) == tree[2]
         if kind == "not":
@@ -315,14 +417,21 @@ def _from_postings(index: TextIndex, parsed: Query, stems: dict[str, str], boost
         if kind == "phrase":
             words = [stems[w] for w in tree[1]]
             at = [F.try_element_at(F.col("at"), F.lit(w)) for w in words]
-            together = F.exists(at[0], lambda p: _all([F.array_contains(a, p + k) for k, a in enumerate(at) if k]))
-            return _all([F.array_contains("terms", w) for w in words]) & F.coalesce(together, F.lit(False))
+            ends = at[0]  # where the phrase so far may end
+            for a in at[1:]:
+                ends = _following(a, ends, tree[2])
+            return _all([F.array_contains("terms", w) for w in words]) & F.coalesce(F.size(ends) > 0, F.lit(False))
         out = [holds(t) for t in tree[1]]
         return _all(out) if kind == "and" else ~_all([~x for x in out])
 
     return scored.where(holds(parsed.tree)) if parsed.tree is not None else scored
 
 
+def _following(positions: Column, ends: Column, distance: int) -> Column:
+    """The positions that come after one of ends, at most so far behind."""
+    return F.filter(positions, lambda p: F.exists(ends, lambda e: (p > e) & (p - e <= distance)))
+
+
 def _all(parts: list[Column]) -> Column:
     out = F.lit(True)
     for p in parts:

@@ -1,8 +1,8 @@
 """From files to searchable tables, and keeping them so.
 
 Tables of a store, each versioned: sources (files given one by one, with their metadata), parsed (keyed by document and parsing fingerprint), chunked (by
-document and the fingerprints of parsing and chunking), chunks (with vectors and the embedder's fingerprint), postings and statistics
-of the text index, documents. A stage works on what its table does not have under the present fingerprints, so files
+document and the fingerprints of parsing and chunking), chunks (with vectors and the embedder's fingerprint), the text index, which grows by
+segments (operators.segments), and documents. A stage works on what its table does not have under the present fingerprints, so files
 that did not change are not parsed again, nor are stages before a changed setting run again. Documents come last: until they
 are published, a scan finds the same work to do.
 """
@@ -20,7 +20,7 @@ from ..config import Config
 from ..functions import ids
 from ..functions import metadata as M
 from ..functions import text as T
-from ..operators import cache, chunking, embedding, markdown, search, sync, textindex
+from ..operators import cache, chunking, embedding, markdown, search, segments, sync, textindex
 from ..sources import files, tables
 
 
@@ -42,18 +42,37 @@ def fingerprints(config: Config) -> dict[str, str]:
     return {"parsing": own["parsing"], "chunking": chain("parsing", "chunking"), "embedding": own["embedding"], "summarizer": chain("parsing", "summarizer")}
 
 
-def scanned(spark: SparkSession, root: str, store: str, config: Config) -> DataFrame:
-    """(document_id, path, checksum, last_modified, file_size, content, user) of the files below root and of those given one by one."""
+def everything(spark: SparkSession, root: str, store: str, config: Config) -> DataFrame:
+    """(path, checksum, last_modified, file_size, content) of the files below root and of those given one by one; columns that are not used cost nothing."""
     out = files.scan(spark, root, config.supported_extensions)
     sources = tables.read(spark, f"{store}/sources")
     if sources is not None:
         more = files.given(spark, [r.path for r in sources.select("path").collect()])  # files named by hand
         if more is not None:
-            out = out.unionByName(more.join(out.select("path"), "path", "left_anti"))
+            out = out.unionByName(more.join(files.listed(out).select("path"), "path", "left_anti"))
+    return out
+
+
+def scanned(spark: SparkSession, root: str, store: str, config: Config, deep: bool = False) -> DataFrame:
+    """(document_id, path, checksum, last_modified, file_size, user, seen_at) of all files, written as the store's table of the scan.
+
+    Files are listed, and only those are read whose size or time is not that of the last scan; with ``deep`` all of them.
+    """
+    files_there = everything(spark, root, store, config)
+    listing, old = files.listed(files_there), tables.read(spark, f"{store}/scan")
+    if deep or old is None or "seen_at" not in old.columns:
+        known = listing.withColumn("checksum", F.lit(None).cast("string"))
+    else:
+        known = sync.trusted(listing, old)
+    read = files.contents(spark, files_there, known.where("checksum is null")).select("path", "last_modified", "file_size", "checksum")
+    out = known.where("checksum is not null").unionByName(read).withColumn("seen_at", F.current_timestamp().cast("double"))
+    sources = tables.read(spark, f"{store}/sources")
+    if sources is not None:
         out = out.join(sources.select("path", F.col("metadata").alias("user")), "path", "left")
     else:
         out = out.withColumn("user", F.lit(None).cast("map<string,string>"))
-    return out.withColumn("document_id", ids.document_id(F.col("path"), F.col("checksum")))
+    tables.publish(out.withColumn("document_id", ids.document_id(F.col("path"), F.col("checksum"))), f"{store}/scan")
+    return tables.read(spark, f"{store}/scan")
 
 
 def parsed_files(found: DataFrame, parser: files.PdfParser = files.missing_parser) -> DataFrame:
@@ -129,16 +148,16 @@ def ingest(
     parser: files.PdfParser = files.missing_parser,
     embed: Callable[[DataFrame], DataFrame] = embedding.with_hashed,
     summariser: embedding.Summariser | None = None,
+    found: DataFrame | None = None,
 ) -> tuple[search.Collection, Report]:
-    """Scans root and the files given one by one, brings the tables in store up to date, and opens them."""
+    """Scans root and the files given one by one (unless found, a scanned() of them, is there), brings the tables in store up to date, and opens them."""
     c, report = config or Config(), Report()
     prints, at = fingerprints(c), lambda name: f"{store}/{name}"
-    contents = scanned(spark, root, store, c)
-    tables.publish(contents.drop("content"), at("scan"))  # all stages see the same files; contents are read only to be parsed
-    found = tables.read(spark, at("scan"))
+    found = scanned(spark, root, store, c) if found is None else found  # all stages see the same files; contents are read only to be parsed
 
     def parse(todo: DataFrame) -> DataFrame:
-        given = contents.select("document_id", "path", "content").join(todo.select("document_id"), "document_id", "left_semi")
+        read = files.contents(spark, everything(spark, root, store, c), todo)
+        given = todo.select("document_id", "path").join(read.select("path", "content"), "path")
         return parsed_files(at_most(given, c.max_parallel_parsing), parser)
 
     parsed, report.parsed = _stage(spark, at("parsed"), "parsing", prints["parsing"], found, parse)
@@ -160,16 +179,11 @@ def ingest(
     vectors, report.embedded = _stage(
         spark, at("vectors"), "embedding_of", prints["embedding"], parts.select("chunk_id", "text"), lambda todo: embed(at_most(todo, c.max_parallel_embedding)).select("chunk_id", "embedding"), "chunk_id"
     )
-    indexed, _ = _stage(
-        spark, at("terms"), "analyzer", c.text_analyzer, parts.select("chunk_id", "document_id", "text"), lambda todo: todo.select("chunk_id", "document_id", textindex.analysed(F.col("text"), c.text_analyzer).alias("terms")), "chunk_id"
-    )
     chunks = parts.join(vectors.select("chunk_id", "embedding"), "chunk_id")
     tables.publish(chunks, at("chunks"))
-    tables.publish(textindex.stored(textindex.counted(indexed, positions=True)), at("postings"), ["bucket"])
-    statistics = indexed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.lit(c.text_analyzer).alias("analyzer"))
-    tables.publish(statistics, at("statistics"))
+    indexed(spark, at("text"), tables.read(spark, at("chunks")), c.text_analyzer)
 
-    documents = found.drop("user").join(parsed.select("document_id", "title", "body", "error"), "document_id").join(described.select("document_id", "metadata"), "document_id", "left")
+    documents = found.drop("user", "seen_at").join(parsed.select("document_id", "title", "body", "error"), "document_id").join(described.select("document_id", "metadata"), "document_id", "left")
     if summariser is not None and c.summarise:
         def summarise(todo: DataFrame) -> DataFrame:
             content = markdown.summary_content(markdown.pages(todo, "body"), c.summary_max_pages)
@@ -185,6 +199,20 @@ def ingest(
     return open_collection(spark, store), report
 
 
+def indexed(spark: SparkSession, root: str, chunks: DataFrame, analyzer: str) -> segments.Segments:
+    """The text index over chunks (chunk_id, document_id, text): one segment with those it does not have, without those that are not there. Another analyzer begins anew."""
+    index = segments.Segments.open(spark, root, analyzer)
+    if index.analyzer != analyzer:
+        tables.drop(spark, root)
+        index = segments.Segments.open(spark, root, analyzer)
+    there = index.chunks().select("chunk_id")
+    new = chunks.join(there, "chunk_id", "left_anti").select("chunk_id", "document_id", textindex.analysed(F.col("text"), analyzer).alias("terms"))
+    gone = there.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+    if not index.rows or new.limit(1).count() or gone.limit(1).count():
+        index = index.changed(new, chunks=gone)
+    return index
+
+
 def open_collection(spark: SparkSession, store: str) -> search.Collection:
     """The tables in store, with the text index as it is stored."""
     chunks, documents = tables.read(spark, f"{store}/chunks"), tables.read(spark, f"{store}/documents")
@@ -193,29 +221,23 @@ def open_collection(spark: SparkSession, store: str) -> search.Collection:
         row = spark.createDataFrame([(query,)], "text string").select(embedding.hashed(F.col("text")).alias("v")).first()
         return list(row.v) if row.v is not None else None
 
-    index = textindex.opened(tables.read(spark, f"{store}/postings"), tables.read(spark, f"{store}/statistics"))
+    index = segments.Segments.open(spark, f"{store}/text").text_index()
     return search.Collection(chunks, documents.where("error is null"), index, query_vector)
 
 
 def removed(spark: SparkSession, store: str, document_id: str) -> search.Collection:
     """Deletes a document from all tables that a search or listing reads; statistics of the text index follow."""
     gone = spark.createDataFrame([(document_id,)], "document_id string")
-    left = {name: sync.without_documents(tables.read(spark, f"{store}/{name}"), gone) for name in ("terms", "chunks", "documents")}
-    indexed = left["terms"]
-    sources = tables.read(spark, f"{store}/sources")
-    if sources is not None:
-        path = tables.read(spark, f"{store}/documents").where(F.col("document_id") == document_id).select("path")
-        tables.publish(sources.join(path, "path", "left_anti"), f"{store}/sources")
-    analyzer = tables.read(spark, f"{store}/statistics").select("analyzer").first()[0]
-    tables.publish(textindex.stored(textindex.counted(indexed, positions=True)), f"{store}/postings", ["bucket"])
-    tables.publish(indexed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"), F.lit(analyzer).alias("analyzer")), f"{store}/statistics")
-    for name, rows in left.items():
-        tables.publish(rows, f"{store}/{name}")
+    path = [r.path for r in tables.read(spark, f"{store}/documents").where(F.col("document_id") == document_id).select("path").collect()]  # one document's
+    if tables.current(spark, f"{store}/sources"):
+        tables.update(spark, f"{store}/sources", lambda old: old.where(~F.col("path").isin(path)))
+    segments.Segments.open(spark, f"{store}/text").changed(documents=gone)
+    for name in ("chunks", "documents"):
+        tables.update(spark, f"{store}/{name}", lambda old: sync.without_documents(old, gone))
     return open_collection(spark, store)
 
 
 def add_source(spark: SparkSession, store: str, path: str, metadata: dict[str, str] | None = None) -> None:
     """Notes a file to be ingested wherever it is, with metadata of the user's; given again, the new metadata counts."""
     row = spark.createDataFrame([(path, {k: str(v) for k, v in (metadata or {}).items()})], "path string, metadata map<string,string>")
-    old = tables.read(spark, f"{store}/sources")
-    tables.publish(row if old is None else old.where(F.col("path") != path).unionByName(row), f"{store}/sources")
+    tables.update(spark, f"{store}/sources", lambda old: row if old is None else old.where(F.col("path") != path).unionByName(row))

@@ -11,8 +11,8 @@ from ..functions import ids
 from ..functions import metadata as M
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cache, catalog, chunking, embedding, fusion, host, jobs, markdown, search, sync, textindex, vectorsearch
-from ..sources import files
+from ..operators import cache, catalog, chunking, embedding, fusion, jobs, markdown, search, segments, sync, textindex, vectorsearch
+from ..sources import files, scratch
 from ..streaming import events as E
 from . import views
 from .views import SQL_CHUNKS, SQL_COLLECTION, SQL_DOCUMENTS, sql_bm25, sql_tokens, sql_vector, table
@@ -508,6 +508,70 @@ def _asked(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_TOKENS = f"{SQL_CHUNKS}, u AS (SELECT chunk_id, unnest({sql_tokens('text')}) AS t FROM c)"
+
+
+@query(f"WITH {_TOKENS} SELECT DISTINCT chunk_id FROM u WHERE t LIKE '%tion' OR t LIKE 'th%ng'")
+def q4_inner_wildcard_query(spark, sf_dir):
+    return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), "*tion OR th*ng", None).select("chunk_id")
+
+
+@query(f"WITH {_TOKENS} SELECT DISTINCT chunk_id FROM u WHERE levenshtein(t, 'thing') <= 1 OR levenshtein(t, 'tionering') <= 2")
+def q4_fuzzy_query(spark, sf_dir):
+    return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), "thing~ OR tionering~2", None).select("chunk_id")
+
+
+@query(f"WITH {_TOKENS} SELECT DISTINCT chunk_id FROM u WHERE t >= 'thing' AND t < 'thio' OR t > 'tiona' AND t <= 'tionb'")
+def q4_term_range_query(spark, sf_dir):
+    return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), "[thing TO thio} OR {tiona TO tionb]", None).select("chunk_id")
+
+
+@query(
+    f"""WITH {SQL_CHUNKS}, tt AS (SELECT chunk_id, {sql_tokens('text')} AS t FROM c), p AS (SELECT chunk_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM tt)
+SELECT DISTINCT a.chunk_id FROM p a JOIN p b USING (chunk_id) WHERE a.w = 'thing' AND b.w = 'tion' AND b.i > a.i AND b.i - a.i <= 40"""
+)
+def q4_phrase_distance_query(spark, sf_dir):
+    return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), '"thing tion"~40', None).select("chunk_id")
+
+
+@query(f"WITH {SQL_CHUNKS}, {sql_bm25(['thing'])} SELECT t.chunk_id, t.score FROM t JOIN c USING (chunk_id) WHERE chunk_index >= 2 AND chunk_index < 9 ORDER BY score DESC, chunk_id LIMIT 40")
+def q4_field_range_query(spark, sf_dir):
+    c = views.chunks(spark, sf_dir)
+    return textindex.search(textindex.TextIndex.build(c), "thing chunk_index:[2 TO 9}", 40, chunks=c).select("chunk_id", "score")
+
+
+def _analysed(chunks):
+    return chunks.select("chunk_id", "document_id", textindex.analysed(F.col("text")).alias("terms"))
+
+
+@query(f"WITH {SQL_CHUNKS}, {sql_bm25(TERMS, every=False)} SELECT chunk_id, document_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 10")
+def q2_block_max_search(spark, sf_dir):
+    """By bounds of blocks, over an index of segments."""
+    index = segments.Segments.open(spark, scratch.folder(spark, "text")).changed(_analysed(views.chunks(spark, sf_dir)))
+    return textindex.search(index.text_index(), " OR ".join(TERMS), 10)
+
+
+@query(f"WITH {SQL_COLLECTION}, {_bm25_batch_sql(10)} SELECT * FROM tb")
+def q2_block_max_batch(spark, sf_dir):
+    index = segments.Segments.open(spark, scratch.folder(spark, "text")).changed(_analysed(views.collection(spark, sf_dir).chunks))
+    return index.search_batch(_asked(spark, sf_dir), 10).top()
+
+
+_CHANGED = SQL_CHUNKS.replace("\nc AS (", "\nc0 AS (") + """,
+c AS (SELECT chunk_id, document_id, CASE WHEN doc_id % 7 = 2 THEN 'thing ' || text ELSE text END AS text FROM c0 WHERE doc_id % 11 <> 3)"""
+
+
+@query(f"WITH {_CHANGED}, {sql_bm25(TERMS, every=False)} SELECT chunk_id, document_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 25")
+def s17_index_after_changes(spark, sf_dir):
+    """Four fifths of the documents, then the others together with changed texts, then without some: three changes, none of which rewrites the index."""
+    c = views.chunks(spark, sf_dir)
+    index = segments.Segments.open(spark, scratch.folder(spark, "text")).changed(_analysed(c.where("doc_id % 5 <> 1")))
+    changed = c.withColumn("text", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("thing "), "text")).otherwise(F.col("text")))
+    index = index.changed(_analysed(changed.where("doc_id % 5 = 1 OR doc_id % 7 = 2")))
+    index = index.changed(documents=c.where("doc_id % 11 = 3").select("document_id"))
+    return textindex.search(index.text_index(), " OR ".join(TERMS), 25)
+
+
 @query(f"WITH {SQL_COLLECTION}, {_bm25_batch_sql(10)} SELECT * FROM tb")
 def q2_text_search_batch(spark, sf_dir):
     return textindex.search_batch(views.collection(spark, sf_dir).index, _asked(spark, sf_dir), 10)
@@ -832,6 +896,19 @@ def j5_modified_files(spark, sf_dir):
     return sync.modified_files(*_snapshots(spark, sf_dir)).select("path")
 
 
+@query(
+    f"""WITH {_SNAPSHOTS}
+SELECT new.path, NOT (old.path IS NOT NULL AND new.file_size = old.file_size AND new.last_modified = old.last_modified AND old.doc_id % 4 <> 0) AS suspect,
+  CASE WHEN new.file_size = old.file_size AND new.last_modified = old.last_modified AND old.doc_id % 4 <> 0 THEN old.checksum END AS checksum
+FROM new LEFT JOIN old USING (path)"""
+)
+def j5_suspects(spark, sf_dir):
+    """Files that must be read to tell whether they changed, from the listing alone; a fourth was written just before it was seen."""
+    new, old = _snapshots(spark, sf_dir)
+    seen = old.withColumn("seen_at", F.col("last_modified") + F.when(F.col("doc_id") % 4 == 0, 1.0).otherwise(60.0))
+    return sync.trusted(files.listed(new), seen).select("path", F.col("checksum").isNull().alias("suspect"), "checksum")
+
+
 @query(f"WITH {_SNAPSHOTS} SELECT new.path, document_id FROM new JOIN old USING (path)")
 def j6_known_documents(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
@@ -916,11 +993,6 @@ def k4_to_process(spark, sf_dir):
     return cache.to_process(d, d.where("doc_id % 3 = 0")).select("doc_id")
 
 
-@query()
-def a18_host_metrics(spark, sf_dir):
-    return host.metrics(spark)
-
-
 @query(f"WITH {SQL_DOCUMENTS} SELECT doc_id FROM d WHERE checksum IN (SELECT checksum FROM d WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0)")
 def s19_chunk_cache(spark, sf_dir):
     d = views.documents(spark, sf_dir).select("doc_id", "checksum")

@@ -43,6 +43,23 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     return out.where(is_supported(F.col("path"), extensions) & ~is_excluded(F.col("path"), base))
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """(path, last_modified, file_size) of scan() or given(): no file is opened for it."""
+    return files.select("path", "last_modified", "file_size")
+
+
+#: Files that are read by name, their names brought to the driver; more are picked out of a scan of everything.
+BY_NAME = 10_000
+
+
+def contents(spark: SparkSession, everything: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of everything, a scan() or given(), for the paths in wanted (path): up to BY_NAME files are opened alone."""
+    paths = [r.path for r in wanted.select("path").distinct().limit(BY_NAME + 1).collect()]
+    if len(paths) <= BY_NAME:
+        return _read(spark.read, paths) if paths else everything.where("false")
+    return everything.join(wanted.select("path").distinct(), "path", "left_semi").select(*everything.columns)
+
+
 def _read(reader, paths) -> DataFrame:
     path = F.regexp_replace("path", "^file:(//)?", "")
     return reader.format("binaryFile").load(paths).select(path.alias("path"), ids.checksum(F.col("content")).alias("checksum"), F.col("modificationTime").cast("double").alias("last_modified"), F.col("length").alias("file_size"), "content")

@@ -105,6 +105,35 @@ def test_files_given_one_by_one(spark, tmp_path, root):
     assert kb.rescan_documents()["deleted"] == 1 and kb.search_documents("oceans", 5, search_type="text").count() == 0
 
 
+def test_unchanged_files_are_not_read(spark, tmp_path, root):
+    import os
+
+    for k, p in enumerate(sorted(root.iterdir())):
+        os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
+    kb = KnowledgeBase(spark, str(root), f"{tmp_path}/store", parser=files.chained(pdf))
+    assert kb.rescan_documents() == {"new": 3, "modified": 0, "deleted": 0}
+    a, before = root / "a.md", (root / "a.md").stat()
+    other = a.read_bytes().replace(b"lakes", b"seas.")
+    a.write_bytes(other)
+    os.utime(a, (before.st_mtime, before.st_mtime))  # same size, same time: nobody looks inside
+    assert kb.rescan_documents() == {"new": 0, "modified": 0, "deleted": 0}
+    assert kb.rescan_documents(deep=True) == {"new": 0, "modified": 1, "deleted": 0}
+    assert kb.search_documents("seas", 5, search_type="text").count() == 1
+    os.utime(a, (before.st_mtime + 0.5, before.st_mtime + 0.5))  # touched: read, and found to be the same
+    assert kb.rescan_documents() == {"new": 0, "modified": 0, "deleted": 0}
+    plan = files.listed(files.scan(spark, str(root)))._jdf.queryExecution().toString()
+    assert "content" not in plan[plan.index("Physical Plan") :]
+
+
+def test_contents_of_many_files(spark, root, monkeypatch):
+    every = files.scan(spark, str(root))
+    some = every.select("path").where("path like '%.pdf'")
+    for bound in (10_000, 1):
+        monkeypatch.setattr(files, "BY_NAME", bound)
+        assert {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in files.contents(spark, every, some).collect()} == {p.name: p.read_bytes() for p in root.glob("*.pdf")}
+    assert files.contents(spark, every, some.where("false")).count() == 0
+
+
 def test_versions(spark, tmp_path):
     root = f"{tmp_path}/t"
     for n in range(5):

@@ -59,9 +59,13 @@ def test_query_language(collection):
     assert found("fl*r") == {"doc_bread_chunk_0", "doc_rye_chunk_1", "doc_oven_chunk_2"} and found("fl?ur") == {"doc_bread_chunk_0", "doc_rye_chunk_1"}
     first = lambda q: textindex.search(index, q, 1).first().chunk_id
     assert first("steam^9 OR clay") == "doc_bread_chunk_2" and first("steam OR clay^9") == "doc_oven_chunk_0"
-    for bad in ("page_number:3", "[1 TO 3]", "bread~2", '"hot stone"~3', '"open', "(rye"):
+    assert found("flor~") == {"doc_bread_chunk_0", "doc_rye_chunk_1", "doc_oven_chunk_2"} and found("flours~ NOT floor") == found("flour") and found("[flour TO flour]") == found("flour") == found("{flot TO flov}")
+    assert found("[zz TO]") == set() and found("[flour TO flour] -rye") == found("flour NOT rye")
+    numbered = lambda q: {r.chunk_id for r in textindex.search(index, q, None, chunks=collection.chunks).collect()}
+    assert numbered("rye chunk_index:[1 TO 2]") == {x for x in found("rye") if x[-1] in "12"} and numbered("rye chunk_index:1") == {x for x in found("rye") if x[-1] == "1"}
+    for bad in ("page_number:3", "metadata:x", "[1 3]", "bread~3", "bre*d~1", "a~1.5", "rye OR chunk_index:3", "NOT page_number:[1 TO 2]", "rye -page_number:1", "page_number:[a TO b]", '"open', "(rye"):
         with pytest.raises(textindex.QueryError):
-            textindex.Query(bad)
+            textindex.search(index, bad)
 
 
 def test_batch_equals_single(spark, collection):
