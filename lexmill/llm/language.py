@@ -13,7 +13,7 @@ A document's cross-entropy in a language is the negative log probability of its
 of equal ones the language first in order. The score is a logistic share, with one factor on entropies times the root of the length. That factor and,
 for each language, the entropy beyond which a text is no text of it (``accepted`` is false: the highest but ``REJECT`` of its own
 texts) are calibrated on at most ``CALIBRATION`` texts of at most ``LONGEST`` characters, from the sixteenth part of the learning
-rows that the counts leave out. With fewer than ``FEWEST`` of them all texts are accepted and the factor is 1.
+rows that the counts leave out. A language with fewer than ``FEWEST`` of them has the limit of all together; with fewer in all, all texts are accepted and the factor is 1.
 
 Rows are learned from if their doc_id's crc32 is not divisible by five and lang is not null; ids, sources and languages are never inputs
 of a prediction. A null text, or one without a letter, is ``und`` with score 0 and not accepted; so is every text if there is nothing to
@@ -182,6 +182,7 @@ class Model:
         """From entropies (texts x languages), lengths and the places of the true languages."""
         if len(true) < FEWEST:
             return
+
         def loss(factor: float) -> float:
             z = -factor * np.sqrt(sizes)[:, None] * entropies
             top = z.max(axis=1)
@@ -189,8 +190,10 @@ class Model:
 
         self.factor = min((2.0**e for e in range(-6, 7)), key=loss)
         right = entropies.argmin(axis=1) == true
+        lowest = entropies.min(axis=1)
         for j in range(len(self.languages)):
-            own = entropies[right & (true == j), j]
+            own = lowest[right & (true == j)]
+            own = own if len(own) >= FEWEST else lowest[right]
             if len(own) >= FEWEST:
                 self.limits[j] = np.quantile(own, 1 - REJECT)
 
