@@ -160,7 +160,7 @@ class StoredScopes(Scopes):
 def scoped_search(c: Collection, query: str, session: str, scopes: Scopes, now: float, limit: int = 5, where: dict | None = None, **more) -> DataFrame:
     """A search within the session's documents if the collection is large; a new session's are those of its first query."""
     s = c.settings
-    if c.documents.count() >= s.scope_threshold:
+    if c.documents.select("document_id").limit(s.scope_threshold).count() >= s.scope_threshold:  # no count of all
         ids = scopes.get(session, now)
         if ids is None:
             vector = more.get("vector")

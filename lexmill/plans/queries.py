@@ -11,7 +11,7 @@ from ..functions import ids
 from ..functions import metadata as M
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import cache, catalog, chunking, embedding, fusion, jobs, markdown, search, segments, sync, textindex, vectorsearch
+from ..operators import cache, catalog, cells, chunking, embedding, fusion, jobs, markdown, search, segments, sync, textindex, vectorsearch
 from ..sources import files, scratch
 from ..streaming import events as E
 from . import views
@@ -442,17 +442,26 @@ def q1_vector_search(spark, sf_dir):
     return vectorsearch.search(c.chunks, views.query_vector(spark, sf_dir, VEC), 20).select("chunk_id", "score")
 
 
-@query(
-    """WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d
+_NEAREST = """WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_sum(list_transform(list_zip(c.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))) AS d
   FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), id) AS rank FROM r) SELECT query_id, rank::INT AS rank, id, round(greatest(0, 1 - d / 2), 6) AS score FROM k WHERE rank <= 5"""
-)
+
+
+@query(_NEAREST)
 def q1_vector_search_batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectorsearch.search_batch(e, queries, 5, "vec_id")
 
 
+@query(_NEAREST)
+def q1_vector_cells_batch(spark, sf_dir):
+    """By cells of a stored collection: two inserts, then only the cells that the triangle inequality leaves."""
+    e = table(spark, sf_dir, "embeddings")
+    stored = cells.VectorCells.build(e.where("vec_id % 3 <> 1"), scratch.folder(spark, "vectors"), "vec_id").inserted(e, "vec_id")
+    return stored.search(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+
+
 @query(f"WITH {SQL_CHUNKS}, {sql_bm25(TERMS)} SELECT chunk_id, document_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 10")
 def bm25_search(spark, sf_dir):
     return textindex.search(textindex.TextIndex.build(views.chunks(spark, sf_dir)), QUERY, 10)
