@@ -14,6 +14,7 @@ from ..functions import vector as V
 from ..operators import cache, catalog, cells, chunking, embedding, fusion, jobs, markdown, search, segments, sync, textindex, vectorsearch
 from ..sources import files, scratch
 from ..streaming import events as E
+from ..streaming.store import IndexSink
 from . import views
 from .views import SQL_CHUNKS, SQL_COLLECTION, SQL_DOCUMENTS, sql_bm25, sql_tokens, sql_vector, table
 
@@ -570,6 +571,22 @@ _CHANGED = SQL_CHUNKS.replace("\nc AS (", "\nc0 AS (") + """,
 c AS (SELECT chunk_id, document_id, CASE WHEN doc_id % 7 = 2 THEN 'thing ' || text ELSE text END AS text FROM c0 WHERE doc_id % 11 <> 3)"""
 
 
+_STREAMED = SQL_CHUNKS.replace("FROM d))", "FROM (SELECT doc_id, document_id, path, title, lang, source, CASE WHEN doc_id % 6 = 1 THEN 'thing tion' ELSE text END AS text FROM d WHERE doc_id % 9 <> 4)))")
+
+
+@query(f"WITH {_STREAMED}, {sql_bm25(TERMS, every=False)} SELECT chunk_id, document_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 25")
+def t5_changes_applied(spark, sf_dir):
+    """Batches of changes as a stream brings them, one of them twice: all documents come, some change, some go."""
+    sink = IndexSink(scratch.folder(spark, "applied"))
+    d = views.documents(spark, sf_dir).select("doc_id", "document_id", "text")
+    event = lambda rows, kind, at, text="text": rows.select("document_id", F.lit(kind).alias("event_type"), F.expr(text).alias("text"), F.timestamp_seconds(F.lit(at)).alias("ts"))
+    later = event(d.where("doc_id % 6 = 1"), "modified", 20, "'thing tion'").unionByName(event(d.where("doc_id % 9 = 4"), "deleted", 30, "CAST(NULL AS STRING)"))
+    sink(event(d, "created", 10), 0)
+    sink(later, 1)
+    sink(event(d, "deleted", 40), 1)  # a batch of a number that has been applied
+    return textindex.search(sink.index(spark), " OR ".join(TERMS), 25)
+
+
 @query(f"WITH {_CHANGED}, {sql_bm25(TERMS, every=False)} SELECT chunk_id, document_id, score FROM t ORDER BY score DESC, chunk_id LIMIT 25")
 def s17_index_after_changes(spark, sf_dir):
     """Four fifths of the documents, then the others together with changed texts, then without some: three changes, none of which rewrites the index."""
