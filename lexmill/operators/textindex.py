@@ -335,33 +335,38 @@ def search(
 
 
 def _from_terms(index: TextIndex, parsed: Query, stems: dict[str, str], boosts: dict[str, float], where: Column | None) -> DataFrame:
-    """Scores of a query's terms from the chunks' terms. Rows are reduced to numbers before they are dealt out, once for statistics and for scores."""
+    """Scores of a query's terms from the chunks' terms, in one pass: chunks with a term go on as counts, the others of a task as one row with their number and length."""
     named = sorted(boosts) if _positive(parsed.tree) else []
     phrases = sorted({tuple(stems[w] for w in p) for p in _phrases(parsed.tree)}) if named else []
-    tf = F.transform(F.array(*map(F.lit, named)).cast("array<string>"), lambda t: F.size(F.filter("terms", lambda x: x == t)))
     joined = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    together = F.array(*[F.contains(joined, F.lit(f" {' '.join(p)} ")) for p in phrases]).cast("array<boolean>")
-    rows = index.terms.select("chunk_id", "document_id", F.size("terms").alias("length"), tf.alias("tf"), together.alias("phrases"))
-    rows = rows.repartition(F.xxhash64("chunk_id"))  # small rows; both uses read the same exchange, so texts are analysed once
-    numbers = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(named))])
+    tfs, together = [f"tf{k}" for k in range(len(named))], [f"together{k}" for k in range(len(phrases))]
+    times = lambda t: F.size(F.filter("terms", lambda x: x == t))
+    counts = [times(t).alias(c) for t, c in zip(named, tfs)] + [F.contains(joined, F.lit(f" {' '.join(p)} ")).alias(c) for p, c in zip(phrases, together)]
+    rows = index.terms.select("chunk_id", "document_id", F.size("terms").alias("length"), *counts)
+    hit = ~_all([F.col(c) == 0 for c in tfs])
+    own = {"row": F.monotonically_increasing_id(), "chunk_id": F.col("chunk_id"), "document_id": F.col("document_id")}
+    rows = rows.select("length", *tfs, *together, *[F.when(hit, c).alias(name) for name, c in own.items()])
+    # both uses below take all that is summed here and filter by it, not by the keys, so they read one exchange
+    rows = rows.groupBy(*own).agg(F.count("*").alias("chunks"), F.sum("length").alias("length"), *[F.max(c).alias(c) for c in (*tfs, *together)])
+    numbers = rows.agg(F.sum("chunks").alias("n"), (F.sum("length") / F.sum("chunks")).alias("mean_length"), *[F.count_if(F.col(c) > 0).alias(f"df{k}") for k, c in enumerate(tfs)], *[F.count_if(c).alias(f"all_{c}") for c in together])
     place = {t: k for k, t in enumerate(named)}
 
     def holds(tree) -> Column:
         kind = tree[0]
         if kind == "term":
-            return F.col("tf")[place[stems[tree[1]]]] > 0
+            return F.col(tfs[place[stems[tree[1]]]]) > 0
         if kind == "is":
             return F.col(tree[1]) == tree[2]
         if kind == "not":
             return ~holds(tree[1])
         if kind == "phrase":
-            return F.col("phrases")[phrases.index(tuple(stems[w] for w in tree[1]))]
+            return F.col(together[phrases.index(tuple(stems[w] for w in tree[1]))])
         out = [holds(t) for t in tree[1]]
         return _all(out) if kind == "and" else ~_all([~x for x in out])
 
-    found = rows.where(F.exists("tf", lambda x: x > 0) & holds(parsed.tree)) if named else rows.where(F.lit(False))
+    found = rows.where((F.col("chunks") == 1) & ~_all([F.col(c) == 0 for c in tfs]) & holds(parsed.tree)) if named else rows.where(F.lit(False))
     found = found if where is None else found.where(where)
-    each = [bm25(F.col("tf")[k], F.col("length"), F.col(f"df{k}"), F.col("n"), F.col("mean_length")) * boosts[t] for k, t in enumerate(named)]
+    each = [bm25(F.col(c), F.col("length"), F.col(f"df{k}"), F.col("n"), F.col("mean_length")) * boosts[t] for k, (t, c) in enumerate(zip(named, tfs))]
     return found.join(F.broadcast(numbers)).withColumn("score", F.round(sum(each, F.lit(0.0)), DECIMALS))  # numbers is one row
 
 
