@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, drop, saved, table, without
-from .words import NUMBER, PLAIN, PUNCTUATION, UNIT, Vocabulary, window_hashes
+from .words import NUMBER, PLAIN, PUNCTUATION, UNIT, Vocabulary, hashes_at, window_hashes
 
 WINDOW = 5
 LITERAL = 3
@@ -74,15 +74,23 @@ class Canonical:
         stands = self.exact != 0
         self.exact, self.literal = self.exact[stands], self.literal[stands]
 
-    def channels(self):
-        """(channels, hashes, literal, slots): names kept for channel 0 and replaced for 1, together where there are none."""
+    def channels(self, n: int):
+        """(channels, window hashes, where they start, slots): names kept for channel 0 and replaced for 1, together in windows that have none."""
+        hashes, at = _windows(self.plain, self.fixed, n)
         if not self.name.any():
-            yield (0, 1), self.plain, self.fixed, self.slot
+            yield (0, 1), hashes, at, self.slot
             return
-        yield (0,), self.plain, self.fixed, self.slot
+        holds = np.convolve(self.name, np.ones(n, dtype=np.int64), "valid") > 0 if len(self.name) >= n else np.zeros(0, dtype=bool)  # by start
+        yield (0, 1), hashes[~holds[at]], at[~holds[at]], self.slot
+        yield (0,), hashes[holds[at]], at[holds[at]], self.slot
+        # windows with a name, each cut out by itself
+        begin = np.nonzero(holds)[0]
+        literal, slot = self.fixed & ~self.name, self.slot | self.name
+        sums = np.concatenate([[0], np.cumsum(literal)])
+        begin = begin[sums[begin + n] - sums[begin] >= min(LITERAL, n)]
         named = self.plain.copy()
         named[self.name] = MARK["name"]
-        yield (1,), named, self.fixed & ~self.name, self.slot | self.name
+        yield (1,), hashes_at(named, begin, n), begin, slot
 
     def slots(self, slot: np.ndarray, at: int, n: int) -> str:
         return SEPARATOR.join(self.words[self.kept[k]].strip(PUNCTUATION).lower() for k in range(at, at + n) if slot[k])
@@ -140,11 +148,10 @@ def windows(rows: DataFrame, lengths: list[int], known=None) -> DataFrame:
             out = [[] for _ in range(6)]
             for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c, whole = Canonical(vocabulary, text or ""), False
-                for channels, hashes, literal, slot in c.channels():
-                    for n in lengths or [min(WINDOW, len(hashes))]:
-                        if not n:
-                            continue
-                        h, at = _windows(hashes, literal, n)
+                for n in lengths or [min(WINDOW, len(c.plain))]:
+                    if not n:
+                        continue
+                    for channels, h, at, slot in c.channels(n):
                         whole = whole or len(h) > 0
                         kept = keep(h)
                         for x, p in zip(h[kept].view(np.int64).tolist(), at[kept].tolist()):

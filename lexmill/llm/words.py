@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -18,7 +19,7 @@ NUMERIC = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?")
 MIXED = re.compile(r"([-+]?[$€£]?\d[\d.,]*)([^\W\d_]+)")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 PUNCTUATION = ".,;:!?()[]{}\"'"
-MOST = 200_000
+MOST = 500_000
 
 
 class Vocabulary:
@@ -36,26 +37,42 @@ class Vocabulary:
         self.ends = np.zeros(1024, dtype=bool)
         self.title = np.zeros(1024, dtype=bool)
 
-    def add(self, word: str) -> int:
-        at = self.size
-        if at == len(self.hash):
+    def add(self, words: list[str]) -> None:
+        """Words that it does not have, each once."""
+        hashes, exact, kinds, ends, titles = [], [], [], [], []
+        digest = xxhash.xxh64_intdigest
+        for word in words:
+            if word.isalpha():
+                core = stands = word
+                end = False
+            else:
+                last = word[-1]
+                core = word[:-1] if last in ".,;:!?" and word[:-1].isalpha() else EDGES.sub("", word)
+                stands = word.strip(PUNCTUATION)
+                end = last in ".!?:" or word.rstrip("\"')]}")[-1:] in (".", "!", "?", ":")
+            kind, hashed, title = -1, 0, False
+            low = core.lower()
+            if core:
+                kind = UNIT if low in UNITS else PLAIN if core.isalpha() else NUMBER if self._number(word, core) else PLAIN
+                hashed = digest(low.encode("utf-8", "surrogatepass"), 7)
+                title = low != core and core[0].isupper() and (core[1:].islower() or not any(c.isupper() for c in core[1:]))
+            stands = stands.lower() if stands != core else low
+            # what stands as its core does has a hash made of the core's
+            exact.append((hashed * 0x9E3779B97F4A7C15 + 13) & 0xFFFFFFFFFFFFFFFF if stands == low and core else digest(stands.encode("utf-8", "surrogatepass"), 13) if stands else 0)
+            hashes.append(hashed)
+            kinds.append(kind)
+            ends.append(end)
+            titles.append(title)
+        at, n = self.size, len(words)
+        while at + n > len(self.hash):
             for name in ("hash", "exact", "kind", "ends", "title"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        core = word if word.isalpha() else word[:-1] if word[:-1].isalpha() and word[-1] in ".,;:!?" else EDGES.sub("", word)
-        kind = -1
-        if core:
-            low = core.lower()
-            kind = UNIT if low in UNITS else NUMBER if not core.isalpha() and self._number(word, core) else PLAIN
-            self.hash[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
-            self.title[at] = core[0].isupper() and (core[1:].islower() or not any(c.isupper() for c in core[1:]))
-        stands = word.strip(PUNCTUATION).lower()
-        self.exact[at] = xxhash.xxh64_intdigest(stands.encode("utf-8", "surrogatepass"), 13) if stands else 0
-        self.kind[at] = kind
-        self.ends[at] = word.rstrip("\"')]}")[-1:] in tuple(".!?:")
-        self.code[word] = at
-        self.size += 1
-        return at
+        for name, values in (("hash", hashes), ("exact", exact), ("kind", kinds), ("ends", ends), ("title", titles)):
+            own = getattr(self, name)
+            own[at : at + n] = np.array(values, dtype=own.dtype)
+        self.code.update(zip(words, range(at, at + n)))
+        self.size += n
 
     @staticmethod
     def _number(word: str, core: str) -> bool:
@@ -67,27 +84,31 @@ class Vocabulary:
     def codes(self, words: list[str]) -> np.ndarray:
         if self.size > MOST:
             self.clear()
-        get, add = self.code.get, self.add
-        out = list(map(get, words))
+        out = list(map(self.code.get, words))
         if None in out:
-            for i in [i for i, c in enumerate(out) if c is None]:
-                c = get(words[i])  # a new word may stand there twice
-                out[i] = add(words[i]) if c is None else c
+            missing = [i for i, c in enumerate(out) if c is None]
+            self.add(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                out[i] = self.code[words[i]]
         return np.array(out, dtype=np.int64)
 
 
+@functools.lru_cache(maxsize=64)
 def multipliers(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"%d" % k, 11) | 1 for k in range(n)], dtype=np.uint64)
 
 
 def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n."""
-    if len(hashes) < n:
-        return np.zeros(0, dtype=np.uint64)
-    m, size = multipliers(n), len(hashes) - n + 1
+    return hashes_at(hashes, None, n) if len(hashes) >= n else np.zeros(0, dtype=np.uint64)
+
+
+def hashes_at(hashes: np.ndarray, begin: np.ndarray | None, n: int) -> np.ndarray:
+    """Hashes of the runs of n from these places, or from all."""
+    m, size = multipliers(n), len(hashes) - n + 1 if begin is None else len(begin)
     out = np.zeros(size, dtype=np.uint64)
     for k in range(n):
-        out += hashes[k : k + size] * m[k]
+        out += (hashes[k : k + size] if begin is None else hashes[begin + k]) * m[k]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
