@@ -1,7 +1,7 @@
 """A text index that grows by segments.
 
-Each change writes one immutable segment: the blocks of the chunks it adds, their terms by chunk, the ids of chunks that are gone from
-earlier segments, with the segment they are gone from, and what the change adds to or takes from the document frequency of each term. Nothing older is
+Each change writes one immutable segment: the blocks of the chunks it adds (sorted by term in each file), their terms by chunk, the ids of chunks that are gone from
+earlier segments, with the segment they are gone from and their number there, and what the change adds to or takes from the document frequency of each term. Nothing older is
 rewritten, so a change of k chunks writes rows for those k. A chunk is live if no segment says that it is gone from its own; a chunk that is added again
 replaces itself. Frequencies, the number of chunks and their length are sums over segments, so scores are those of an index built anew.
 
@@ -28,14 +28,11 @@ from . import blocks, textindex
 FANOUT = 4
 #: Rows of a segment of the lowest tier.
 BASE = 1000
-BROADCAST = 2_000_000
-LIST = "segment string, generation long, chunks long, gone long, postings long, shards int, buckets int, n long, length long, analyzer string"
-BLOCKS = (
-    "term string, shard int, block int, n int, first string, last string, top_tf int, shortest array<int>, chunk_id array<string>, document_id array<string>, "
-    "tf array<int>, length array<int>, positions array<array<int>>, segment string, bucket int"
-)
+BROADCAST = 500_000
+LIST = "segment string, generation long, chunks long, gone long, postings long, n long, length long, analyzer string"
+BLOCKS = f"{blocks.SCHEMA}, segment string"
 Row = namedtuple("Row", [x.split()[0] for x in LIST.split(", ")])
-FORWARD, GONE, FREQUENCIES = "chunk_id string, document_id string, terms array<string>, segment string", "chunk_id string, in_segment string, segment string", "term string, df long, segment string"
+FORWARD, GONE, FREQUENCIES = "chunk_id string, document_id string, terms array<string>, segment string", "chunk_id string, in_segment string, shard long, number int, segment string", "term string, df long, segment string"
 
 
 @dataclass
@@ -72,39 +69,37 @@ class Segments:
         return sum(r.length for r in self.rows) / self.n if self.n else 0.0
 
     def live(self, rows: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """Of rows (segment, chunk_id, ...) those of chunks that no segment (of those named) says are gone."""
+        """Of rows (segment, and shard and number, or else chunk_id, ...) those of chunks that no segment (of those named) says are gone."""
         deleting = [r for r in self.rows if r.gone and (names is None or r.segment in names)]
         if not deleting:
             return rows
-        gone = self._read("gone", GONE, [r.segment for r in deleting]).select("chunk_id", F.col("in_segment").alias("segment"))
+        keys = ["shard", "number"] if "number" in rows.columns else ["chunk_id"]
+        gone = self._read("gone", GONE, [r.segment for r in deleting]).select(*keys, F.col("in_segment").alias("segment"))
         if sum(r.gone for r in deleting) <= BROADCAST:
             gone = F.broadcast(gone)
-        return rows.join(gone, ["chunk_id", "segment"], "left_anti")
+        return rows.join(gone, [*keys, "segment"], "left_anti")
 
     def chunks(self) -> DataFrame:
-        """(chunk_id, document_id, segment) of the live chunks."""
-        return self.live(self._read("forward", FORWARD).select("chunk_id", "document_id", "segment"))
+        """(chunk_id, document_id, segment, shard, number) of the live chunks."""
+        return self.live(self.names())
+
+    def names(self) -> DataFrame:
+        """The same of all chunks."""
+        return blocks.named(self.blocks())
 
     def frequencies(self) -> DataFrame:
         """(term, df) of the live chunks."""
         return self._read("frequencies", FREQUENCIES).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def blocks(self, terms: list[str] | None = None) -> DataFrame:
-        """The blocks of some terms, or all: only their buckets and row groups are read."""
-        out = self._read("blocks", BLOCKS, [r.segment for r in self.rows if r.postings])
-        if terms is None:
-            return out
-        buckets: dict[int, list[str]] = {}
-        for r in self.rows:
-            buckets.setdefault(r.buckets, []).append(r.segment)
-        there = F.lit(False)
-        for n, segments in buckets.items():
-            there = there | (F.col("segment").isin(segments) & F.col("bucket").isin(sorted({textindex._bucket(t, n) for t in terms}) or [-1]))
-        return out.where(there & F.col("term").isin(terms))
+        """The blocks of some terms, or all and the ids of chunks: of the files, which are sorted by term, only the pages of these."""
+        out = self._read("blocks", BLOCKS, [r.segment for r in self.rows if r.chunks])
+        return out if terms is None else out.where(F.col("term").isin(terms))
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(term, chunk_id, document_id, tf, length, positions) of the live chunks."""
-        return self.live(blocks.opened(self.blocks(terms), positions=True)).drop("segment", "shard", "block", "bucket")
+        rows = self.live(blocks.opened(self.blocks(terms), positions=True)).drop("block")
+        return rows.join(self.names(), blocks.HIT).drop(*blocks.HIT)
 
     def text_index(self) -> textindex.TextIndex:
         """For the whole query grammar; searches of plain terms with a limit go by blocks."""
@@ -121,14 +116,14 @@ class Segments:
         if every and len(found) < len(boosts):
             rows = []
         terms = self.spark.createDataFrame(rows, "query_id long, term string, boost double, df long, wanted int")
-        return blocks.BlockSearch(self.blocks(sorted(found)), terms, (self.n, self.mean_length), limit, self.live, inside, min_score, few=True)
+        return blocks.BlockSearch(self.blocks(sorted(found)), self.names(), terms, (self.n, self.mean_length), limit, self.live, inside, min_score, few=True)
 
     def search_batch(self, queries: DataFrame, limit: int, every: bool = True) -> blocks.BlockSearch:
         """A search of each of queries (query_id, text) for all its different tokens, or any."""
         asked = queries.select("query_id", F.explode(F.array_distinct(textindex.analysed(F.col("text"), self.analyzer))).alias("term"))
         wanted = asked.groupBy("query_id").agg((F.count("*") if every else F.lit(1)).cast("int").alias("wanted"))
         terms = asked.join(wanted, "query_id").join(self.frequencies(), "term").withColumn("boost", F.lit(1.0))
-        return blocks.BlockSearch(self.blocks(), terms.select("query_id", "term", "boost", "df", "wanted"), (self.n, self.mean_length), limit, self.live)
+        return blocks.BlockSearch(self.blocks(), self.names(), terms.select("query_id", "term", "boost", "df", "wanted"), (self.n, self.mean_length), limit, self.live)
 
     # --- writing -------------------------------------------------------------------------------
 
@@ -153,7 +148,7 @@ class Segments:
         return f"g{generation:012d}-{uuid.uuid4().hex[:12]}"
 
     def _put(self, df: DataFrame, name: str, segment: str) -> None:
-        df.write.mode("errorifexists").parquet(f"{self.root}/{name}/segment={segment}")
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.root}/{name}/segment={segment}")
 
     def _back(self, name: str, schema: str, segment: str) -> DataFrame:
         return self._read(name, schema, [segment])
@@ -169,14 +164,14 @@ class Segments:
             there = self.chunks()
             parts = [there.join(forward.select("chunk_id"), "chunk_id", "left_semi")]
             if documents is not None:
-                parts.append(there.join(documents.select("document_id").distinct(), "document_id", "left_semi").select(*there.columns))
+                parts.append(there.join(documents.select("document_id").distinct(), "document_id", "left_semi"))
             if chunks is not None:
                 parts.append(there.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi"))
             gone = parts[0]
             for p in parts[1:]:
-                gone = gone.union(p)
+                gone = gone.unionByName(p)
             # where they are is written with them: their terms are read from those segments only
-            self._put(gone.distinct().select("chunk_id", F.col("segment").alias("in_segment")), "gone", segment)
+            self._put(gone.distinct().select("chunk_id", F.col("segment").alias("in_segment"), "shard", "number"), "gone", segment)
             gone = self._back("gone", GONE, segment).drop("segment")
         return self._finish(segment, generation, forward, gone, self.rows)
 
@@ -188,7 +183,9 @@ class Segments:
         if gone is not None:
             where = [r.in_segment for r in gone.select("in_segment").distinct().collect()]  # segments, so few
             if where:
-                lost = self._read("forward", FORWARD, where).join(gone.select("chunk_id", F.col("in_segment").alias("segment")), ["chunk_id", "segment"], "left_semi")
+                ids = gone.select("chunk_id", F.col("in_segment").alias("segment"))
+                ids = F.broadcast(ids) if gone.count() <= BROADCAST else ids  # so that no terms are shuffled
+                lost = self._read("forward", FORWARD, where).join(ids, ["chunk_id", "segment"], "left_semi")
                 minus = size(lost)
         delta = terms(forward).groupBy("term").agg(F.count("*").alias("df"))
         if lost is not None:
@@ -198,14 +195,11 @@ class Segments:
         return self._listed([*before, row], {r.segment for r in before})
 
     def _written(self, segment: str, generation: int, forward: DataFrame, chunks: int, gone: int, n: int, length: int):
-        shards, postings, buckets = max(1, -(-chunks // blocks.SHARD)), 0, 1
+        postings = 0
         if chunks:
             postings = forward.agg(F.coalesce(F.sum(F.size(F.array_distinct("terms"))), F.lit(0))).first()[0]
-            buckets = min(textindex.BUCKETS, max(1, postings // textindex.BUCKET_ROWS))
-            out = blocks.blocked(textindex.counted(forward, positions=True), shards).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-            files = min(4096, buckets * min(shards, textindex.SPREAD))
-            out.repartition(files, "bucket", F.pmod("shard", F.lit(textindex.SPREAD))).sortWithinPartitions("bucket", "term", "block").write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/blocks/segment={segment}")
-        return Row(segment, generation, chunks, gone, postings, shards, buckets, n, length, self.analyzer)
+            self._put(blocks.built(forward), "blocks", segment)
+        return Row(segment, generation, chunks, gone, postings, n, length, self.analyzer)
 
     def _listed(self, rows: list, expected: set[str]) -> Segments:
         """Publishes a list that follows from this one; Conflict if another came in between."""
@@ -263,7 +257,7 @@ class Segments:
             if deleting:
                 inside = self.spark.createDataFrame([(s,) for s in names], "in_segment string")
                 left = self._read("gone", GONE, deleting).join(F.broadcast(inside), "in_segment", "left_anti")
-                self._put(left.select("chunk_id", "in_segment").distinct(), "gone", segment)
+                self._put(left.drop("segment").distinct(), "gone", segment)
                 gone = self._back("gone", GONE, segment).count()
         delta = self._read("frequencies", FREQUENCIES, names).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         self._put(delta.sortWithinPartitions("term"), "frequencies", segment)
