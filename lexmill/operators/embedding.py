@@ -16,6 +16,7 @@ from pyspark.sql import types as T_
 
 from ..functions import text as T
 from ..functions import vector as V
+from .batches import bounded
 
 #: A callable from texts to vectors, run in batches inside a worker.
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -34,16 +35,21 @@ def hashed(text: Column, dimensions: int = 64) -> Column:
     return F.when(F.size(T.tokens(text)) > 0, V.normalised(raw))
 
 
-def with_hashed(rows: DataFrame, dimensions: int = 64) -> DataFrame:
-    """rows (text, ...) with an embedding like hashed()'s: tokens are made in the JVM, hashed in Arrow batches, and nothing is shuffled."""
+#: Tokens whose places a worker keeps.
+KNOWN = 50_000
+
+
+def with_hashed(rows: DataFrame, dimensions: int = 64, text: bool = True) -> DataFrame:
+    """rows (text, ...) with an embedding like hashed()'s: tokens are made in the JVM, hashed in Arrow batches, and nothing is shuffled. Without text that column neither goes to Python nor comes back."""
     given = rows.withColumn("_tokens", T.tokens(F.col("text")))
+    rows, given = (rows, given) if text else (rows.drop("text"), given.drop("text"))
     names = rows.columns
 
     def run(batches):
         known: dict[str, tuple[int, float]] = {}
 
         def place(token: str) -> tuple[int, float]:
-            if len(known) > 200_000:
+            if len(known) > KNOWN:
                 known.clear()
             digest = hashlib.md5(token.encode()).hexdigest()
             out = known[token] = int(digest[:6], 16) % dimensions, 1.0 if int(digest[6], 16) % 2 == 0 else -1.0
@@ -68,7 +74,7 @@ def with_hashed(rows: DataFrame, dimensions: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], vectors], [*names, "embedding"])
 
     schema = T_.StructType([*rows.schema.fields, T_.StructField("embedding", T_.ArrayType(T_.FloatType()))])
-    return given.mapInArrow(run, schema)
+    return bounded(given).mapInArrow(run, schema)
 
 
 def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 32, cache: DataFrame | None = None) -> DataFrame:
