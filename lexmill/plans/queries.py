@@ -12,6 +12,7 @@ from ..functions import metadata as M
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import cache, catalog, cells, chunking, embedding, fusion, jobs, markdown, search, segments, sync, textindex, vectorsearch
+from ..operators.batches import bounded
 from ..sources import files, scratch
 from ..streaming import events as E
 from ..streaming.store import IndexSink
@@ -476,7 +477,7 @@ def q3_standard_analyzer(spark, sf_dir):
 
 @query()
 def q3_stemming_analyzer(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(textindex.analysed(F.col("text"), "stemming")).alias("term"))
+    t = bounded(table(spark, sf_dir, "documents")).select("doc_id", F.explode(textindex.analysed(F.col("text"), "stemming")).alias("term"))
     return t.groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id").alias("df"))
 
 
