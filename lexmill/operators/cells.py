@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..sources import tables
+from .batches import bounded
 from .vectorsearch import DECIMALS, Nearest
 
 SAMPLE = 16_384
@@ -93,7 +94,7 @@ class VectorCells:
                 rows = rows.join(out.vectors().select("id"), "id", "left_anti")
             part = f"p-{uuid.uuid4().hex}"
             kind = dict(rows.dtypes)["id"]
-            put = rows.mapInArrow(_assign(self.spark.sparkContext.broadcast(out.centroids)), f"id {kind}, embedding array<double>, cell int, away double")
+            put = bounded(rows).mapInArrow(_assign(self.spark.sparkContext.broadcast(out.centroids)), f"id {kind}, embedding array<double>, cell int, away double")
             put.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions("cell", "away").write.parquet(f"{self.root}/vectors/part={part}")
             listed = self.spark.createDataFrame([(p,) for p in [*out.parts, part]], "part string").coalesce(1)
             try:
@@ -175,7 +176,7 @@ class VectorCells:
         schema = f"query_id {kind}, embedding array<double>, cell int"
         asked = queries.where("embedding is not null and query_id is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
         run = self._places(limit, probes)
-        first = asked.withColumn("threshold", F.lit(None).cast("double")).mapInArrow(run, schema)
+        first = bounded(asked).withColumn("threshold", F.lit(None).cast("double")).mapInArrow(run, schema)
         if probes:
             return asked, first, first.where("false")
         best = self._ranked(self._searched(first, asked.count(), limit), limit)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .batches import bounded
 
 DECIMALS = 6
 #: Queries that search_batch broadcasts, or holds in one block; vectors of one stripe.
@@ -97,7 +98,7 @@ def _sent(rows: DataFrame, asked: DataFrame, limit: int, schema: str) -> DataFra
             if found["id"]:
                 yield pa.RecordBatch.from_pydict(found)
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 def _striped(rows: DataFrame, asked: DataFrame, n: int, limit: int, schema: str) -> DataFrame:
