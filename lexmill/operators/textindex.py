@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stemming
 from ..functions import text as T
+from ..sources import scratch
+from .batches import bounded
 
 if TYPE_CHECKING:
     from . import segments
@@ -24,6 +26,8 @@ BUCKETS = 4096
 ONE_TASK = 200_000
 #: Files into which the postings of a bucket are spread by chunk, so that no term is one task's work.
 SPREAD = 4
+#: Different terms of all queries that are broadcast.
+SENT = 200_000
 
 
 def analysed(text: Column, analyzer: str = "standard") -> Column:
@@ -66,7 +70,7 @@ class TextIndex:
     @staticmethod
     def build(chunks: DataFrame, analyzer: str = "standard") -> TextIndex:
         """From chunks (chunk_id, document_id, text)."""
-        terms = chunks.select("chunk_id", "document_id", analysed(F.col("text"), analyzer).alias("terms"))
+        terms = bounded(chunks).select("chunk_id", "document_id", analysed(F.col("text"), analyzer).alias("terms"))
         statistics = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
         return TextIndex(counted(terms), statistics, analyzer, terms=terms)
 
@@ -87,9 +91,10 @@ def bm25(tf: Column, length: Column, df: Column, n: Column, mean: Column) -> Col
     return (F.log(n / (df + 1)) + 1) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
 
 
-def counted(terms: DataFrame, positions: bool = False) -> DataFrame:
-    """Postings of (chunk_id, document_id, terms): term, chunk_id, document_id, length, tf, and positions if wanted, which are gathered within one chunk only."""
+def counted(terms: DataFrame, positions: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """Postings of (chunk_id, document_id, terms): term, chunk_id, document_id, length, tf, and positions if wanted, which are gathered within one chunk only. If terms (term) are asked for, of those alone."""
     exploded = terms.select("chunk_id", "document_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    exploded = exploded if asked is None else exploded.join(asked, "term", "left_semi")
     more = [F.sort_array(F.collect_list("position")).alias("positions")] if positions else []
     return exploded.groupBy("term", "chunk_id", "document_id", "length").agg(F.count("*").cast("int").alias("tf"), *more)
 
@@ -444,6 +449,17 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
+def _asked_for(index: TextIndex, asked: DataFrame) -> DataFrame:
+    """The postings of the terms asked for. Those of a built index are made and written once, for frequencies, rarest tokens and scores all read them."""
+    if index.terms is None:
+        return index.postings.join(asked, "term", "left_semi")
+    spark = asked.sparkSession
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked  # terms that no query asks for are not shuffled
+    hits, path = counted(index.terms, asked=asked), scratch.folder(spark, "hits")
+    hits.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(hits.schema).parquet(path)
+
+
 def search_batch(index: TextIndex, queries: DataFrame, limit: int = 10, every: bool = True) -> DataFrame:
     """(query_id, rank, chunk_id, document_id, score) for each of queries (query_id, text), all in one job.
 
@@ -453,7 +469,7 @@ def search_batch(index: TextIndex, queries: DataFrame, limit: int = 10, every: b
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("text"), index.analyzer))).alias("term"))
     asked = terms.select("term").distinct()
-    hits = index.weighed(index.postings.join(asked, "term", "left_semi"), wild=True)
+    hits = index.weighed(_asked_for(index, asked), wild=True)
     hits = hits.select("term", "chunk_id", "document_id", "df", F.col("weight").alias("w"))
     if every:
         often = terms.join(hits.groupBy("term").agg(F.max("df").alias("df")), "term", "left")  # a term without postings has none
