@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -344,7 +345,7 @@ def c8_whole_text(spark, sf_dir):
 
 @query()
 def c9_semantic_chunks(spark, sf_dir):
-    return chunking.semantic_chunks(table(spark, sf_dir, "documents"), embedding.with_hashed, key="doc_id")
+    return chunking.semantic_chunks(table(spark, sf_dir, "documents"), functools.partial(embedding.with_hashed, text=False), key="doc_id")
 
 
 @query()
