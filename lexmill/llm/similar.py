@@ -251,6 +251,7 @@ def linked(docs: DataFrame, share: float = SHARE, slots: int = SLOTS) -> tuple[D
     fps = both.where("part is null").select("doc_id", "fp")
     level = docs.sparkSession.sparkContext.broadcast(levels(both.where("part is not null").select("part", "once", "more"), ranges))
     of = candidates(docs, share, level)
+    level.destroy()  # they are written; unpersist() would leave the table in the driver
     keyed = saved(of.select("fp", "n", "own", F.explode("keys").alias("k")), "keys")
     hub = saved(hubs(keyed), "hubs")
     star = keyed.join(hub, "k").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
@@ -261,7 +262,6 @@ def linked(docs: DataFrame, share: float = SHARE, slots: int = SLOTS) -> tuple[D
     more = saved(compared(rest, of).where(alike(share)).select("a", "b"), "similar")
     if more.limit(1).count():
         roots = joined(roots, more)
-    level.unpersist()
     drop(of, keyed, hub, star, rest)
     fps._lexmill_path = both._lexmill_path
     return fps, roots
