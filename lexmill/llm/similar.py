@@ -3,15 +3,18 @@
 Words are those of ``simhash``. A text is known by the signature of its set of shingles, so
 texts of one set are one node (that of texts without words is zero).
 
+SimHash comes first: the fingerprints of ``op9`` and its links of at most 2 bits. What it links is compared whole, and pairs
+similar enough are links. As 64 bits cannot show all pairs at this share, what follows finds the others.
+
 Two sets similar enough share a shingle among the first n - ceil(share * n) + 1 of each in any one order of
 all shingles (prefix filter). The order here is by how many texts have a shingle, then by hash. How many is
-counted over all texts: tasks send sorted shingle hashes cut into ranges, each range is merged by itself, and what
-is kept is, for each of 2 ** ``SLOTS`` classes of hashes, the logarithm of the largest count: 16 MB
-whatever the corpus. A class of level zero holds no shingle of two texts, so such shingles are no keys, and a text whose whole prefix is
-of that level is like no other and is let go. The others, with their sets, are a written table. More texts than classes
+counted over all different texts: tasks send sorted shingle hashes cut into ranges, each range is merged by itself, and what
+is kept is, for each of 2 ** ``SLOTS`` classes of hashes, the logarithm of the largest count, and for each of 2 ** ``FINE`` whether
+a shingle in it is one of two texts: 8 and 16 MB whatever the corpus. Shingles of a fine class with none are no keys, and a text whose whole prefix is
+of such is like no other and is let go. The others, with their sets, are a written table. More shared shingles than classes
 make the order coarser and more texts stay; they do not change what is found.
 
-Pairs are not made within a key. Each text under a key is compared with the key's *hub*, the text with the smallest share of
+Keys whose texts SimHash has connected are settled. Under the others pairs are not made: each text is compared with the key's *hub*, the text with the smallest share of
 shingles that are its own, and those similar enough are linked. Where that leaves texts under one key in different
 components, those outside its largest are held against others of the key by bounds that need no sets: sizes, which from what a text may share at all leave a
 range for the other's and are joined by classes a factor of ``STEP`` wide, so that pages of one template with a fifth of their own meet none; what two texts share with
@@ -30,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, drop, saved
+from .common import bounded, drop, saved, without
 from .components import components
 from .words import window_hashes
 
 SHINGLE = 5
 SHARE = 0.8
-SLOTS = 24  # bits of a shingle's class: a table of 16 MB is broadcast
+SLOTS = 23  # bits of a shingle's class: a table of 8 MB is broadcast
+FINE = 27  # of its fine class: 16 MB of bits
 RANGE = 1 << 19  # about so many shingles of the corpus are merged in one range
 HELD = 1 << 21  # shingles that a task holds before it sends them
 BITS = 1024  # of a set's parities
@@ -90,8 +94,8 @@ class Ranges:
             out.append((k, part[~more].tobytes(), np.concatenate([part[more], times[more].astype(np.uint32)]).tobytes()))
         return out
 
-    def levels(self, once: list[bytes], more: list[bytes]) -> bytes:
-        """One range's part of the table of levels: of each class 0, or the bits of the largest count above 1."""
+    def merged(self, once: list[bytes], more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes that are there more than once, how often) of one range."""
         other = [np.frombuffer(m, dtype=np.uint32).reshape(2, -1) for m in more]
         h = np.concatenate([np.frombuffer(b, dtype=np.uint32) for b in once] + [m[0] for m in other])
         n = np.concatenate([np.ones(sum(map(len, once)) // 4, dtype=np.float64)] + [m[1].astype(np.float64) for m in other])
@@ -99,56 +103,98 @@ class Ranges:
         h, n = h[order], n[order]
         first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0] if len(h) else np.zeros(0, dtype=np.int64)
         h, n = h[first], np.add.reduceat(n, first) if len(first) else n
-        shared = n > 1
+        return h[n > 1], n[n > 1]
+
+    def levels(self, once: list[bytes], more: list[bytes]) -> bytes:
+        """One range's part of the table of levels: of each class 0, or the bits of the largest count above 1."""
+        return self._levels(*self.merged(once, more))
+
+    def _levels(self, h: np.ndarray, n: np.ndarray) -> bytes:
         table = np.zeros(1 << (self.slots - self.bits), dtype=np.uint8)
-        np.maximum.at(table, h[shared] >> np.uint32(32 - (self.slots - self.bits)), np.floor(np.log2(n[shared])).astype(np.uint8) + 1)
+        np.maximum.at(table, h >> np.uint32(32 - (self.slots - self.bits)), np.floor(np.log2(n)).astype(np.uint8) + 1)
         return table.tobytes()
 
+    def tables(self, once: list[bytes], more: list[bytes]) -> tuple[bytes, bytes]:
+        """One range's parts of the table of levels and of the bits of fine classes."""
+        h, n = self.merged(once, more)
+        fine = np.zeros(1 << (FINE - self.bits), dtype=np.uint8)
+        fine[h >> np.uint32(32 - (FINE - self.bits))] = 1
+        return self._levels(h, n), np.packbits(fine).tobytes()
+
+
+class Levels:
+    """Of shingles 0 where no two texts have one of the fine class, or else the level of the class."""
+
+    def __init__(self, table: np.ndarray, fine: np.ndarray):
+        self.table, self.fine = table, fine
+        self.shift = np.uint64(65 - len(table).bit_length())
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        at = (shingles >> np.uint64(64 - FINE)).astype(np.int64)
+        shared = (self.fine[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return self.table[(shingles >> self.shift).astype(np.int64)] * shared
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, bits), written, of each document: signature and SimHash."""
+    from .simhash import fingerprint  # which imports this module
+
+    def run(batches):
+        shingles = Shingles()
+        for b in batches:
+            every = b.column(1).to_pylist()
+            fps = pa.array([signature(shingles(t)) for t in every], pa.int64())
+            bits = pa.array(np.array([fingerprint(t) for t in every], dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, bits], ["doc_id", "fp", "bits"])
+
+    return saved(texts(docs).mapInArrow(run, "doc_id long, fp long, bits long"), "signatures")
+
+
+def copies(fps: DataFrame) -> DataFrame:
+    """doc_id, written, of documents of which another with a smaller id has the signature; not ids of several texts."""
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    one = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.max("fp").alias("other")).where("fp = other")
+    return saved(one.join(first, "fp").where("doc_id > first").select("doc_id"), "copies")
+
 
 def counted(docs: DataFrame, ranges: Ranges) -> DataFrame:
-    """One written table of two kinds of rows: (doc_id, fp) of each text, and (part, once, more) of ranges of shingles."""
-    names = ["doc_id", "fp", "part", "once", "more"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    """(part, once, more) of ranges of shingles."""
+    names, types = ["part", "once", "more"], [pa.int32(), pa.binary(), pa.binary()]
 
     def sent(held):
-        rows = ranges.cut(np.concatenate(held))
-        none = [None] * len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, *zip(*rows)], types)], names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranges.cut(np.concatenate(held))), types)], names)
 
     def run(batches):
         shingles, seen, held, size = Shingles(), set(), [], 0
         for b in batches:
-            fps = []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
-                fps.append(signature(s))
-                if len(s) and fps[-1] not in seen:
-                    seen.add(fps[-1])
-                    held.append(s)
-                    size += len(s)
-                    if size > HELD:
-                        yield sent(held)
-                        held, size = [], 0
-            none = [None] * b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip([fps, none, none, none], types[1:]))], names)
+                if not len(s) or (fp := signature(s)) in seen:
+                    continue
+                seen.add(fp)
+                held.append(s)
+                size += len(s)
+                if size > HELD:
+                    yield sent(held)
+                    held, size = [], 0
         if held:
             yield sent(held)
 
-    return saved(texts(docs).mapInArrow(run, "doc_id long, fp long, part int, once binary, more binary"), "signatures")
+    return texts(docs).mapInArrow(run, "part int, once binary, more binary")
 
 
-def levels(parts: DataFrame, ranges: Ranges) -> np.ndarray:
-    """The level of each class of shingles, from the ranges in parts (part, once, more)."""
+def levels(parts: DataFrame, ranges: Ranges) -> Levels:
+    """The levels of shingles, from the ranges in parts (part, once, more)."""
 
     def merge(group: pa.Table) -> pa.Table:
-        table = ranges.levels(group.column("once").to_pylist(), group.column("more").to_pylist())
-        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "table": pa.array([table], pa.binary())})
+        table, fine = ranges.tables(group.column("once").to_pylist(), group.column("more").to_pylist())
+        return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "table": pa.array([table], pa.binary()), "fine": pa.array([fine], pa.binary())})
 
-    out = np.zeros(1 << ranges.slots, dtype=np.uint8)
-    width = 1 << (ranges.slots - ranges.bits)
-    for row in parts.groupBy("part").applyInArrow(merge, "part int, table binary").collect():  # 2 ** slots bytes in all
-        out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.table, dtype=np.uint8)
-    return out
+    out, bits = np.zeros(1 << ranges.slots, dtype=np.uint8), np.zeros(1 << (FINE - 3), dtype=np.uint8)
+    for row in parts.groupBy("part").applyInArrow(merge, "part int, table binary, fine binary").collect():  # 24 MB in all
+        for whole, own in ((out, row.table), (bits, row.fine)):
+            whole[row.part * len(own) : (row.part + 1) * len(own)] = np.frombuffer(own, dtype=np.uint8)
+    return Levels(out, bits)
 
 
 def parities(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -166,8 +212,7 @@ def candidates(docs: DataFrame, share: float, level) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     def run(batches):
-        table, shingles, seen = level.value, Shingles(), set()
-        shift = np.uint64(65 - len(table).bit_length())
+        levels, shingles, seen = level.value, Shingles(), set()
         out, size = [[] for _ in names], 0
         for b in batches:
             for t in b.column(1).to_pylist():
@@ -175,7 +220,7 @@ def candidates(docs: DataFrame, share: float, level) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                at = table[(s >> shift).astype(np.int64)]
+                at = levels(s)
                 own = int(np.count_nonzero(at == 0))
                 prefix = n - math.ceil(share * n - 1e-9) + 1
                 if own >= prefix or (fp := signature(s)) in seen:
@@ -192,7 +237,13 @@ def candidates(docs: DataFrame, share: float, level) -> DataFrame:
             yield batch(out)
 
     every = texts(docs).mapInArrow(run, "fp long, n int, own int, keys array<long>, parity array<long>, s array<long>")
-    return saved(every.dropDuplicates(["fp"]), "candidates")  # copies may come once a task
+    out = saved(every, "candidates")
+    again = saved(out.groupBy("fp").count().where("count > 1").select("fp"), "again")  # copies without an id of their own may come once a task
+    if again.limit(1).count():
+        more, out = out, saved(out.join(again, "fp", "left_anti").unionByName(out.join(again, "fp", "left_semi").dropDuplicates(["fp"])), "candidates")
+        drop(more)
+    drop(again)
+    return out
 
 
 def compared(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -205,17 +256,31 @@ def alike(share: float):
     return F.col("n") * (1 + share) >= F.col("m") * share - 1e-6
 
 
+def simhash_links(fps: DataFrame, of: DataFrame, share: float) -> DataFrame:
+    """Links (a, b), written, of signatures whose texts SimHash links and the sets confirm."""
+    from .simhash import links  # which imports this module
+
+    least = saved(fps.where("fp <> 0").groupBy("bits").agg(F.min("fp").alias("least")), "least")
+    same = fps.join(least, "bits").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    x, y = (least.select(F.col("bits").alias(f"bits{k}"), F.col("least").alias(k)) for k in "xy")
+    near = links(least.select(F.col("bits").alias("fp"))).join(x, F.col("a") == F.col("bitsx")).join(y, F.col("b") == F.col("bitsy")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = saved(same.unionByName(near).distinct(), "simhash-pairs")
+    out = saved(compared(pairs, of).where(alike(share)).select("a", "b"), "simhash-links")
+    drop(least, pairs)
+    return out
+
+
 def hubs(keyed: DataFrame) -> DataFrame:
-    """(k, hub) of the keys (k, fp, own, n) that texts share; of keys with the same texts one."""
-    by_key = keyed.groupBy("k").agg(F.count("*").alias("texts"), F.bit_xor(F.xxhash64("fp")).alias("which"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "fp")).alias("hub"))
-    same = by_key.where("texts > 1").groupBy("texts", "which", "hub.fp").agg(F.min("k").alias("k"))
+    """(k, hub) of the keys (k, fp, own, n, root) that texts of different roots share; of keys with the same texts one."""
+    by_key = keyed.groupBy("k").agg(F.count("*").alias("texts"), F.bit_xor(F.xxhash64("fp")).alias("which"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "fp")).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high"))
+    same = by_key.where("low <> high").groupBy("texts", "which", "hub.fp").agg(F.min("k").alias("k"))
     return same.select("k", F.col("fp").alias("hub"))
 
 
 def across(keyed: DataFrame, hub: DataFrame, roots: DataFrame, star: DataFrame, of: DataFrame, share: float) -> DataFrame:
     """Pairs (a, b) of texts under one key, in different components, whose bounds leave them similar enough."""
     root = roots.select(F.col("node").alias("fp"), "root")
-    placed = keyed.join(hub, "k").join(root, "fp", "left").select("k", "hub", "fp", "n", "own", F.coalesce("root", "fp").alias("root"))
+    placed = keyed.drop("root").join(hub, "k").join(root, "fp", "left").select("k", "hub", "fp", "n", "own", F.coalesce("root", "fp").alias("root"))
     parts = placed.groupBy("k", "root").count().groupBy("k").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("count", "root")).alias("largest")).where("parts > 1")
     with_hub = star.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.col("n").alias("both"))
     words = [F.col("parity")[j].alias(f"w{j}") for j in range(BITS // 64)]
@@ -244,26 +309,29 @@ def across(keyed: DataFrame, hub: DataFrame, roots: DataFrame, star: DataFrame,
 
 
 def linked(docs: DataFrame, share: float = SHARE, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of documents (doc_id, text), written, and (node, root) of the signatures that pairs with a similarity of at least share connect, root the smallest."""
+    """(doc_id, fp, bits) of documents (doc_id, text), written, and (node, root) of the signatures that pairs with a similarity of at least share connect, root the smallest."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     ranges = Ranges(min(slots, 20, max(1, (size // 6 // RANGE).bit_length())), slots)  # a word is some six bytes
-    both = counted(docs, ranges)
-    fps = both.where("part is null").select("doc_id", "fp")
-    level = docs.sparkSession.sparkContext.broadcast(levels(both.where("part is not null").select("part", "once", "more"), ranges))
+    fps = fingerprinted(docs)
+    later = copies(fps)
+    docs = without(docs, later)  # sets are counted and kept once
+    level = docs.sparkSession.sparkContext.broadcast(levels(counted(docs, ranges), ranges))
     of = candidates(docs, share, level)
     level.destroy()  # they are written; unpersist() would leave the table in the driver
-    keyed = saved(of.select("fp", "n", "own", F.explode("keys").alias("k")), "keys")
+    first = simhash_links(fps, of, share)
+    root = components(first).select(F.col("node").alias("fp"), "root")
+    keyed = of.select("fp", "n", "own", F.explode("keys").alias("k")).join(root, "fp", "left")
+    keyed = saved(keyed.withColumn("root", F.coalesce("root", "fp")), "keys")
     hub = saved(hubs(keyed), "hubs")
-    star = keyed.join(hub, "k").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    star = saved(compared(star, of), "star")
-    near = star.where(alike(share)).select("a", "b")
+    star = saved(keyed.join(hub, "k").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "star-pairs")
+    pairs, star = star, saved(compared(star, of), "star")
+    near = star.where(alike(share)).select("a", "b").unionByName(first)
     roots = components(near)
     rest = across(keyed, hub, roots, star, of, share)
     more = saved(compared(rest, of).where(alike(share)).select("a", "b"), "similar")
     if more.limit(1).count():
         roots = joined(roots, more)
-    drop(of, keyed, hub, star, rest)
-    fps._lexmill_path = both._lexmill_path
+    drop(later, of, first, keyed, hub, pairs, star, rest)
     return fps, roots
 
 
