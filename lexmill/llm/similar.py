@@ -10,7 +10,8 @@ Two sets similar enough share a shingle among the first n - ceil(share * n) + 1
 all shingles (prefix filter). The order here is by how many texts have a shingle, then by hash. How many is
 counted over all different texts: tasks send sorted shingle hashes cut into ranges, each range is merged by itself, and what
 is kept is, for each of 2 ** ``SLOTS`` classes of hashes, the logarithm of the largest count, and for each of 2 ** ``FINE`` whether
-a shingle in it is one of two texts: 8 and 16 MB whatever the corpus. Shingles of a fine class with none are no keys, and a text whose whole prefix is
+a shingle in it is one of two texts: 8 and 16 MB whatever the corpus. Tasks write them to the shared folder, where Python workers read them; the driver
+has only the folder's name. Shingles of a fine class with none are no keys, and a text whose whole prefix is
 of such is like no other and is let go. The others, with their sets, are a written table. More shared shingles than classes
 make the order coarser and more texts stay; they do not change what is found.
 
@@ -29,17 +30,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, drop, saved, without
+from .common import bounded, drop, filesystem, saved, without
 from .components import components
 from .words import window_hashes
 
 SHINGLE = 5
 SHARE = 0.8
-SLOTS = 23  # bits of a shingle's class: a table of 8 MB is broadcast
+SLOTS = 23  # bits of a shingle's class: a table of 8 MB
 FINE = 27  # of its fine class: 16 MB of bits
 RANGE = 1 << 19  # about so many shingles of the corpus are merged in one range
 HELD = 1 << 21  # shingles that a task holds before it sends them
@@ -123,16 +126,34 @@ class Ranges:
 
 
 class Levels:
-    """Of shingles 0 where no two texts have one of the fine class, or else the level of the class."""
-
-    def __init__(self, table: np.ndarray, fine: np.ndarray):
-        self.table, self.fine = table, fine
-        self.shift = np.uint64(65 - len(table).bit_length())
+    """Of shingles 0 where no two texts have one of the fine class, or else the level of the class.
+
+    The tables are read from a folder written by ``levels`` when they are first asked for, so what is sent to workers is the folder's name.
+    """
+
+    def __init__(self, folder: str, slots: int = SLOTS):
+        self.folder, self.slots, self.tables = folder, slots, None
+
+    def read(self) -> tuple[np.ndarray, np.ndarray]:
+        table, fine = np.zeros(1 << self.slots, dtype=np.uint8), np.zeros(1 << (FINE - 3), dtype=np.uint8)
+        fs, at = filesystem(self.folder)
+        for info in fs.get_file_info(FileSelector(at)):
+            if not info.base_name.endswith(".parquet"):
+                continue
+            with fs.open_input_file(info.path) as f:
+                for b in pq.ParquetFile(f).iter_batches(batch_size=1024):
+                    for whole, column in ((table, b.column(1)), (fine, b.column(2))):
+                        own = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+                        whole.reshape(-1, own.shape[1])[b.column(0).to_numpy()] = own
+        return table, fine
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        if self.tables is None:
+            self.tables = self.read()
+        table, bits = self.tables
         at = (shingles >> np.uint64(64 - FINE)).astype(np.int64)
-        shared = (self.fine[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return self.table[(shingles >> self.shift).astype(np.int64)] * shared
+        shared = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return table[(shingles >> np.uint64(64 - self.slots)).astype(np.int64)] * shared
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -183,18 +204,14 @@ def counted(docs: DataFrame, ranges: Ranges) -> DataFrame:
     return texts(docs).mapInArrow(run, "part int, once binary, more binary")
 
 
-def levels(parts: DataFrame, ranges: Ranges) -> Levels:
-    """The levels of shingles, from the ranges in parts (part, once, more)."""
+def levels(parts: DataFrame, ranges: Ranges) -> DataFrame:
+    """(part, table, fine), written, of the ranges in parts (part, once, more): the tables that ``Levels`` reads, 24 MB in all."""
 
     def merge(group: pa.Table) -> pa.Table:
         table, fine = ranges.tables(group.column("once").to_pylist(), group.column("more").to_pylist())
         return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "table": pa.array([table], pa.binary()), "fine": pa.array([fine], pa.binary())})
 
-    out, bits = np.zeros(1 << ranges.slots, dtype=np.uint8), np.zeros(1 << (FINE - 3), dtype=np.uint8)
-    for row in parts.groupBy("part").applyInArrow(merge, "part int, table binary, fine binary").collect():  # 24 MB in all
-        for whole, own in ((out, row.table), (bits, row.fine)):
-            whole[row.part * len(own) : (row.part + 1) * len(own)] = np.frombuffer(own, dtype=np.uint8)
-    return Levels(out, bits)
+    return saved(parts.groupBy("part").applyInArrow(merge, "part int, table binary, fine binary"), "levels")
 
 
 def parities(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -315,9 +332,11 @@ def linked(docs: DataFrame, share: float = SHARE, slots: int = SLOTS) -> tuple[D
     fps = fingerprinted(docs)
     later = copies(fps)
     docs = without(docs, later)  # sets are counted and kept once
-    level = docs.sparkSession.sparkContext.broadcast(levels(counted(docs, ranges), ranges))
+    tables = levels(counted(docs, ranges), ranges)
+    level = docs.sparkSession.sparkContext.broadcast(Levels(tables._lexmill_path, slots))  # the folder's name; a worker reads the tables once
     of = candidates(docs, share, level)
-    level.destroy()  # they are written; unpersist() would leave the table in the driver
+    level.destroy()
+    drop(tables)
     first = simhash_links(fps, of, share)
     root = components(first).select(F.col("node").alias("fp"), "root")
     keyed = of.select("fp", "n", "own", F.explode("keys").alias("k")).join(root, "fp", "left")
