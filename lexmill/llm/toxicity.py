@@ -64,12 +64,13 @@ def beginnings(words: Iterable[str]) -> set[str]:
     return {w[:n] for w in words for n in range(4, min(len(w), BEGINNING + 1))} | {w + " " for w in words if len(w) <= BEGINNING}
 
 
-def originals(texts: list[str]) -> list[set[str]]:
-    """The windows of texts that are no near copies of texts before them."""
+def originals(texts: list[str], shared: dict[str, str] | None = None) -> list[tuple[str, ...]]:
+    """The windows of texts that are no near copies of texts before them; a word of several texts is held once, in shared, and tuples take less than sets."""
+    shared = {} if shared is None else shared
     seen: set[str] = set()
     out = []
     for text in texts:
-        words = windows(text)
+        words = tuple([shared.setdefault(w, w) for w in windows(text)])
         long = {w for w in words if len(w) > 9}
         if words and not (len(long) > 3 and len(long & seen) > len(long) / 2):
             out.append(words)
@@ -91,7 +92,7 @@ def _tail(k: int, n: int, p: float) -> float:
     return total
 
 
-def by_initial(*classes: list[set[str]]) -> list[list[list[list[str]]]]:
+def by_initial(*classes: list[tuple[str, ...]]) -> list[list[list[list[str]]]]:
     """Of each class, for each initial letter that any class has, the words of each text that begin with it."""
     out: list[dict[str, list[list[str]]]] = []
     for texts in classes:
@@ -107,7 +108,7 @@ def by_initial(*classes: list[set[str]]) -> list[list[list[list[str]]]]:
     return [[groups.get(c, []) for c in letters] for groups in out]
 
 
-def content(toxic: list[set[str]], ordinary: list[set[str]]) -> tuple[bytes, bytes]:
+def content(toxic: list[tuple[str, ...]], ordinary: list[tuple[str, ...]]) -> tuple[bytes, bytes]:
     """The contents of the toxic and the ordinary dictionary."""
     counts = []
     for t, o in zip(*by_initial(toxic, ordinary)):  # one letter after the other, to bound memory
@@ -150,7 +151,7 @@ class Distance:
         dictionary.precompute_compress(compression_params=parameters)
         return zstd.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
 
-    def __call__(self, words: set[str]) -> list[int]:
+    def __call__(self, words: Iterable[str]) -> list[int]:
         seen, out = self.seen, []
         if len(seen) > 200_000:
             seen.clear()
@@ -174,7 +175,8 @@ class Model:
         self.weights = None
         if not toxic or not ordinary:
             return
-        t, o = originals(toxic), originals(ordinary)
+        shared: dict[str, str] = {}
+        t, o = originals(toxic, shared), originals(ordinary, shared)
         train = lambda rows: [x for i, x in enumerate(rows) if i % 4]
         held = lambda rows: [x for i, x in enumerate(rows) if i % 4 == 0]
         self.contents = content(train(t), train(o))
