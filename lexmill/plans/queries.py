@@ -339,8 +339,7 @@ def c5_split_page_chunks(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents")
 def c8_whole_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.col("text").alias("content"))
-    return chunking.page_chunks(pages, 0, merge=False, key="doc_id").select("doc_id", "text")
+    return chunking.whole_texts(table(spark, sf_dir, "documents"), key="doc_id").select("doc_id", "text")
 
 
 @query()
